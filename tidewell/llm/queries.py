@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .shared import fold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +26,29 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op10_decontamination": op10_decontamination}
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    model = toxicity.fit(docs, labels, learn=~held_out)
+    return _classified(toxicity.score(docs, model), held_out)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    model = quality.fit(docs, labels, learn=~held_out)
+    return _classified(quality.score(docs, model), held_out)
+
+
+def _classified(scores: DataFrame, held_out: Column) -> DataFrame:
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_toxicity": op2_toxicity, "op7_quality": op7_quality, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op10_decontamination": op10_decontamination}
 
 ORACLE_SQL: dict[str, str] = {}
 ORACLE_SQL["op10_decontamination"] = r"""
