@@ -26,6 +26,14 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .tokens import tokenized
+
+    return tokenized(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("shard", "block")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
@@ -48,7 +56,7 @@ def _classified(scores: DataFrame, held_out: Column) -> DataFrame:
     return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_toxicity": op2_toxicity, "op7_quality": op7_quality, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op10_decontamination": op10_decontamination}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_token_output": op1_token_output, "op2_toxicity": op2_toxicity, "op7_quality": op7_quality, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op10_decontamination": op10_decontamination}
 
 ORACLE_SQL: dict[str, str] = {}
 ORACLE_SQL["op10_decontamination"] = r"""
