@@ -43,6 +43,19 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(toxicity.score(docs, model), held_out)
 
 
+def op4_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import cross_entropy_difference
+
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixed
+
+    return mixed(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -56,7 +69,7 @@ def _classified(scores: DataFrame, held_out: Column) -> DataFrame:
     return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_token_output": op1_token_output, "op2_toxicity": op2_toxicity, "op7_quality": op7_quality, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op10_decontamination": op10_decontamination}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_token_output": op1_token_output, "op2_toxicity": op2_toxicity, "op4_cross_entropy_difference": op4_cross_entropy_difference, "op7_quality": op7_quality, "op8_mixing": op8_mixing, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op10_decontamination": op10_decontamination}
 
 ORACLE_SQL: dict[str, str] = {}
 ORACLE_SQL["op10_decontamination"] = r"""
