@@ -34,7 +34,7 @@ from . import textbytes as tb
 from .shared import stored, texts
 
 CELL_BITS = 18
-BITMAP_BYTES = 128
+BITMAP_BITS = (10, 18)  # as powers of two; two bits a shingle between these
 FILTER_BITS = 24
 
 
@@ -49,8 +49,9 @@ def _set_key(x: np.ndarray) -> int:
 
 
 def _bitmap(x: np.ndarray) -> bytes:
-    bits = np.zeros(BITMAP_BYTES * 8, np.uint8)
-    bits[(x & np.uint64(BITMAP_BYTES * 8 - 1)).astype(np.int64)] = 1
+    width = 1 << min(max(int(2 * len(x) - 1).bit_length(), BITMAP_BITS[0]), BITMAP_BITS[1]) if len(x) else 1 << BITMAP_BITS[0]
+    bits = np.zeros(width, np.uint8)
+    bits[(x & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
 
 
@@ -153,27 +154,36 @@ def _tile_pairs(groups: DataFrame, tile: int, percent: int) -> DataFrame:
     return sides.join(tiled.withColumnRenamed("i", "of"), ["lead", "of"]).select("lead", "i", "j", "n", "key")
 
 
-def _reach(n: np.ndarray, bits: np.ndarray, a: int, percent: int) -> np.ndarray:
-    """Members after a (by size) that the sizes and bitmaps let reach the threshold with it."""
-    stop = int(np.searchsorted(n, n[a] * 100 // percent, "right"))
-    rest = slice(a + 1, stop)
-    only_a = np.bitwise_count(bits[a] & ~bits[rest]).sum(axis=1, dtype=np.int64)
-    only_b = np.bitwise_count(~bits[a] & bits[rest]).sum(axis=1, dtype=np.int64)
-    most = np.minimum(n[a] - only_a, n[rest] - only_b)
-    return a + 1 + np.flatnonzero((100 + percent) * most >= percent * (n[a] + n[rest]))
+class _Reach:
+    """Which members of a group, sorted by size, the sizes and bitmaps let reach the threshold with a given one."""
 
+    def __init__(self, n: np.ndarray, bitmaps: list[bytes], percent: int):
+        self.n, self.percent = n, percent
+        self.width = np.array([len(x) for x in bitmaps])  # grows with n
+        self.folded = {}
+        for w in np.unique(self.width).tolist():
+            from_ = int(np.searchsorted(self.width, w))
+            rows = [np.bitwise_or.reduce(np.frombuffer(x, np.uint64).reshape(-1, w // 8), axis=0) for x in bitmaps[from_:]]
+            self.folded[w] = (from_, np.array(rows))
 
-def _words64(bitmaps: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(bitmaps), np.uint64).reshape(len(bitmaps), BITMAP_BYTES // 8)
+    def of(self, a: int) -> np.ndarray:
+        n, percent = self.n, self.percent
+        stop = int(np.searchsorted(n, n[a] * 100 // percent, "right"))
+        from_, bits = self.folded[int(self.width[a])]
+        mine, rest = bits[a - from_], bits[a + 1 - from_ : stop - from_]
+        only_a = np.bitwise_count(mine & ~rest).sum(axis=1, dtype=np.int64)
+        only_b = np.bitwise_count(~mine & rest).sum(axis=1, dtype=np.int64)
+        most = np.minimum(n[a] - only_a, n[a + 1 : stop] - only_b)
+        return a + 1 + np.flatnonzero((100 + percent) * most >= percent * (n[a] + n[a + 1 : stop]))
 
 
 def _members_in_reach(percent: int) -> Callable[[dict], dict | None]:
     def one(g: dict) -> dict | None:
         n = g["n"].to_numpy()
-        bits = _words64(g["bitmap"].to_pylist())
+        reach = _Reach(n, g["bitmap"].to_pylist(), percent)
         hit = np.zeros(len(n), bool)
         for a in range(len(n) - 1):
-            if len(found := _reach(n, bits, a, percent)):
+            if len(found := reach.of(a)):
                 hit[a] = hit[found] = True
         if not hit.any():
             return None
@@ -186,11 +196,11 @@ def _forest(percent: int) -> Callable[[dict], dict | None]:
     def one(g: dict) -> dict | None:
         n, key = g["n"].to_numpy(), g["key"].to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in g["shingles"].to_pylist()]
-        bits = _words64([_bitmap(x) for x in sets])
+        reach = _Reach(n, [_bitmap(x) for x in sets], percent)
         root = np.arange(len(n))
         links = []
         for a in range(len(n) - 1):
-            for b in _reach(n, bits, a, percent).tolist():
+            for b in reach.of(a).tolist():
                 if root[a] == root[b]:
                     continue
                 both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
