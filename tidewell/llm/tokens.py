@@ -13,6 +13,8 @@ and any file system that Spark writes to will do.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +30,8 @@ from .shared import new_path
 
 MAGIC = 0x5457_544B
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-TAIL = ".,!?;:$%&#*|)\"-"
+#: A word of plain letters and the punctuation after it, which the tokenizer parts the same way.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)([.,!?;:$%&#*|)\"-]*)").fullmatch
 #: Words that a task remembers the ids of.
 MOST_REMEMBERED = 400_000
 
@@ -37,6 +40,7 @@ class Encoder:
     """Ids of texts; remembers those of words, as blanks always part tokens in this kind of tokenizer."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -59,33 +63,37 @@ class Encoder:
         for i in range(0, len(cores), 2000):
             part = cores[i : i + 2000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
-            ends = np.flatnonzero(self.final[ids]) + 1
+            ends = ((np.flatnonzero(self.final[ids]) + 1) * self.dtype.itemsize).tolist()
             if len(ends) == len(part):
-                self.cores.update(zip(part, (x.tobytes() for x in np.split(ids, ends[:-1])), strict=True))
+                raw = ids.tobytes()
+                self.cores.update(zip(part, (raw[a:b] for a, b in zip([0, *ends], ends)), strict=True))
             else:
                 self.cores.update(zip(part, self._plain(part), strict=True))
 
     def _learn(self, missing: set[str]) -> None:
-        if len(self.cache) > MOST_REMEMBERED:
-            self.cache = {"": b""}
         if len(self.cores) > MOST_REMEMBERED:
             self.cores = {}
-        split, odd = [], []
+        split, odd, cores, cache = [], [], self.cores, self.cache
         for chunk in missing:
-            core = chunk.rstrip(TAIL)
-            if core.isalpha() and (core.isascii() or max(core) < "İ"):
-                split.append((chunk, core.lower(), chunk[len(core) :]))
+            if m := PLAIN(chunk):
+                core, tail = m.groups()
+                core = core.lower()
+                split.append((chunk, core, tail))
+                if tail not in cache:
+                    odd.append(tail)
             else:
                 odd.append(chunk)
-        self._learn_cores([*{c for _, c, _ in split if c not in self.cores}])
-        odd += {t for _, _, t in split if t not in self.cache}
-        self.cache.update(zip(odd, self._plain(odd), strict=True))
+        self._learn_cores([*{c for _, c, _ in split} - cores.keys()])
+        odd = [*{*odd}]
+        cache.update(zip(odd, self._plain(odd), strict=True))
         for chunk, core, tail in split:
-            self.cache[chunk] = self.cores[core] + self.cache[tail]
+            cache[chunk] = cores[core] + cache[tail]
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         """Raw ids of each text and the end id."""
         chunks = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.cache) > MOST_REMEMBERED:
+            self.cache = {"": b""}
         if missing := set().union(*chunks) - self.cache.keys():
             self._learn(missing)
         get = self.cache.__getitem__
