@@ -18,9 +18,13 @@ from pyspark.sql.window import Window, WindowSpec
 
 Value = Column | str | float | int
 
-BY_TIME = Window.partitionBy("instrument").orderBy("datetime")
-BY_DATE = Window.partitionBy("datetime")
-HISTORY = Window.partitionBy("instrument")
+
+def by_time() -> WindowSpec:
+    return Window.partitionBy("instrument").orderBy("datetime")
+
+
+def by_date() -> WindowSpec:
+    return Window.partitionBy("datetime")
 
 
 def col(x: Value) -> Column:
@@ -30,7 +34,7 @@ def col(x: Value) -> Column:
 
 
 def last(n: int) -> WindowSpec:
-    return BY_TIME.rowsBetween(1 - n, 0)
+    return by_time().rowsBetween(1 - n, 0)
 
 
 def finite(x: Value) -> Column:
@@ -166,20 +170,20 @@ def average_rank(x: Value, by: tuple[str, ...] = ("datetime",)) -> Column:
 
 
 def cs_rank(x: Value) -> Column:
-    return average_rank(x) / F.count(col(x)).over(BY_DATE)
+    return average_rank(x) / F.count(col(x)).over(by_date())
 
 
 def cs_mean(x: Value) -> Column:
-    return F.avg(col(x)).over(BY_DATE)
+    return F.avg(col(x)).over(by_date())
 
 
 def cs_std(x: Value) -> Column:
-    return F.stddev_samp(col(x)).over(BY_DATE)
+    return F.stddev_samp(col(x)).over(by_date())
 
 
 def cs_skew(x: Value) -> Column:
-    n = F.count(col(x)).over(BY_DATE)
-    return F.coalesce(F.skewness(col(x)).over(BY_DATE) * F.pow((n - 1) / n, F.lit(1.5)), F.lit(0.0))
+    n = F.count(col(x)).over(by_date())
+    return F.coalesce(F.skewness(col(x)).over(by_date()) * F.pow((n - 1) / n, F.lit(1.5)), F.lit(0.0))
 
 
 def _unbiased_kurtosis(population: Column, n: Column) -> Column:
@@ -187,19 +191,19 @@ def _unbiased_kurtosis(population: Column, n: Column) -> Column:
 
 
 def cs_kurt(x: Value) -> Column:
-    return _unbiased_kurtosis(F.kurtosis(col(x)).over(BY_DATE), F.count(col(x)).over(BY_DATE))
+    return _unbiased_kurtosis(F.kurtosis(col(x)).over(by_date()), F.count(col(x)).over(by_date()))
 
 
 def cs_median(x: Value) -> Column:
-    return F.median(col(x)).over(BY_DATE)
+    return F.median(col(x)).over(by_date())
 
 
 def cs_max(x: Value) -> Column:
-    return F.max(col(x)).over(BY_DATE)
+    return F.max(col(x)).over(by_date())
 
 
 def cs_min(x: Value) -> Column:
-    return F.min(col(x)).over(BY_DATE)
+    return F.min(col(x)).over(by_date())
 
 
 def _standard(x: Value, mean: Column, deviation: Column) -> Column:
@@ -212,16 +216,16 @@ def cs_zscore(x: Value) -> Column:
 
 
 def cs_scale(x: Value, total: float = 1.0) -> Column:
-    return F.try_divide(col(x) * total, F.sum(F.abs(col(x))).over(BY_DATE))
+    return F.try_divide(col(x) * total, F.sum(F.abs(col(x))).over(by_date()))
 
 
 def cs_fill_null(x: Value) -> Column:
-    return F.coalesce(finite(x), F.avg(finite(x)).over(BY_DATE), F.lit(0.0))
+    return F.coalesce(finite(x), F.avg(finite(x)).over(by_date()), F.lit(0.0))
 
 
 def cs_rank_norm(x: Value) -> Column:
     """Average rank over all rows of the date, centred and scaled to unit deviation."""
-    return (average_rank(x) / F.count(F.lit(1)).over(BY_DATE) - 0.5) * 3.46
+    return (average_rank(x) / F.count(F.lit(1)).over(by_date()) - 0.5) * 3.46
 
 
 # --- rolling ----------------------------------------------------------------
@@ -229,7 +233,7 @@ def cs_rank_norm(x: Value) -> Column:
 
 def delay(x: Value, k: int = 1) -> Column:
     """x k rows before; a negative k looks ahead and is for labels only."""
-    return F.lag(col(x), k).over(BY_TIME)
+    return F.lag(col(x), k).over(by_time())
 
 
 def delta(x: Value, k: int = 1) -> Column:
@@ -287,7 +291,7 @@ def ts_median(x: Value, n: int) -> Column:
 
 def percentile(x: Value, q: float, n: int | None = None) -> Column:
     """Rolling with n; without it over the instrument's whole history, which looks ahead."""
-    return F.percentile(col(x), F.lit(q)).over(HISTORY) if n is None else ts_quantile(x, n, q)
+    return F.percentile(col(x), F.lit(q)).over(Window.partitionBy("instrument")) if n is None else ts_quantile(x, n, q)
 
 
 def _values(x: Value, n: int) -> Column:
@@ -357,7 +361,7 @@ def ts_corr(x: Value, y: Value, n: int) -> Column:
 
 
 def row_in_history() -> Column:
-    return F.row_number().over(BY_TIME).cast("double")
+    return F.row_number().over(by_time()).cast("double")
 
 
 def ts_corr_sequence(x: Value, n: int) -> Column:
@@ -474,7 +478,7 @@ def bb_lower(x: Value, n: int) -> Column:
 
 def bb_middle_dynamic(x: Value, n: Value) -> Column:
     """Mean of as many rows as the column n says."""
-    values = F.collect_list(col(x)).over(BY_TIME.rowsBetween(Window.unboundedPreceding, 0))
+    values = F.collect_list(col(x)).over(by_time().rowsBetween(Window.unboundedPreceding, 0))
     size = F.least(col(n).cast("int"), F.size(values))
     part = F.slice(values, F.size(values) - size + 1, size)
     return F.when(size > 0, F.aggregate(part, F.lit(0.0), lambda a, v: a + v) / size)
