@@ -18,6 +18,18 @@ SELECT CAST(user_id AS VARCHAR) AS instrument, CAST(ts AS DATE) AS datetime, arg
 max(value) AS high, min(value) AS low, CAST(count(*) AS DOUBLE) AS volume, sum(value) / count(*) AS vwap FROM events GROUP BY 1, 2)"""
 
 
+#: Moves decimal ties off the edge, where two engines may round apart.
+NUDGE = 1.7e-8
+
+
+def rounded(x: Column, digits: int = 6) -> Column:
+    return F.round(x.cast("double") + NUDGE, digits) + 0.0
+
+
+def rounded_sql(x: str, digits: int = 6) -> str:
+    return f"round(CAST({x} AS DOUBLE) + {NUDGE}, {digits}) + 0.0"
+
+
 def rows(n: int) -> str:
     return f"OVER (PARTITION BY instrument ORDER BY datetime ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 
@@ -153,8 +165,8 @@ OPS: dict[str, tuple[Callable[[], Column], str]] = {
 
 
 def _query(build: Callable[[], Column]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: events_panel(spark, sf_dir).select("datetime", "instrument", (F.round(build(), 6) + 0.0).alias("v"))
+    return lambda spark, sf_dir: events_panel(spark, sf_dir).select("datetime", "instrument", rounded(build()).alias("v"))
 
 
 QUERIES = {name: _query(build) for name, (build, _) in OPS.items()}
-ORACLE_SQL = {name: f"WITH {PANEL_SQL}, {STEP}\nSELECT datetime, instrument, round(CAST({sql} AS DOUBLE), 6) + 0.0 AS v FROM r" for name, (_, sql) in OPS.items()}
+ORACLE_SQL = {name: f"WITH {PANEL_SQL}, {STEP}\nSELECT datetime, instrument, {rounded_sql(sql)} AS v FROM r" for name, (_, sql) in OPS.items()}
