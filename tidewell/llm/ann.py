@@ -159,7 +159,9 @@ def nearest(
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     per_part = max(1, min(parts, rows.count() // block_rows))
-    index = stored(_packed(rows.repartitionByRange(per_part, "vec_id").sortWithinPartitions("vec_id"), block_rows, quantiser), "index")
+    # full blocks, however many partitions the cluster deals rows to: a task passes on k rows a query and block
+    dealt = rows.repartitionByRange(per_part, "vec_id").coalesce(per_part).sortWithinPartitions("vec_id")
+    index = stored(_packed(dealt, block_rows, quantiser), "index")
     asked = rows.where(is_query if is_query is not None else F.col("vec_id") % 20 == 0)
     queries = stored(_packed(asked.coalesce(per_part).sortWithinPartitions("vec_id"), query_rows).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")), "queries")
     shared = spark.sparkContext.broadcast(quantiser)
