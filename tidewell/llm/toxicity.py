@@ -122,10 +122,8 @@ def train(corpus: list[bytes], y: np.ndarray, steps: int = 300, rate: float = 0.
         return empty
     in_doc: dict[bool, list[np.ndarray]] = {True: [], False: []}
     column = pa.array(corpus, pa.binary())
-    parsed = []
     for s in tb.slices(column):
-        w, sentence, row = _sentences(s)
-        parsed.append((s, w, sentence, row))
+        w, _, _ = _sentences(s)
         every = np.array(_features(w))
         for r, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)):
             in_doc[bool(y[s.lo + r])].append(np.unique(every[:, a:b]))
@@ -140,7 +138,8 @@ def train(corpus: list[bytes], y: np.ndarray, steps: int = 300, rate: float = 0.
         return empty
     table = model.lookup()
     at, which, doc, offset = [], [], [], 0
-    for s, w, sentence, row in parsed:
+    for s in tb.slices(column):
+        w, sentence, row = _sentences(s)
         a, f = model.occurrences(w, sentence, table)
         at.append(a + offset)
         which.append(f)
@@ -166,7 +165,7 @@ def train(corpus: list[bytes], y: np.ndarray, steps: int = 300, rate: float = 0.
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Column | None = None, most_rows: int = 8000, most_bytes: int = 48_000_000) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Column | None = None, most_rows: int = 8000, most_bytes: int = 24_000_000) -> ToxicityModel:
     """A model from the labelled rows of docs for which the condition learn on labels holds."""
     return train(*labelled_sample(docs, labels, label, learn, most_rows, most_bytes))
 
