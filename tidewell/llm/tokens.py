@@ -14,12 +14,12 @@ and any file system that Spark writes to will do.
 from __future__ import annotations
 
 import os
-import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,13 +31,19 @@ from .shared import new_path
 MAGIC = 0x5457_544B
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: A word of plain letters and the punctuation after it, which the tokenizer parts the same way.
-PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)([.,!?;:$%&#*|)\"-]*)").fullmatch
+PLAIN = "^(?P<core>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)(?P<tail>[.,!?;:$%&#*|)\"-]*)$"
 #: Words that a task remembers the ids of.
 MOST_REMEMBERED = 400_000
+#: Rows and bytes of text that are encoded at a time, one row at least.
+ENCODED_ROWS, ENCODED_BYTES = 4096, 4 << 20
 
 
 class Encoder:
-    """Ids of texts; remembers those of words, as blanks always part tokens in this kind of tokenizer."""
+    """Ids of texts; remembers those of words, as blanks always part tokens in this kind of tokenizer.
+
+    Arrow cuts texts into chunks and finds the distinct ones; only these are
+    looked at in Python, and only new ones go through the tokenizer.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -52,52 +58,57 @@ class Encoder:
         self.final = np.zeros(size, bool)
         for token, i in vocabulary.items():
             self.final[i] = token.endswith("</w>")
-        self.cache: dict[str, bytes] = {"": b""}
+        self.chunks: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_cores(self, cores: list[str]) -> None:
+    def _joined(self, cores: list[str]) -> list[bytes]:
         """Lower-case runs of letters, many to a call: each ends with the one token that is final in a word."""
+        out = []
         for i in range(0, len(cores), 2000):
             part = cores[i : i + 2000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
             ends = ((np.flatnonzero(self.final[ids]) + 1) * self.dtype.itemsize).tolist()
-            if len(ends) == len(part):
-                raw = ids.tobytes()
-                self.cores.update(zip(part, (raw[a:b] for a, b in zip([0, *ends], ends)), strict=True))
-            else:
-                self.cores.update(zip(part, self._plain(part), strict=True))
-
-    def _learn(self, missing: set[str]) -> None:
-        if len(self.cores) > MOST_REMEMBERED:
-            self.cores = {}
-        split, odd, cores, cache = [], [], self.cores, self.cache
-        for chunk in missing:
-            if m := PLAIN(chunk):
-                core, tail = m.groups()
-                core = core.lower()
-                split.append((chunk, core, tail))
-                if tail not in cache:
-                    odd.append(tail)
-            else:
-                odd.append(chunk)
-        self._learn_cores([*{c for _, c, _ in split} - cores.keys()])
-        odd = [*{*odd}]
-        cache.update(zip(odd, self._plain(odd), strict=True))
-        for chunk, core, tail in split:
-            cache[chunk] = cores[core] + cache[tail]
-
-    def encode(self, texts: list[str], end: bytes) -> list[bytes]:
-        """Raw ids of each text and the end id."""
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.cache) > MOST_REMEMBERED:
-            self.cache = {"": b""}
-        if missing := set().union(*chunks) - self.cache.keys():
-            self._learn(missing)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, c)) + end for c in chunks]
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *ends], ends)] if len(ends) == len(part) else self._plain(part)
+        return out
+
+    @staticmethod
+    def _remembered(known: dict[str, bytes], pieces: list[str], learn: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        if len(known) > MOST_REMEMBERED:
+            known.clear()
+        if missing := [p for p in pieces if p not in known]:
+            known.update(zip(missing, learn(missing), strict=True))
+        return [known[p] for p in pieces]
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[pa.Buffer, np.ndarray]:
+        """Raw ids of all texts in a row, each with the end id, and the bytes at which each text's begin."""
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        bounds = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        words = parts.flatten().dictionary_encode()
+        forms = words.dictionary
+        split = pc.extract_regex(forms, PLAIN)
+        plain = pc.is_valid(split)
+        cores = pc.utf8_lower(split.field("core").filter(plain)).dictionary_encode()
+        tails = split.field("tail").filter(plain).dictionary_encode()
+        odd = forms.filter(pc.invert(plain)).to_pylist()
+        pieces = self._remembered(self.cores, cores.dictionary.to_pylist(), self._joined)
+        n_cores = len(pieces)
+        pieces += self._remembered(self.chunks, tails.dictionary.to_pylist(), self._plain)
+        n_tails = len(pieces) - n_cores
+        pieces += self._remembered(self.chunks, odd, self._plain) + [b"", np.array([end_id], self.dtype).tobytes()]
+        # each form is two pieces: a core and its tail, or an odd chunk and the empty piece
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        two = np.full((len(forms), 2), len(pieces) - 2, np.int32)
+        two[is_plain, 0] = cores.indices.to_numpy()
+        two[is_plain, 1] = tails.indices.to_numpy() + n_cores
+        two[~is_plain, 0] = np.arange(len(odd)) + n_cores + n_tails
+        flat = np.insert(two[words.indices.to_numpy()].ravel(), 2 * bounds[1:], len(pieces) - 1)
+        ids = pa.array(pieces, pa.large_binary()).take(pa.array(flat))
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[2 * bounds.astype(np.int64) + np.arange(len(bounds))]
+        return ids.buffers()[2], ends
 
 
 _encoders: dict[str, Encoder] = {}
@@ -205,7 +216,6 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, or
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard = _encoder(tokenizer), TaskContext.get().partitionId()
-        end = np.array([end_id], encoder.dtype).tobytes()
         width = encoder.dtype.itemsize
         ids: list[int | None] = []
         raw: list[bytes] = []
@@ -230,14 +240,21 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, or
             return pa.RecordBatch.from_pydict(out, pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("index", pa.binary()), ("place", pa.binary()), ("payload", pa.binary())]))
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                for i, x in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist(), end), strict=True):
-                    if ids and (size + len(x)) // width > block_tokens:
+            column = batch.column(1)
+            sums = np.concatenate(([0], np.cumsum(pc.binary_length(column).to_numpy())))
+            lo = 0
+            while lo < batch.num_rows:
+                most = int(np.searchsorted(sums, sums[lo] + ENCODED_BYTES, "right")) - 1
+                hi = max(lo + 1, min(most, lo + ENCODED_ROWS))
+                found, begin = encoder.encode(column.slice(lo, hi - lo), end_id)
+                keys, begin = batch.column(0).slice(lo, hi - lo).to_pylist(), begin.tolist()
+                for i, a, b in zip(keys, begin, begin[1:], strict=False):
+                    if ids and (size + b - a) // width > block_tokens:
                         yield flush()
                     ids.append(i)
-                    raw.append(x)
-                    size += len(x)
+                    raw.append(found[a:b].to_pybytes())
+                    size += b - a
+                lo = hi
         if ids:
             yield flush()
 
