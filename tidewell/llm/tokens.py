@@ -156,12 +156,14 @@ class Index:
         by_size = np.argsort(-size, kind="stable")
         for b in by_size[: int((size > 1).sum())].tolist():
             own = order[start[b] : start[b] + size[b]]
-            d = 0
-            while True:
-                at = _slot(h[own], np.full(len(own), d), n)
-                if (ordinal[at] < 0).all() and len(set(at.tolist())) == len(at):
+            d, width_tried = 0, 32
+            while True:  # many displacements at a time, more of them as free slots grow rare
+                slots = _slot(h[own], np.arange(d, d + width_tried)[:, None], n)
+                fits = np.flatnonzero((ordinal[slots] < 0).all(axis=1)).tolist()
+                if first := [i for i in fits if len(set(slots[i].tolist())) == len(own)][:1]:
+                    d, at = d + first[0], slots[first[0]]
                     break
-                d += 1
+                d, width_tried = d + width_tried, min(2 * width_tried, 4096)
             displacement[b] = d
             ordinal[at] = own
         alone = by_size[int((size > 1).sum()) : int((size > 0).sum())]
