@@ -41,3 +41,19 @@ def test_against_brute_force(spark):
 def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert cross_entropy_difference(empty, empty.select("doc_id")).count() == 0
+
+
+def test_every_word_and_bigram_counts(spark):
+    # 80,000 words that all occur twice, each in its one bigram or two: more than 16 bits hold, and all of one count
+    docs = spark.range(800).selectExpr("id AS doc_id", "array_join(transform(sequence(0, 199), j -> concat('w', (id % 400) * 200 + j)), ' ') AS text")
+    good = set(range(0, 800, 3))
+    out = {r.doc_id: r for r in cross_entropy_difference(docs, spark.createDataFrame([(i,) for i in good], "doc_id long")).collect()}
+
+    def loss(n, total):
+        p, used = (n + 1) / (total + 80_001), max(n - 0.75, 0) / max(n, 1)
+        return -math.log(p) - 199 * math.log(used + (1 - used) * p)
+
+    assert len(out) == 800
+    for i, r in out.items():
+        assert math.isclose(r.background_loss, loss(2, 160_000), rel_tol=1e-9)
+        assert math.isclose(r.target_loss, loss((i % 400 in good) + (i % 400 + 400 in good), 200 * len(good)), rel_tol=1e-9)

@@ -1,113 +1,283 @@
 """Language-model scoring by cross-entropy difference.
 
 Two bigram models over one vocabulary: a target model of the documents that a
-label marks, a background model of all documents.  The vocabulary is the most
-frequent words of all documents (at most `most_words`; other words are one
-unknown word).  Both models keep the same bigrams (at most `most_bigrams`, by
-their count in the background) with absolute discounting and interpolation, so
-they are matched in everything but their counts.  A document's score is its
-mean loss per word under the background less that under the target.
-
-Counts cover all documents and are summed by Spark; each task adds up its own
-rows first.  What is broadcast has the two bounds above.
+label marks, a background model of all documents.  The vocabulary is every word
+that occurs twice or more in all documents (other words are one unknown word),
+and every bigram that occurs twice or more is kept.  Both models use absolute
+discounting and interpolation, so they are matched in everything but their
+counts.  A document's score is its mean loss per word under the background less
+that under the target.
+
+The models grow with the documents and are never gathered in one place.
+Documents are dealt into chunks of bounded size; words and bigrams, by their
+hashes, into buckets whose number follows the bytes of the texts.  A chunk
+sends each bucket its distinct keys with counts, and the bucket sends back, in
+the same order, the counts in all documents.  So a key has one entry a chunk at
+most, however common it is, and a chunk has just the part of the models that
+its own documents need:
+
+1. words: counts of each word;
+2. bigrams of the words so known: counts, and the one chunk that stands for
+   each;
+3. words again: the sums over kept bigrams by left word that the backoff needs;
+4. scores.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .shared import stored, texts
 
-FLUSH_WORDS = 1_500_000
-
-
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return key, np.array([np.bincount(at, c, minlength=len(key)) for c in np.concatenate(counts, axis=1)]).astype(np.int64)
-
-
-def _pre_aggregated(pieces: Iterator[tuple[np.ndarray, np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Sums counts by key within a task, and passes them on whenever FLUSH_WORDS keys have gathered."""
-    keys, counts, size = [], [], 0
-    for key, count in pieces:
-        keys.append(key)
-        counts.append(count)
-        size += len(key)
-        if size > FLUSH_WORDS:
-            k, c = _summed(keys, counts)
-            keys, counts, size = [k], [c], len(k)
-            if size > FLUSH_WORDS // 2:
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), *map(pa.array, c)], names=names)
-                keys, counts, size = [], [], 0
-    if size:
-        k, c = _summed(keys, counts)
-        yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), *map(pa.array, c)], names=names)
-
-
-def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
-    """Rows whose n reaches a level that at most `most` rows reach; levels are sixteenths of a power of two."""
-    level = F.floor(F.log2("n") * 16).cast("int")
-    sizes = sorted(((r.level, r.rows) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).collect()), reverse=True)
-    least, total = 10**6, 0
-    for at, rows in sizes:  # at most 16 * 64 levels
-        total += rows
-        if total > most:
-            break
-        least = at
-    return counts.where(level >= least)
-
-
-class BigramModels:
-    """Vocabulary, kept bigrams and both models' log probabilities."""
-
-    def __init__(self, words: np.ndarray, bigrams: np.ndarray, bigram_counts: np.ndarray, starts: np.ndarray, discount: float):
-        self.words = words
-        v = len(words) + 1  # the last id is the unknown word
-        self.bigrams = bigrams
-        left, right = bigrams // v, bigrams % v
-        self.log_unigram, self.log_backoff, self.log_bigram = [], [], []
-        for counts, kept in zip(starts, bigram_counts, strict=True):
-            unigram = (counts + 1.0) / (counts.sum() + v)
-            used = np.maximum(kept - discount, 0) / np.maximum(counts[left], 1)
-            backoff = np.clip(1 - np.bincount(left, used, minlength=v), 1e-6, 1)
-            self.log_unigram.append(np.log(unigram))
-            self.log_backoff.append(np.log(backoff))
-            self.log_bigram.append(np.log(used + backoff[left] * unigram[right]))
-
-    def losses(self, ids: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-        """Total loss of each row under the target and the background model."""
-        v = len(self.words) + 1
-        key = ids[:-1].astype(np.int64) * v + ids[1:]
-        slot = np.minimum(np.searchsorted(self.bigrams, key), max(0, len(self.bigrams) - 1))
-        known = self.bigrams[slot] == key if len(self.bigrams) else np.zeros(len(key), bool)
-        begins = np.zeros(len(ids), bool)
-        begins[first[:-1][first[:-1] < first[1:]]] = True
-        out = []
-        for unigram, backoff, bigram in zip(self.log_unigram, self.log_backoff, self.log_bigram, strict=True):
-            loss = -unigram[ids]
-            if len(ids) > 1:
-                after = -np.where(known, bigram[slot] if len(bigram) else 0.0, backoff[ids[:-1]] + unigram[ids[1:]])
-                loss[1:] = np.where(begins[1:], loss[1:], after)
-            out.append(np.add.reduceat(np.append(loss, 0.0), np.minimum(first[:-1], len(loss))) * (first[:-1] < first[1:]))
-        return out
-
-
-def _word_ids(words: np.ndarray, h: np.ndarray) -> np.ndarray:
-    slot = np.minimum(np.searchsorted(words, h), max(0, len(words) - 1))
-    return np.where(words[slot] == h, slot, len(words)) if len(words) else np.zeros(len(h), np.int64)
+CHUNK_WORDS = 700_000
+BUCKET_BYTES = 4 << 20
+UNKNOWN = 0  # hash of the unknown word; every chunk has it as its first word
+
+DOCS, WORDS, BIGRAMS, LEFTS, TOTALS = range(5)
+MESSAGE = ("kind", "chunk", "bucket", "a", "b", "c")
+SCHEMA = "kind int, chunk long, bucket long, a binary, b binary, c binary"
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers by byte planes, as many as the largest needs; planes of mostly small numbers compress well."""
+    planes = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    return bytes([planes]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes()
+
+
+def _unpacked(raw: pa.Buffer) -> np.ndarray:
+    data = np.frombuffer(raw, np.uint8)
+    if not len(data):
+        return np.empty(0, np.int64)
+    planes = data[1:].reshape(int(data[0]), -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : len(planes)] = planes.T
+    return out.view("<i8").ravel()
+
+
+def _packed_sorted(h: np.ndarray) -> bytes:
+    """Sorted hashes, one at least, by their differences."""
+    return h[:1].tobytes() + _packed(np.diff(h))
+
+
+def _unpacked_sorted(raw: pa.Buffer) -> np.ndarray:
+    if not len(raw):
+        return np.empty(0, np.uint64)
+    return np.cumsum(np.concatenate((np.frombuffer(raw[:8], np.uint64), _unpacked(raw[8:]).view(np.uint64))), dtype=np.uint64)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(MESSAGE))
+
+
+def _cuts(h: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, low, high) of the buckets of sorted hashes; buckets ascend with the hashes."""
+    of = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    edges = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True]))).tolist() if len(of) else [0]
+    return [(int(of[a]), a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _by(df: DataFrame, key: str, one: Callable[[list[tuple]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Applies `one` to the messages of each key, by kind, then bucket, then chunk."""
+    at = MESSAGE.index(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            whole = [batch.column(i).to_pylist() for i in range(3)]
+            parts = [batch.column(i) for i in range(3, 6)]
+            for i, head in enumerate(zip(*whole, strict=True)):
+                if rows and rows[-1][at] != head[at]:
+                    yield from one(rows)
+                    rows = []
+                rows.append((*head, *(p[i].as_buffer() for p in parts)))
+        if rows:
+            yield from one(rows)
+
+    order = dict.fromkeys((key, "kind", "bucket", "chunk"))
+    return df.select(*MESSAGE).repartition(key).sortWithinPartitions(*order).mapInArrow(run, schema)
+
+
+def _joined(rows: list[tuple], kind: int, at: int, read: Callable) -> np.ndarray:
+    return np.concatenate([read(r[at]) for r in rows if r[0] == kind] or [read(b"")])
+
+
+def _hashes(raw: pa.Buffer) -> np.ndarray:
+    return np.frombuffer(raw, np.uint64)
+
+
+def _floats(raw: pa.Buffer) -> np.ndarray:
+    return np.frombuffer(raw, np.float64)
+
+
+def _chunks_of(marked: DataFrame, buckets: int) -> DataFrame:
+    """Of each chunk, its documents as places in the sorted list of its words (DOCS), and its words by bucket with counts (WORDS)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, heads, size, made = [], [], 0, 0
+        task = TaskContext.get().partitionId() << 32
+
+        def flush() -> pa.RecordBatch:
+            head = np.concatenate(heads, axis=1)
+            words, ids = np.unique(np.concatenate(([np.uint64(UNKNOWN)], *hashes)), return_inverse=True)
+            ids = ids[1:]
+            n = np.bincount(ids, minlength=len(words))
+            target = np.bincount(ids, np.repeat(head[2], head[3]), minlength=len(words))
+            chunk = task + made
+            out = [(WORDS, chunk, k, words[a:b].tobytes(), _packed(n[a:b]), _packed(target[a:b])) for k, a, b in _cuts(words, buckets)]
+            return _batch([*out, (DOCS, chunk, -1, head.tobytes(), words.tobytes(), _packed(ids))])
+
+        for batch in batches:
+            valid = np.asarray(batch.column(0).is_valid())
+            doc_id, chosen = batch.column(0).fill_null(0).to_numpy(), batch.column(2).to_numpy()
+            for s in tb.slices(batch.column(1)):
+                w = tb.words(s, tb.ALNUM_WORDS)
+                hashes.append(w.hashes())
+                rows = slice(s.lo, s.hi)
+                heads.append(np.array([doc_id[rows], valid[rows], chosen[rows], np.diff(w.first)], np.int64))
+                size += len(hashes[-1])
+                if size >= CHUNK_WORDS:
+                    yield flush()
+                    hashes, heads, size, made = [], [], 0, made + 1
+        if heads:
+            yield flush()
+
+    return marked.select("doc_id", "text", "chosen").mapInArrow(run, SCHEMA)
+
+
+def _count_words(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Of a bucket: to each chunk the counts of its words in all documents, and the bucket's totals."""
+    word, n, target = _joined(rows, WORDS, 3, _hashes), _joined(rows, WORDS, 4, _unpacked), _joined(rows, WORDS, 5, _unpacked)
+    words, at = np.unique(word, return_inverse=True)
+    n, target = (np.bincount(at, x, minlength=len(words)).astype(np.int64) for x in (n, target))
+    once = n == 1
+    totals = np.array([n.sum(), target.sum(), once.sum(), target[once].sum(), (n > 1).sum()], np.int64)
+    out, low = [(TOTALS, -1, rows[0][2], totals.tobytes(), b"", b"")], 0
+    for r in rows:
+        mine = at[low : (low := low + r[3].size // 8)]
+        out.append((WORDS, r[1], r[2], _packed(n[mine]), _packed(target[mine]), b""))
+    yield _batch(out)
+
+
+class Chunk:
+    """Documents of a chunk, its words with their counts in all documents, and its distinct bigrams by hash."""
+
+    def __init__(self, rows: list[tuple]):
+        docs = next(r for r in rows if r[0] == DOCS)
+        self.name = docs[1]
+        self.doc_id, self.valid, self.chosen, self.length = np.frombuffer(docs[3], np.int64).reshape(4, -1)
+        self.words = _hashes(docs[4])
+        self.n, self.target = _joined(rows, WORDS, 3, _unpacked), _joined(rows, WORDS, 4, _unpacked)
+        ids = np.where(self.n > 1, np.arange(len(self.words)), 0)[_unpacked(docs[5])]
+        row = np.repeat(np.arange(len(self.length)), self.length)
+        self.ids, self.row = ids, row
+        self.inside = row[1:] == row[:-1]
+        pair, at = np.unique((ids[:-1] * len(self.words) + ids[1:])[self.inside], return_inverse=True)
+        left, right = pair // len(self.words), pair % len(self.words)
+        key = tb.mix(self.words[left] * tb.SHINGLE_CODES[0] + self.words[right] * tb.SHINGLE_CODES[1])
+        order = np.argsort(key, kind="stable")
+        self.key, self.left, self.right = key[order], left[order], right[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.at = place[at]  # the bigram of each word that is not the first of its document
+
+
+def _send_bigrams(buckets: int) -> Callable[[list[tuple]], Iterator[pa.RecordBatch]]:
+    def one(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        c = Chunk(rows)
+        n = np.bincount(c.at, minlength=len(c.key))
+        target = np.bincount(c.at, c.chosen[c.row[1:][c.inside]], minlength=len(c.key))
+        out = [(BIGRAMS, c.name, k, _packed_sorted(c.key[a:b]), _packed(n[a:b]), _packed(target[a:b])) for k, a, b in _cuts(c.key, buckets)]
+        if out:
+            yield _batch(out)
+
+    return one
+
+
+def _count_bigrams(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Of a bucket: to each chunk the counts of its bigrams in all documents, 0 for those not kept, and which are its own: each is one chunk's."""
+    key = [_unpacked_sorted(r[3]) for r in rows]
+    keys, first, at = np.unique(np.concatenate(key), return_index=True, return_inverse=True)
+    n, target = (np.bincount(at, _joined(rows, BIGRAMS, i, _unpacked), minlength=len(keys)).astype(np.int64) for i in (4, 5))
+    target[n < 2] = 0
+    n[n < 2] = 0
+    own = np.zeros(len(at), np.int64)
+    own[first] = 1
+    out, low = [], 0
+    for r, k in zip(rows, key, strict=True):
+        part = slice(low, low := low + len(k))
+        out.append((BIGRAMS, r[1], r[2], _packed(n[at[part]]), _packed(target[at[part]]), _packed(own[part])))
+    yield _batch(out)
+
+
+def _send_lefts(buckets: int, discount: float) -> Callable[[list[tuple]], Iterator[pa.RecordBatch]]:
+    """Of a chunk: to the buckets of words the discounted sums of its own bigrams by left word."""
+
+    def one(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        c = Chunk(rows)
+        n, target, own = (_joined(rows, BIGRAMS, i, _unpacked) for i in (3, 4, 5))
+        mine = (own > 0) & (n > 0)
+        used, used_target = (np.bincount(c.left[mine], np.maximum(x[mine] - discount, 0), minlength=len(c.words)) for x in (n, target))
+        some = np.flatnonzero(np.bincount(c.left[mine], minlength=len(c.words)))
+        words, used, used_target = c.words[some], used[some], used_target[some]
+        out = [(LEFTS, c.name, k, words[a:b].tobytes(), used[a:b].tobytes(), used_target[a:b].tobytes()) for k, a, b in _cuts(words, buckets)]
+        if out:
+            yield _batch(out)
+
+    return one
+
+
+def _sum_lefts(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Of a bucket: to each chunk the discounted sums of its words as left words."""
+    words, at = np.unique(_joined(rows, LEFTS, 3, _hashes), return_inverse=True)
+    sums = [np.append(np.bincount(at, _joined(rows, LEFTS, i, _floats), minlength=len(words)), 0.0) for i in (4, 5)]
+    out = []
+    for r in rows:
+        if r[0] == WORDS:
+            mine = _hashes(r[3])
+            slot = np.searchsorted(words, mine)
+            slot[np.append(words, np.uint64(0))[slot] != mine] = len(words)
+            out.append((LEFTS, r[1], r[2], sums[0][slot].tobytes(), sums[1][slot].tobytes(), b""))
+    if out:
+        yield _batch(out)
+
+
+def _score(totals: np.ndarray, discount: float) -> Callable[[list[tuple]], Iterator[pa.RecordBatch]]:
+    every, every_target, once, once_target, known = totals.tolist()
+    v = known + 1
+
+    def one(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        c = Chunk(rows)
+        begins = np.append(True, ~c.inside) if len(c.ids) else np.zeros(0, bool)
+        losses = []
+        models = ((c.target, every_target, once_target, 4), (c.n, every, once, 3))
+        for count, total, unknown, field in models:
+            start = count.astype(np.float64)
+            start[0] = unknown
+            unigram = (start + 1) / (total + v)
+            backoff = np.clip(1 - _joined(rows, LEFTS, field, _floats) / np.maximum(start, 1), 1e-6, 1)
+            used = np.maximum(_joined(rows, BIGRAMS, field, _unpacked) - discount, 0) / np.maximum(start[c.left], 1)
+            loss = np.empty(len(c.ids))
+            loss[begins] = -np.log(unigram[c.ids[begins]])
+            loss[~begins] = -np.log(used + backoff[c.left] * unigram[c.right])[c.at]
+            losses.append(np.bincount(c.row, loss, minlength=len(c.length)))
+        target, background = losses
+        columns = [pa.array(c.doc_id, mask=c.valid == 0), pa.array(c.length), pa.array(target), pa.array(background), pa.array((background - target) / np.maximum(c.length, 1))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
+
+    return one
 
 
 def cross_entropy_difference(
     docs: DataFrame,
     target_ids: DataFrame,
-    most_words: int = 32_767,
-    most_bigrams: int = 400_000,
     discount: float = 0.75,
     doc_id: str = "doc_id",
     text: str = "text",
@@ -120,70 +290,21 @@ def cross_entropy_difference(
     to the target, and 0 for null, empty or wordless texts.  With no target or
     an empty vocabulary the models are uniform and every score is finite.
     """
-    spark = docs.sparkSession
     read = texts(docs, doc_id=doc_id, text=text)
-
-    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pieces():
-            for batch in batches:
-                for s in tb.slices(batch.column(0)):
-                    key, n = np.unique(tb.words(s, tb.ALNUM_WORDS).hashes(), return_counts=True)
-                    yield key, n[None, :]
-
-        yield from _pre_aggregated(pieces(), ["word", "n"])
-
-    counts = read.select("text").mapInArrow(count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = stored(counts.where("n > 1"), "words")
-    words = np.sort(_most_frequent(counts, most_words).select("word").toPandas()["word"].to_numpy(np.int64).view(np.uint64))
-    shared_words = spark.sparkContext.broadcast(words)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s in tb.slices(batch.column(1)):
-                w = tb.words(s, tb.ALNUM_WORDS)
-                ids = _word_ids(shared_words.value, w.hashes()).astype("<u2")
-                raw = [ids[a:b].tobytes() for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.hi - s.lo), pa.array(raw, pa.binary())], names=["doc_id", "ids"])
-
-    encoded = stored(read.mapInArrow(encode, "doc_id long, ids binary"), "encoded")
+    size = read.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    buckets = 1 + size // BUCKET_BYTES
     chosen = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("chosen", F.lit(1))
     # the target's ids grow with the documents, so they are never broadcast
-    marked = encoded.join(chosen.hint("merge"), "doc_id", "left").select("ids", F.coalesce("chosen", F.lit(0)).cast("long").alias("chosen"))
-    v = len(words) + 1
-
-    def count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Bigrams as left * v + right, single words as -1 - word."""
-
-        def pieces():
-            for batch in batches:
-                chosen = batch.column(1).to_numpy()
-                for s in tb.slices(batch.column(0), lower=False):
-                    ids = s.data.view("<u2").astype(np.int64)
-                    first = s.bounds // 2
-                    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                    weight = np.array([chosen[s.lo : s.hi][row], np.ones(len(ids))])
-                    inside = row[1:] == row[:-1]
-                    key = np.concatenate((-1 - ids, (ids[:-1] * v + ids[1:])[inside]))
-                    yield key, np.concatenate((weight, weight[:, 1:][:, inside]), axis=1)
-
-        yield from _pre_aggregated(((k, c) for k, c in pieces()), ["run", "target", "n"])
-
-    runs = marked.mapInArrow(count_runs, "run long, target long, n long").groupBy("run").agg(F.sum("target").alias("target"), F.sum("n").alias("n"))
-    runs = stored(runs.where("run < 0 or n > 1"), "runs")
-    single = runs.where("run < 0").toPandas()
-    starts = np.zeros((2, v))
-    starts[:, -1 - single["run"].to_numpy(np.int64)] = single[["target", "n"]].to_numpy().T
-    kept = _most_frequent(runs.where("run >= 0"), most_bigrams).toPandas().sort_values("run")
-    models = BigramModels(words, kept["run"].to_numpy(np.int64), kept[["target", "n"]].to_numpy(np.float64).T, starts, discount)
-    shared = spark.sparkContext.broadcast(models)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s in tb.slices(batch.column(1), lower=False):
-                first = s.bounds // 2
-                n = np.diff(first)
-                target, background = shared.value.losses(s.data.view("<u2").astype(np.int64), first)
-                columns = [pa.array(n), pa.array(target), pa.array(background), pa.array((background - target) / np.maximum(n, 1))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.hi - s.lo), *columns], names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
-
-    return encoded.mapInArrow(score, "doc_id long, n_words long, target_loss double, background_loss double, score double")
+    marked = read.join(chosen.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("chosen", F.lit(0)).cast("long").alias("chosen"))
+
+    sent = stored(_chunks_of(marked, buckets), "chunks", partition_by="kind").select(*MESSAGE)
+    asked, chunks = sent.where(f"kind = {WORDS}"), sent.where(f"kind = {DOCS}")
+    counted = stored(_by(asked, "bucket", _count_words, SCHEMA), "words", partition_by="kind").select(*MESSAGE)
+    totals = np.sum([np.zeros(5, np.int64), *(np.frombuffer(r.a, np.int64) for r in counted.where(f"kind = {TOTALS}").select("a").collect())], axis=0)
+    chunks = chunks.unionByName(counted.where(f"kind = {WORDS}"))
+
+    bigrams = _by(chunks, "chunk", _send_bigrams(buckets), SCHEMA)
+    chunks = chunks.unionByName(stored(_by(bigrams, "bucket", _count_bigrams, SCHEMA), "bigrams"))
+    lefts = _by(chunks, "chunk", _send_lefts(buckets, discount), SCHEMA)
+    whole = chunks.unionByName(_by(asked.unionByName(lefts), "bucket", _sum_lefts, SCHEMA))
+    return _by(whole, "chunk", _score(totals, discount), "doc_id long, n_words long, target_loss double, background_loss double, score double")
