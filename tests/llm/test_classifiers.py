@@ -72,3 +72,13 @@ def test_quality_odd_rows(spark):
     unlearned = quality.fit(docs, marks.limit(0))
     assert {r.score for r in quality.score(docs, unlearned).collect()} == {0.5}
     assert quality.score(docs.limit(0), unlearned).count() == 0
+
+
+def test_toxicity_of_clean_text_does_not_grow_with_its_length(spark):
+    rows, labels = corpus(5)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    fitted = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    empty = toxicity.fit(docs, spark.createDataFrame([(1, 0)], "doc_id long, toxic int"))
+    long = spark.createDataFrame([(1, "bana loder stmi. " * 20_000), (2, "bana loder stmi. " * 20_000 + "bana grokking loder.")], "doc_id long, text string")
+    assert {r.doc_id: r.score >= 0.3 for r in toxicity.score(long, fitted).collect()} == {1: False, 2: True}
+    assert all(r.score == 0 for r in toxicity.score(long, empty).collect())

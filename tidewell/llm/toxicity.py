@@ -4,7 +4,9 @@ A document is a bag of sentences.  A sentence's score is a logistic function of
 its word features, a document's the noisy-or of its sentences' scores; the
 weights are trained from document labels only, and the sentence scores then
 tell where the offending sentences are.  Features are words and their first
-four to eight bytes, which covers inflected forms.
+four to eight bytes, which covers inflected forms.  A sentence without any
+feature of the model adds nothing, so that a document's length alone says
+nothing about it.
 
 The model is fitted on a bounded sample of labelled rows (`most_rows`,
 `most_bytes`), so what is broadcast has a fixed bound.  Scoring is one narrow
@@ -86,10 +88,10 @@ class ToxicityModel:
         return table
 
     def sentence_scores(self, w: tb.Words, sentence: np.ndarray, table: np.ndarray) -> np.ndarray:
-        """Logistic score of each sentence; a feature counts once in a sentence."""
+        """Logistic score of each sentence, 0 without a feature; a feature counts once in a sentence."""
         count = int(sentence[-1]) + 1 if len(sentence) else 0
         at, which = self.occurrences(w, sentence, table)
-        return _sigmoid(self.bias + np.bincount(at, self.weights[which], minlength=count))
+        return np.where(np.bincount(at, minlength=count) > 0, _sigmoid(self.bias + np.bincount(at, self.weights[which], minlength=count)), 0.0)
 
     def occurrences(self, w: tb.Words, sentence: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         pairs = []
@@ -115,7 +117,7 @@ def train(corpus: list[bytes], y: np.ndarray, steps: int = 300, rate: float = 0.
 
     Features come from the sample: found in `least` positive documents or more,
     and that by `least_sigma` standard deviations more than chance would have it.
-    With labels of one kind only, or none, every sentence scores near 0.
+    With labels of one kind only, or none, every sentence scores 0.
     """
     empty = ToxicityModel(np.empty(0, np.uint64), np.empty(0), -8.0)
     if not 0 < y.sum() < len(y):
@@ -146,13 +148,14 @@ def train(corpus: list[bytes], y: np.ndarray, steps: int = 300, rate: float = 0.
         doc.append(row + s.lo)
         offset += len(row)
     at, which, doc = np.concatenate(at), np.concatenate(which), np.concatenate(doc)
+    some = np.bincount(at, minlength=offset) > 0  # sentences with a feature
     m, v = np.zeros(len(model.weights) + 1), np.zeros(len(model.weights) + 1)
     chance = np.random.default_rng(7)
     for t in range(1, steps + 1):
         # a random half of the sentences each step, so that none leans on the others of its document;
         # then all of them, to set the bias
         whole = t > 0.7 * steps
-        shown = chance.random(offset) < (1.0 if whole else 0.5)
+        shown = some & (chance.random(offset) < (1.0 if whole else 0.5))
         p = shown * _sigmoid(model.bias + np.bincount(at, model.weights[which], minlength=offset))
         q = np.clip(_noisy_or(p, doc, len(y)), 1e-9, 1 - 1e-9)
         # d loss / d logit of a sentence: p for a negative document, -p (1 - q) / q for a positive one
