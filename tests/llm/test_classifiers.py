@@ -82,3 +82,14 @@ def test_toxicity_of_clean_text_does_not_grow_with_its_length(spark):
     long = spark.createDataFrame([(1, "bana loder stmi. " * 20_000), (2, "bana loder stmi. " * 20_000 + "bana grokking loder.")], "doc_id long, text string")
     assert {r.doc_id: r.score >= 0.3 for r in toxicity.score(long, fitted).collect()} == {1: False, 2: True}
     assert all(r.score == 0 for r in toxicity.score(long, empty).collect())
+
+
+def test_long_texts_and_rare_labels_do_not_end_the_sample(spark):
+    docs = spark.createDataFrame([(i, "long " * 4000 if i % 2 else f"short {i}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == 398)) for i in range(400)], "doc_id long, toxic int")
+    corpus_, y = toxicity.labelled_sample(docs, labels, "toxic", None, 400, 10_000)
+    assert {t for t in corpus_ if t.startswith(b"short")} == {f"short {i}".encode() for i in range(0, 400, 2)} and y.sum() == 1
+    assert toxicity.labelled_sample(docs, labels, "toxic", None, 16, 10_000)[1].sum() == 1
+    only_long = spark.createDataFrame([(1, "long " * 4000), (2, "long " * 4000)], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert sorted(toxicity.labelled_sample(only_long, marks, "toxic", None, 8, 10_000)[1]) == [0, 1]

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import textbytes as tb
 from .shared import texts
@@ -35,27 +36,34 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     """Texts and 0/1 labels of at most most_rows rows, in the order of a hash of their ids.
 
     Repeated labels of a document count as their maximum; null labels and texts
-    are left out.  Sampling stops before most_bytes, but has one row of each
-    label if there are any.
+    are left out.  The first 16 of each label come before all others, so that a
+    rare one is there.  Texts longer than a 64th of most_bytes come last, and
+    what does not fit in most_bytes is left out; the first text of each label
+    stays in any case.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     if learn is not None:
         known = known.where(learn)
     known = known.groupBy(F.col("doc_id").cast("long").alias("labelled_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
-    chosen = known.orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(most_rows)
+
+    def first(some: DataFrame, rows: int) -> DataFrame:
+        return some.orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(rows)
+
+    chosen = first(known, most_rows).unionByName(first(known.where("y > 0"), 16)).unionByName(first(known.where("y <= 0"), 16)).distinct()
     rows = texts(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id")).where("text is not null")
-    size = F.sum(F.length("text")).over(_in_order())
-    kept = rows.withColumn("size", size).where((F.col("size") <= most_bytes) | (F.length("text") == F.col("size"))).select("doc_id", "y", "text")
+    rows = rows.withColumn("bytes", F.length("text").cast("long")).withColumn("long", F.col("bytes") > most_bytes // 64)
+    order = (F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text"))
+    of_label = Window.partitionBy(F.col("y") > 0).orderBy("long", F.when(F.col("long"), F.col("bytes")), *order)
+    rows = rows.withColumn("place", F.row_number().over(of_label))
+    early = (F.col("place") <= 16) & ~F.col("long")
+    in_order = Window.orderBy(early.desc(), F.when(early, F.col("place")), "long", *order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"size": F.sum("bytes").over(in_order), "number": F.count("*").over(in_order)})
+    fits = (F.col("size") <= most_bytes) & (F.col("number") <= most_rows)
+    kept = rows.where(fits | (F.col("place") == 1)).select("doc_id", "y", "text")
     out = sorted(((r.doc_id, bytes(r.text), r.y) for r in kept.toLocalIterator()), key=lambda x: x[:2])
     return [x[1] for x in out], np.array([x[2] > 0 for x in out], np.float64)
 
 
-def _in_order():
-    from pyspark.sql.window import Window
-
-    return Window.orderBy(F.xxhash64("doc_id"), "doc_id")
-
-
 def _sentences(s: tb.Slice) -> tuple[tb.Words, np.ndarray, np.ndarray]:
     """Words, the number of each word's sentence within the slice (ascending), and the row of each sentence with words."""
     w = tb.words(s, tb.ALNUM_WORDS)
