@@ -56,3 +56,9 @@ def test_windows_are_reconciled():
     labels = np.array([[1, 2, 2, 0, 0, 0], [2, 0, 0, 0, 3, 4]])
     assert pii._reconciled(9, [0, 3], labels) == [(0, 0, 3), (1, 7, 9)]
     assert pii.windows_of("x" * 100 + "7" + "x" * 100, 48, 24) == [72, 96]
+
+
+def test_written_at_without_digits_is_run():
+    for at in (" at ", "[at]", " [at] "):
+        assert pii.windows_of("x " * 50 + f"name{at}mail.org" + " x" * 50, 48, 24)
+    assert pii.windows_of("x " * 50 + "١٢٣" + " x" * 50, 48, 24)

@@ -4,8 +4,8 @@ The tagger is trained in numpy from labelled spans: sentences made by a seeded
 generator, in which addresses, numbers and look-alikes stand at known places.
 Whole texts are covered by overlapping windows.  Every window is decoded by
 Viterbi, and each character takes the label from the window in which it stands
-furthest from an edge.  The model's labels are bound to kinds that need a digit
-or an @, so windows without either are all outside a span and are not run.
+furthest from an edge.  A span of the model counts only with a digit, an @ or a
+written "at", so windows without any of these are not run.
 
 Spans of the fixed patterns always stay; the model adds spans where no pattern
 matched.
@@ -35,7 +35,7 @@ PATTERNS = {
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-HINT = re.compile(r"[0-9@]")
+HINT = re.compile(r"[\d@]| at |\[at\]")
 
 
 def luhn(digits: str) -> bool:
@@ -273,7 +273,7 @@ def trained_tagger(steps: int = 400, batch: int = 48, window: int = 48, rate: fl
 
 
 def windows_of(text: str, window: int, stride: int) -> list[int]:
-    """Starts of the windows, every stride characters, that hold a digit or an @."""
+    """Starts of the windows, every stride characters, that hold a digit, an @ or a written "at"."""
     starts: set[int] = set()
     for m in HINT.finditer(text):
         last = m.start() // stride
