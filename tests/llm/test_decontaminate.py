@@ -58,7 +58,7 @@ def test_matches_brute_force(spark):
 
 
 def test_several_passes_and_short_windows(spark):
-    check(spark, *tables(2), window=3, table_words=50)
+    check(spark, *tables(2), window=3, table_bytes=3000)
 
 
 def test_clean_rows_keep_their_columns(spark):

@@ -45,11 +45,11 @@ def documents(seed, n):
     return out + [(1, None), (2, ""), (4, " \t"), (5, "Ünï  x"), (6, "ünï  x"), (8, "two words"), (9, "TWO  words")]
 
 
-@pytest.mark.parametrize("tile", [4, 256])
-def test_matches_brute_force(spark, tile):
+@pytest.mark.parametrize(("tile", "hot_rows"), [(4, 1 << 20), (256, 1 << 20), (8, 6)])
+def test_matches_brute_force(spark, tile, hot_rows):
     rows = documents(tile, 160)
     docs = spark.createDataFrame([(i, t, "x", 0, b"") for i, t in rows], "doc_id long, text string, key string, n int, bitmap binary")
-    got = neardup.near_duplicates(docs, tile=tile).collect()
+    got = neardup.near_duplicates(docs, tile=tile, hot_rows=hot_rows).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
 
 
@@ -75,3 +75,12 @@ def test_null_ids_and_empty_table(spark):
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs).collect()}
     assert got == {(None, 2, 3), (3, 2, 3), (None, 1, None)}
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_repeated_ids_with_unlike_texts_all_stay(spark):
+    t, u = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    docs = spark.createDataFrame([(3, t, "a"), (5, t, "b"), (5, u, "c"), (5, u, "c"), (None, u, "d"), (None, "alone here", "e"), (6, None, "f"), (6, None, "f"), (6, "word " * 300_000, "g")], "doc_id long, text string, _id string")
+    kept = neardup.distinct_documents(docs)
+    got = sorted(((r.doc_id, r.text[:9] if r.text else r.text, r._2) for r in kept.select("doc_id", "text", kept._id.alias("_2")).collect()), key=str)
+    assert got == sorted([(3, t[:9], "a"), (5, u[:9], "c"), (None, "alone her", "e"), (6, None, "f"), (6, None, "f"), (6, "word word", "g")], key=str)
+    assert neardup.distinct_documents(docs.limit(0)).count() == 0

@@ -16,8 +16,9 @@ Documents are sets of word shingles.  The join is lossless:
 5. Components of the links give the result.
 
 No step gathers a group in one task or on the driver: tiles have at most
-`tile` members, and the only table on the driver is that of the cells, whose
-size is fixed.
+`tile` members and are numbered by ranks within small ranges of sizes and keys;
+shingles that many documents may have in their prefixes are dealt out in parts;
+the only table on the driver is that of the cells, whose size is fixed.
 """
 
 from __future__ import annotations
@@ -31,11 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textbytes as tb
-from .shared import stored, texts
+from .shared import spare, stored, texts
 
 CELL_BITS = 18
 BITMAP_BITS = (10, 18)  # as powers of two; two bits a shingle between these
 FILTER_BITS = 24
+HOT_PARTS = 64
+RANK_BITS = 10  # ranges of keys by which members of a group of one size are ranked
 
 
 def _cells(x: np.ndarray) -> np.ndarray:
@@ -56,7 +59,7 @@ def _bitmap(x: np.ndarray) -> bytes:
 
 
 def _sets_and_cells(docs: DataFrame, width: int) -> DataFrame:
-    """Rows kind 0: each document with its set's size, key and bitmap; kind 1: counts of shingles by cell."""
+    """Rows kind 0: each document with its text's hash and its set's size, key and bitmap; kind 1: counts of shingles by cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << CELL_BITS, np.int64)
@@ -69,26 +72,35 @@ def _sets_and_cells(docs: DataFrame, width: int) -> DataFrame:
                 key += map(_set_key, sets)
                 bitmap += map(_bitmap, sets)
             kind = pa.array(np.zeros(len(n), np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(bitmap, pa.binary()), kind], names=["doc_id", "n", "key", "bitmap", "kind"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(bitmap, pa.binary()), kind], names=names)
         used = np.flatnonzero(counts)
-        none = pa.nulls(len(used), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used]), pa.array(np.zeros(len(used), np.int64)), none, pa.array(np.ones(len(used), np.int32))], names=["doc_id", "n", "key", "bitmap", "kind"])
+        zero = pa.array(np.zeros(len(used), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(used), zero, pa.array(counts[used]), zero, pa.nulls(len(used), pa.binary()), pa.array(np.ones(len(used), np.int32))], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, key long, bitmap binary, kind int")
+    names = ["doc_id", "hash", "n", "key", "bitmap", "kind"]
+    return docs.mapInArrow(run, "doc_id long, hash long, n long, key long, bitmap binary, kind int")
 
 
-def _prefixes(docs: DataFrame, cells: DataFrame, width: int, percent: int) -> DataFrame:
-    """Rows (token, n, key): each class with its prefix shingles."""
+def _cell_counts(cells: DataFrame) -> np.ndarray:
     table = np.zeros(1 << CELL_BITS, np.int64)
-    found = cells.toPandas()
+    found = cells.toPandas()  # as many rows as cells
     table[found["cell"].to_numpy()] = found["count"].to_numpy()
+    return table
+
+
+def _prefixes(docs: DataFrame, table: np.ndarray, width: int, percent: int, hot_rows: int) -> DataFrame:
+    """Rows (token, n, key, part): each class with its prefix shingles.
+
+    part is -1, but for shingles of cells with more than hot_rows occurrences:
+    these are dealt by the class into parts of about hot_rows each.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = shared.value, set()
         for batch in batches:
             for s in tb.slices(batch.column(0)):
-                token, n, key = [], [], []
+                token, n, key, part = [], [], [], []
                 for x in tb.shingle_sets(s, width):
                     k = _set_key(x)
                     if not len(x) or k in seen:  # a task tells of a class once
@@ -102,10 +114,30 @@ def _prefixes(docs: DataFrame, cells: DataFrame, width: int, percent: int) -> Da
                     token.append(x)
                     n.append(np.full(len(x), len(c)))
                     key.append(np.full(len(x), k))
+                    parts = order[_cells(x)] // hot_rows
+                    part.append(np.where(parts > 0, k % (parts + 1), -1))
                 if token:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(n)), pa.array(np.concatenate(key))], names=["token", "n", "key"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), *(pa.array(np.concatenate(c)) for c in (n, key, part))], names=["token", "n", "key", "part"])
+
+    return docs.select("text").mapInArrow(run, "token long, n long, key long, part long")
+
+
+def _groups(prefixes: DataFrame, any_hot: bool) -> DataFrame:
+    """Rows (lead, n, key): each class in the groups of the smallest classes with which it shares a prefix shingle."""
 
-    return docs.select("text").mapInArrow(run, "token long, n long, key long")
+    def joined(rows: DataFrame) -> DataFrame:
+        return rows.where("least != most").groupBy(F.col("least.key").alias("lead"), "n", "key").agg(F.lit(1).alias("one")).drop("one")
+
+    of_part = Window.partitionBy("token", "part")
+    own = F.struct("n", "key")
+    if not any_hot:
+        return joined(prefixes.withColumns({"least": F.min(own).over(of_part), "most": F.max(own).over(of_part)}))
+    prefixes = stored(prefixes.withColumn("hot", (F.col("part") >= 0).cast("int")), "prefixes", partition_by="hot")
+    hot = prefixes.where("hot = 1")
+    ends = hot.groupBy("token").agg(F.min(own).alias("least"), F.max(own).alias("most"))  # summed up before the shuffle
+    ends = ends.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(HOT_PARTS - 1).cast("long"))))
+    hot = hot.withColumn("part", F.pmod("key", F.lit(HOT_PARTS))).join(ends, ["token", "part"])
+    return _groups(prefixes.where("hot = 0"), False).unionByName(joined(hot))
 
 
 def _by_group(df: DataFrame, keys: list[str], one: Callable[[dict[str, np.ndarray | list]], dict | None], schema: str) -> DataFrame:
@@ -146,7 +178,12 @@ def _by_group(df: DataFrame, keys: list[str], one: Callable[[dict[str, np.ndarra
 
 def _tile_pairs(groups: DataFrame, tile: int, percent: int) -> DataFrame:
     """Rows (lead, i, j, n, key): the members of each pair of tiles whose size bands can reach the threshold."""
-    tiled = groups.withColumn("i", F.floor((F.row_number().over(Window.partitionBy("lead").orderBy("n", "key")) - 1) / tile).cast("long"))
+    of_cell = ["lead", "n", "range"]
+    members = groups.withColumn("range", F.shiftright("key", 64 - RANK_BITS))  # ascends with the key
+    sizes = members.groupBy(*of_cell).agg(F.count("*").alias("m"))
+    before = F.sum("m").over(Window.partitionBy("lead").orderBy("n", "range")) - F.col("m")
+    ranked = members.withColumn("rank", F.row_number().over(Window.partitionBy(*of_cell).orderBy("key")) - 1)
+    tiled = ranked.join(sizes.select(*of_cell, before.alias("before")), of_cell).select("lead", "n", "key", F.floor((F.col("before") + F.col("rank")) / tile).cast("long").alias("i"))
     bands = tiled.groupBy("lead", "i").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("m"))
     other = bands.select("lead", F.col("i").alias("j"), F.col("low").alias("low_j"), F.col("m").alias("m_j"))
     pairs = bands.join(other, "lead").where((F.col("i") <= F.col("j")) & (100 * F.col("high") >= percent * F.col("low_j")) & ((F.col("i") != F.col("j")) | (F.col("m") > 1)))
@@ -235,7 +272,26 @@ def components(links: DataFrame, a: str = "a", b: str = "b", name: str = "links"
         state = now
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, tile: int = 256, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _linked(docs: DataFrame, percent: int, width: int, tile: int, hot_rows: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, hash, n, key) of the documents, hash being that of the text; and (key, root), a root for each set that is linked."""
+    read = texts(docs, doc_id=doc_id, text=text).withColumn("hash", F.xxhash64("text"))
+    kinds = stored(_sets_and_cells(read, width), "sets", partition_by="kind")
+    rows = kinds.where("kind = 0").select("doc_id", "hash", "n", "key", "bitmap")
+    cells = _cell_counts(kinds.where("kind = 1").groupBy(F.col("doc_id").alias("cell")).agg(F.sum("n").alias("count")))
+    bitmaps = rows.where("n > 0").groupBy("key").agg(F.max("bitmap").alias("bitmap"))
+
+    groups = stored(_groups(_prefixes(read, cells, width, percent, hot_rows), bool((cells >= hot_rows).any())), "groups")
+    pairs = _tile_pairs(groups, tile, percent).join(bitmaps, "key")
+    reach = stored(_by_group(pairs.select("lead", "i", "j", "n", "key", "bitmap"), ["lead", "i", "j"], _members_in_reach(percent), "lead long, i long, j long, n long, key long"), "reach")
+
+    wanted = reach.select("key").distinct()
+    sets = _shingles_of(read, wanted, width)
+    members = reach.join(sets, "key").select("lead", "i", "j", "n", "key", "shingles")
+    links = _by_group(members, ["lead", "i", "j"], _forest(percent), "a long, b long")
+    return rows.drop("bitmap"), components(links).select(F.col("node").alias("key"), "root")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, tile: int = 256, hot_rows: int = 1 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their
@@ -246,26 +302,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, tile: in
     and so linked.  A row with null doc_id takes part; its component_id is that
     of the others it reaches, or null.
     """
-    read = texts(docs, doc_id=doc_id, text=text)
-    kinds = stored(_sets_and_cells(read, width), "sets", partition_by="kind")
-    rows = kinds.where("kind = 0").select("doc_id", "n", "key", "bitmap")
-    cells = kinds.where("kind = 1").groupBy(F.col("doc_id").alias("cell")).agg(F.sum("n").alias("count"))
-    classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("bitmap").alias("bitmap"))
-
-    of_token = Window.partitionBy("token")
-    lead = F.min(F.struct("n", "key")).over(of_token)
-    most = F.max(F.struct("n", "key")).over(of_token)
-    shared = _prefixes(read, cells, width, percent).withColumns({"least": lead, "most": most}).where("least != most")
-    groups = stored(shared.groupBy(F.col("least.key").alias("lead"), "n", "key").agg(F.lit(1).alias("one")).drop("one"), "groups")
-    pairs = _tile_pairs(groups, tile, percent).join(classes.select("key", "bitmap"), "key")
-    reach = stored(_by_group(pairs.select("lead", "i", "j", "n", "key", "bitmap"), ["lead", "i", "j"], _members_in_reach(percent), "lead long, i long, j long, n long, key long"), "reach")
-
-    wanted = reach.select("key").distinct()
-    sets = _shingles_of(read, wanted, width)
-    members = reach.join(sets, "key").select("lead", "i", "j", "n", "key", "shingles")
-    links = _by_group(members, ["lead", "i", "j"], _forest(percent), "a long, b long")
-    roots = components(links)
-    found = classes.select("key", "doc_id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rows, roots = _linked(docs, percent, width, tile, hot_rows, doc_id, text)
+    classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    found = classes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     found = stored(found.select("key", "root", "doc_id"), "classes")
     least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_key = found.join(least, "root").select("key", "component_id")
@@ -304,18 +343,28 @@ def _shingles_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return found.groupBy("key").agg(F.first("shingles").alias("shingles"))
 
 
-def distinct_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of docs, all columns, with one document left of each group of near duplicates.
+def distinct_documents(docs: DataFrame, percent: int = 80, width: int = 5, tile: int = 256, hot_rows: int = 1 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, with one row left of each group of near duplicates.
 
-    The document with the smallest id stays.  Rows that repeat an id and its
-    text count as one document; rows without an id all stay.
+    Groups are those of the texts, whatever ids repeat: of each, the row with
+    the smallest id stays; rows without an id come last; among equal ids, the
+    text of the smallest hash; among rows that repeat an id and its text, the
+    one whose other columns hash smallest.  Rows without words are in no group
+    and all stay.  An empty table stays empty.
     """
-    found = near_duplicates(docs, doc_id=doc_id, text=text, **options)
-    ids = found.groupBy("doc_id").agg(F.max(F.col("component_id") != F.col("doc_id")).alias("other"), F.count("*").alias("times"))
-    ids = stored(ids.where("doc_id is not null and (other or times > 1)"), "dropped")
-    at = F.col(f"`{doc_id}`").cast("long")
-    out = docs.join(ids.select(F.col("doc_id").alias("_dropped_id")), at == F.col("_dropped_id"), "left_anti")
-    if ids.where("not other").isEmpty():
+    rows, roots = _linked(docs, percent, width, tile, hot_rows, doc_id, text)
+    times = rows.where("n > 0").groupBy("doc_id", "hash", "key").agg(F.count("*").alias("times"))
+    found = stored(times.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "documents")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")).alias("first"))
+    marked = found.join(first, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("hash") == F.col("first.hash")))
+    id_, hash_, stays = spare(docs, "of_id", "of_hash", "stays")
+    changed = stored(marked.where("not stays or times > 1").select(F.col("doc_id").alias(id_), F.col("hash").alias(hash_), F.col("stays").alias(stays)), "changed")
+    at, own = F.col(f"`{doc_id}`").cast("long"), F.xxhash64(F.col(f"`{text}`").cast("string").cast("binary"))
+    same = at.eqNullSafe(F.col(id_)) & (own == F.col(hash_))
+    out = docs.join(changed, same, "left_anti")
+    again = changed.where(stays)
+    if again.isEmpty():
         return out
-    again = ids.where("not other").select(F.col("doc_id").alias("_kept_id"))
-    return out.unionByName(docs.join(again, at == F.col("_kept_id"), "left_semi").dropDuplicates([doc_id, text]))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    repeated = docs.join(again, same, "left_semi").groupBy(at.alias(id_), own.alias(hash_)).agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("row"))
+    return out.unionByName(repeated.select("row.*"))

@@ -54,6 +54,37 @@ def over_batches(df: DataFrame, one: Callable[[pa.RecordBatch], pa.RecordBatch |
     return df.mapInArrow(run, schema)
 
 
+def filtered(docs: DataFrame, text: str, keep: Callable[[pa.Array], Iterable[tuple[int, int, np.ndarray]]]) -> DataFrame:
+    """The rows of docs for which `keep` holds; of a batch's texts it gives (low, high, booleans) by ranges of rows.
+
+    The rows themselves are what crosses to Python, once and with no copy of the
+    text beside them; they return in ranges as small as `keep` makes them.
+    """
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(at)
+            if not (pa.types.is_string(column.type) or pa.types.is_binary(column.type)):
+                column = column.cast(pa.string())
+            for low, high, good in keep(column):
+                if good.any():
+                    yield batch.slice(low, high - low).filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from the columns of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the decimal text of doc_id, modulo modulus; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus

@@ -22,10 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import textbytes as tb
-from .shared import texts
+from .shared import filtered, stored, texts
 
 PREFIXES = (None, 4, 5, 6, 7, 8)
 SENTENCE_END = np.zeros(256, bool)
@@ -33,35 +32,44 @@ SENTENCE_END[list(b".!?\n")] = True
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column | None, most_rows: int, most_bytes: int) -> tuple[list[bytes], np.ndarray]:
-    """Texts and 0/1 labels of at most most_rows rows, in the order of a hash of their ids.
-
-    Repeated labels of a document count as their maximum; null labels and texts
-    are left out.  The first 16 of each label come before all others, so that a
-    rare one is there.  Texts longer than a 64th of most_bytes come last, and
-    what does not fit in most_bytes is left out; the first text of each label
-    stays in any case.
+    """Texts and 0/1 labels of at most most_rows documents, in the order of a hash of their ids.
+
+    Repeated labels of a document count as their maximum; null labels and
+    texts, and labels without a document, are left out.  Of texts that repeat
+    an id, the one of the smallest hash is taken.  The first 16 of each label
+    come before all others, so that a rare one is there.  Texts longer than a
+    64th of most_bytes come last, the shortest first, and what does not fit in
+    most_bytes is left out; the first text of each label stays in any case.
+
+    The choice is made on ids, hashes and lengths alone, one row an id, of which
+    at most most_rows + 32 leave the executors; texts are then read for the
+    chosen ids only.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     if learn is not None:
         known = known.where(learn)
-    known = known.groupBy(F.col("doc_id").cast("long").alias("labelled_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
-
-    def first(some: DataFrame, rows: int) -> DataFrame:
-        return some.orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(rows)
-
-    chosen = first(known, most_rows).unionByName(first(known.where("y > 0"), 16)).unionByName(first(known.where("y <= 0"), 16)).distinct()
-    rows = texts(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id")).where("text is not null")
-    rows = rows.withColumn("bytes", F.length("text").cast("long")).withColumn("long", F.col("bytes") > most_bytes // 64)
-    order = (F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text"))
-    of_label = Window.partitionBy(F.col("y") > 0).orderBy("long", F.when(F.col("long"), F.col("bytes")), *order)
-    rows = rows.withColumn("place", F.row_number().over(of_label))
-    early = (F.col("place") <= 16) & ~F.col("long")
-    in_order = Window.orderBy(early.desc(), F.when(early, F.col("place")), "long", *order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"size": F.sum("bytes").over(in_order), "number": F.count("*").over(in_order)})
-    fits = (F.col("size") <= most_bytes) & (F.col("number") <= most_rows)
-    kept = rows.where(fits | (F.col("place") == 1)).select("doc_id", "y", "text")
-    out = sorted(((r.doc_id, bytes(r.text), r.y) for r in kept.toLocalIterator()), key=lambda x: x[:2])
-    return [x[1] for x in out], np.array([x[2] > 0 for x in out], np.float64)
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col(label) > 0).cast("int")).alias("y"))
+    read = texts(docs).where("text is not null").withColumn("hash", F.xxhash64("text"))
+    sizes = read.select("doc_id", F.struct("hash", F.length("text").cast("long").alias("bytes")).alias("of"))
+    rows = sizes.groupBy("doc_id").agg(F.min("of").alias("of")).join(known, "doc_id")
+    rows = rows.select("doc_id", "y", "of.*").withColumn("long", F.col("bytes") > most_bytes // 64)
+
+    def first(some: DataFrame, count: int) -> DataFrame:
+        return some.orderBy("long", F.when(F.col("long"), F.col("bytes")), F.xxhash64("doc_id"), "doc_id").limit(count)
+
+    rows = stored(rows, "labelled")
+    ahead = {r.doc_id: r for y in (0, 1) for r in first(rows.where(F.col("y") == y), 16).collect()}
+    every = {r.doc_id: r for r in first(rows, most_rows).collect()}
+    chosen, left, seen = [], most_bytes, set()
+    for r in [r for r in ahead.values() if not r.long] + [r for r in every.values() if r.doc_id not in ahead or r.long] + [r for r in ahead.values() if r.long and r.doc_id not in every]:
+        if r.y not in seen or len(chosen) < most_rows and r.bytes <= left:
+            chosen.append((r.doc_id, r.hash, r.y))
+            left -= r.bytes
+            seen.add(r.y)
+    of = docs.sparkSession.createDataFrame(chosen, "doc_id long, hash long, y int")  # most_rows + 2 rows at most
+    kept = read.join(F.broadcast(of), ["doc_id", "hash"]).groupBy("doc_id").agg(F.max("text").alias("text"), F.max("y").alias("y"))
+    out = sorted((r.doc_id, bytes(r.text), r.y) for r in kept.toLocalIterator())
+    return [x[1] for x in out], np.array([x[2] for x in out], np.float64)
 
 
 def _sentences(s: tb.Slice) -> tuple[tb.Words, np.ndarray, np.ndarray]:
@@ -181,38 +189,51 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Column
     return train(*labelled_sample(docs, labels, label, learn, most_rows, most_bytes))
 
 
-def score(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: str = "text", offending: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: doc_id, score (0 to 1), sentences, then the columns in keep as they came.
+def _document_scores(model: ToxicityModel, table: np.ndarray, s: tb.Slice) -> tuple[np.ndarray, tuple]:
+    """Scores of a slice's rows, and the words, sentence numbers, rows and scores of its sentences."""
+    w, sentence, row = _sentences(s)
+    p = model.sentence_scores(w, sentence, table)
+    return np.where(np.diff(w.first) > 0, _noisy_or(p, row, s.hi - s.lo), 0.0), (w, sentence, row, p)
+
+
+def score(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: str = "text", offending: float = 0.5) -> DataFrame:
+    """One row per input row: doc_id, score (0 to 1), sentences.
 
     sentences: structs (start, end, score) of the sentences that score at least
     `offending`, in bytes of the UTF-8 text.  A null or empty text, or one
     without words, scores 0.  Only the text is read for a score, so repeated
-    rows score alike.
+    rows score alike.  An empty table has no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     found = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        table = m.lookup()
+        table = shared.value.lookup()
         for batch in batches:
             scores, where = np.zeros(batch.num_rows), [[] for _ in range(batch.num_rows)]
             for s in tb.slices(batch.column(1)):
-                w, sentence, row = _sentences(s)
-                p = m.sentence_scores(w, sentence, table)
-                scores[s.lo : s.hi] = np.where(np.diff(w.first) > 0, _noisy_or(p, row, s.hi - s.lo), 0.0)
+                scores[s.lo : s.hi], (w, sentence, row, p) = _document_scores(shared.value, table, s)
                 for i in np.flatnonzero(p >= offending).tolist():
                     a, b = np.searchsorted(sentence, [i, i + 1])
                     base = s.bounds[row[i]]
                     where[s.lo + row[i]].append({"start": int(w.start[a] - base), "end": int(w.end[b - 1] - base), "score": float(p[i])})
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(where, found), batch.column(2)], names=["doc_id", "score", "sentences", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(where, found)], names=["doc_id", "score", "sentences"])
+
+    return texts(docs, doc_id=doc_id, text=text).mapInArrow(run, "doc_id long, score double, sentences array<struct<start:long,end:long,score:double>>")
 
-    read = texts(docs, F.struct(*(F.col(f"`{c}`") for c in keep)).alias("kept") if keep else F.lit(None).cast("int").alias("kept"), doc_id=doc_id, text=text)
-    out = read.mapInArrow(run, f"doc_id long, score double, sentences array<struct<start:long,end:long,score:double>>, kept {read.schema['kept'].dataType.simpleString()}")
-    return out.select("doc_id", "score", "sentences", *(F.col(f"kept.`{c}`").alias(c) for c in keep))
 
+def accepted(docs: DataFrame, model: ToxicityModel, least: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that score below `least`.
+
+    Null, empty and wordless texts score 0 and stay; repeated rows stay or go
+    together; an empty table stays empty.  Columns of any name pass unchanged:
+    rows cross to Python once and are filtered there a slice at a time.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
+        table = shared.value.lookup()
+        for s in tb.slices(column):
+            yield s.lo, s.hi, _document_scores(shared.value, table, s)[0] < least
 
-def accepted(docs: DataFrame, model: ToxicityModel, least: float = 0.3, **names) -> DataFrame:
-    """The rows of docs, all columns, that score below `least`."""
-    whole = docs.withColumn("_row", F.struct(*(F.col(f"`{c}`") for c in docs.columns)))
-    return score(whole, model, keep=("_row",), **names).where(F.col("score") < least).select("_row.*")
+    return filtered(docs, text, keep)
