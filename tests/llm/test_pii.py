@@ -52,13 +52,47 @@ def test_tagger_finds_held_out_spans(tagger):
     assert (found == y).mean() > 0.93 and (found[y > 0] == y[y > 0]).mean() > 0.85
 
 
-def test_windows_are_reconciled():
-    labels = np.array([[1, 2, 2, 0, 0, 0], [2, 0, 0, 0, 3, 4]])
-    assert pii._reconciled(9, [0, 3], labels) == [(0, 0, 3), (1, 7, 9)]
-    assert pii.windows_of("x" * 100 + "7" + "x" * 100, 48, 24) == [72, 96]
+def test_labels_come_from_the_most_central_window(tagger):
+    rng = random.Random(5)
+    text = pii.labelled_text(rng, 400)[0]
+    c = pii.char_classes(text)
+    labels, = pii.tag(tagger, [c], 96, 64, 7)
+    starts = list(range(0, len(c) - 32, 64))
+    assert starts[-1] + 96 >= len(c)
+    one_by_one = [tagger.decode(np.append(c[s : s + 96], np.full(max(0, s + 96 - len(c)), pii.PAD, np.uint8))[None])[0] for s in starts]
+    for i in range(len(c)):
+        own = [(min(i - s, s + 95 - i) if 0 < s and s + 96 < len(c) or s + 95 - i < i - s else 96, -s) for s in starts if s <= i < s + 96]
+        assert labels[i] in {one_by_one[starts.index(-s)][i + s] for _, s in own}
+    assert pii.spans_of(np.array([1, 2, 2, 0, 0, 4, 4, 3, 4, 2])) == [(0, 0, 3), (1, 5, 7), (1, 7, 9), (0, 9, 10)]
+    assert pii.spans_of(np.zeros(5, np.int8)) == []
 
 
-def test_written_at_without_digits_is_run():
-    for at in (" at ", "[at]", " [at] "):
-        assert pii.windows_of("x " * 50 + f"name{at}mail.org" + " x" * 50, 48, 24)
-    assert pii.windows_of("x " * 50 + "١٢٣" + " x" * 50, 48, 24)
+def test_decoding_is_the_best_path(tagger):
+    x = np.array([pii.char_classes(pii.labelled_text(random.Random(i), 12)[0]) for i in range(20)])
+    scores, labels = tagger.scores(x).transpose(2, 0, 1).astype(float), tagger.decode(x)
+
+    def value(s, path):
+        return s[np.arange(len(path)), path].sum() + tagger.first[path[0]] + tagger.go[path[:-1], path[1:]].sum()
+
+    for s, path in zip(scores, labels, strict=True):
+        ahead = np.zeros(9)
+        for i in range(11, 0, -1):  # best value of what follows each label
+            ahead = (tagger.go + s[i] + ahead).max(axis=1)
+        assert np.isclose(value(s, path), (s[0] + tagger.first + ahead).max(), rtol=1e-4)
+
+
+def test_scores_for_decoding_are_those_of_training(tagger):
+    x = np.array([pii.char_classes(pii.labelled_text(random.Random(i), 30)[0]) for i in range(5)])
+    assert np.allclose(tagger.scores(x).transpose(2, 0, 1), tagger._run(x)[0], atol=1e-3)
+
+
+def test_written_addresses_in_plain_prose_are_found(spark, tagger):
+    texts = ["contact john.smith at mail.example.com today", "x " * 200 + "write to anna [at] web.net please", "no address at all. none."]
+    out = pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tagger=tagger).collect()
+    got = {r.doc_id: r.spans for r in out}
+    assert got[0].startswith("email:") and got[1].startswith("email:") and got[2] == ""
+
+
+def test_long_runs_take_linear_time():
+    for text in ("a" * 1_000_000 + "@", "1" * 1_000_000, "1." * 500_000, "+1" + "(" * 1_000_000, "a@" * 500_000):
+        assert [x for x in pii.base_spans(text) if x[0] != 1] == []

@@ -2,10 +2,9 @@
 
 The tagger is trained in numpy from labelled spans: sentences made by a seeded
 generator, in which addresses, numbers and look-alikes stand at known places.
-Whole texts are covered by overlapping windows.  Every window is decoded by
-Viterbi, and each character takes the label from the window in which it stands
-furthest from an edge.  A span of the model counts only with a digit, an @ or a
-written "at", so windows without any of these are not run.
+Overlapping windows cover every text whole, and all of them are decoded by
+Viterbi; each character then takes the label from the window in which it stands
+furthest from an edge, so that spans are the same wherever windows begin.
 
 Spans of the fixed patterns always stay; the model adds spans where no pattern
 matched.
@@ -15,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -23,19 +23,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import textbytes as tb
 from .shared import texts
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 
-# The base patterns.
+# The base patterns.  A number is tried from its first digit only, an
+# address from each @, so that long runs take no more than linear time; the matches are the same.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "ip": re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)"),
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-HINT = re.compile(r"[\d@]| at |\[at\]")
 
 
 def luhn(digits: str) -> bool:
@@ -47,21 +49,31 @@ def luhn(digits: str) -> bool:
 
 
 def _holds(kind: str, match: str) -> bool:
-    if kind == "email":
-        return True
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in match.split("."))
+        return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in match.split("."))
     digits = re.sub(r"[^0-9]", "", match)
     return 16 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 8 <= len(digits) <= 15
 
 
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost addresses that do not overlap, found from each @ leftwards."""
+    free, at = 0, text.find("@")
+    while at >= 0:
+        start = free + len(text[free:at].rstrip(LOCAL))
+        if start < at and (domain := DOMAIN.match(text, at + 1)):
+            yield start, domain.end()
+            free = domain.end()
+        else:
+            free = at + 1  # no address reaches over an @
+        at = text.find("@", free)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) in code points, by kind, then start; a match that fails its test is dropped."""
-    out = []
+    out = [(0, a, z) for a, z in addresses(text)]
     for n, kind in enumerate(KINDS):
-        if kind == "email" and "@" not in text or kind == "phone" and "+" not in text:
-            continue
-        out += [(n, m.start(), m.end()) for m in PATTERNS[kind].finditer(text) if _holds(kind, m[0])]
+        if kind in PATTERNS:
+            out += [(n, m.start(), m.end()) for m in PATTERNS[kind].finditer(text) if _holds(kind, m[0])]
     return out
 
 
@@ -77,13 +89,24 @@ CLASSES = len(MARKS) + 6  # non-ASCII, other ASCII and padding come last
 PAD = CLASSES - 1
 
 
-def char_classes(text: str) -> np.ndarray:
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    return np.where(points < 0x80, _CHARS[np.minimum(points, 0x7F)], len(MARKS) + 3)
+_BYTES = np.full(256, len(MARKS) + 3, np.uint8)  # the class of a code point by its first byte
+_BYTES[:0x80] = _CHARS
+
+
+def char_classes(text: str | bytes | np.ndarray) -> np.ndarray:
+    """Classes of the code points of a text or its UTF-8 bytes."""
+    if isinstance(text, str):
+        text = text.encode("utf-8", "replace")
+    data = np.frombuffer(text, np.uint8) if isinstance(text, bytes) else text
+    return _BYTES[data[(data & 0xC0) != 0x80]]
 
 
 class Tagger:
-    """Bidirectional LSTM over character classes with a CRF on top; both directions share one time loop."""
+    """Bidirectional LSTM over character classes with a CRF on top; both directions share one time loop.
+
+    Gates are hard sigmoids, clip(x / 4 + 1/2, 0, 1), and states hard tangents,
+    clip(x, -1, 1), in training as in decoding.
+    """
 
     def __init__(self, hidden: int = 16, width: int = 10, seed: int = 11):
         rng = np.random.default_rng(seed)
@@ -105,10 +128,6 @@ class Tagger:
             self.banned[[i for i in range(n) if i not in (inside - 1, inside)], inside] = -1e4
         self.first = np.array([0.0 if not label.startswith("I") else -1e4 for label in LABELS])
 
-    def cast(self, kind: type) -> Tagger:
-        self.p = {k: v.astype(kind) for k, v in self.p.items()}
-        return self
-
     def _run(self, x: np.ndarray, keep: bool = False):
         p, (b, t), h = self.p, x.shape, self.hidden
         e = p["embed"][x]
@@ -118,11 +137,11 @@ class Tagger:
         outs, saved = np.empty((2, b, t, h), e.dtype), []
         for i in range(t):
             z = inputs[:, :, i] + np.matmul(state, p["h"])
-            z[..., : 3 * h] = 1 / (1 + np.exp(-z[..., : 3 * h]))
-            z[..., 3 * h :] = np.tanh(z[..., 3 * h :])
+            z[..., : 3 * h] = np.clip(z[..., : 3 * h] / 4 + 0.5, 0, 1)
+            z[..., 3 * h :] = np.clip(z[..., 3 * h :], -1, 1)
             before, old = state, cell
             cell = z[..., h : 2 * h] * cell + z[..., :h] * z[..., 3 * h :]
-            squashed = np.tanh(cell)
+            squashed = np.clip(cell, -1, 1)
             state = z[..., 2 * h : 3 * h] * squashed
             outs[:, :, i] = state
             if keep:
@@ -170,8 +189,10 @@ class Tagger:
             z, before, old, squashed = saved[i]
             gate_in, gate_forget, gate_out, new = (z[..., k * h : (k + 1) * h] for k in range(4))
             d_state = d_state + d_out[:, :, i]
-            d_cell = d_cell + d_state * gate_out * (1 - squashed**2)
-            own = np.concatenate((d_cell * new * gate_in * (1 - gate_in), d_cell * old * gate_forget * (1 - gate_forget), d_state * squashed * gate_out * (1 - gate_out), d_cell * gate_in * (1 - new**2)), axis=2)
+            d_cell = d_cell + d_state * gate_out * (np.abs(squashed) < 1)
+            own = np.concatenate((d_cell * new, d_cell * old, d_state * squashed, d_cell * gate_in), axis=2)
+            own[..., : 3 * h] *= 0.25 * ((z[..., : 3 * h] > 0) & (z[..., : 3 * h] < 1))
+            own[..., 3 * h :] *= np.abs(new) < 1
             d_z[:, :, i] = own
             g["h"] += np.matmul(before.transpose(0, 2, 1), own)
             d_state = np.matmul(own, p["h"].transpose(0, 2, 1))
@@ -184,21 +205,51 @@ class Tagger:
         np.add.at(g["embed"], x, d_e[0] + d_e[1][:, ::-1])
         return loss, g
 
+    def for_decoding(self) -> Tagger:
+        """The weights as decoding takes them: inputs by class, and the gates' scale and shift folded in."""
+        h = self.hidden
+        scale = np.where(np.arange(4 * h) < 3 * h, 0.25, 1.0)
+        shift = np.where(np.arange(4 * h) < 3 * h, 0.5, 0.0)
+        self.by_class = ((self.p["embed"] @ self.p["x"] + self.p["b"]) * scale + shift).astype(np.float32)
+        self.by_state = (self.p["h"] * scale).astype(np.float32)
+        self.to_labels = self.p["out"].astype(np.float32)
+        self.label_bias = self.p["bias"].astype(np.float32)
+        self.go = (self.p["go"] + self.banned).astype(np.float32)
+        self.low = np.where(np.arange(4 * h) < 3 * h, 0, -1).astype(np.float32)
+        return self
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """Label scores (time, label, row) of windows of classes."""
+        (b, t), h = x.shape, self.hidden
+        state, cell = np.zeros((2, b, h), np.float32), np.zeros((2, b, h), np.float32)
+        outs, z, at = np.empty((2, t, b, h), np.float32), np.empty((2, b, 4 * h), np.float32), np.ascontiguousarray(x.T)
+        for i in range(t):
+            np.matmul(state, self.by_state, out=z)
+            z[0] += self.by_class[0].take(at[i], axis=0)
+            z[1] += self.by_class[1].take(at[t - 1 - i], axis=0)
+            np.minimum(z, 1, out=z)
+            np.maximum(z, self.low, out=z)
+            cell *= z[..., h : 2 * h]
+            cell += z[..., :h] * z[..., 3 * h :]
+            state = np.minimum(cell, 1)
+            np.maximum(state, -1, out=state)
+            state *= z[..., 2 * h : 3 * h]
+            outs[0, i], outs[1, t - 1 - i] = state
+        both = outs[0].reshape(t * b, h) @ self.to_labels[:h] + outs[1].reshape(t * b, h) @ self.to_labels[h:]
+        return np.ascontiguousarray((both + self.label_bias).reshape(t, b, -1).transpose(0, 2, 1))
+
     def decode(self, x: np.ndarray) -> np.ndarray:
-        """Best label sequence of each window."""
-        scores = self._run(x)[0]
-        b, t, n = scores.shape
-        go = (self.p["go"] + self.banned).astype(scores.dtype)
-        best = scores[:, 0] + self.first.astype(scores.dtype)
-        back = np.empty((b, t, n), np.int8)
+        """Best label sequence of each window, by Viterbi: the best scores forwards, then the path backwards."""
+        scores = self.scores(x)
+        t, n, b = scores.shape
+        best, to = scores, np.ascontiguousarray(self.go.T)[:, :, None]
+        best[0] += self.first.astype(np.float32)[:, None]
         for i in range(1, t):
-            reach = best[:, :, None] + go
-            back[:, i] = reach.argmax(1)
-            best = reach.max(1) + scores[:, i]
+            best[i] += (best[i - 1] + to).max(axis=1)
         out = np.empty((b, t), np.int8)
-        out[:, -1] = best.argmax(1)
+        out[:, -1] = best[-1].argmax(0)
         for i in range(t - 1, 0, -1):
-            out[:, i - 1] = back[np.arange(b), i, out[:, i]]
+            out[:, i - 1] = (best[i - 1].T + to[out[:, i], :, 0]).argmax(1)
         return out
 
 
@@ -269,35 +320,36 @@ def trained_tagger(steps: int = 400, batch: int = 48, window: int = 48, rate: fl
             m[k] = 0.9 * m[k] + 0.1 * q
             v[k] = 0.99 * v[k] + 0.01 * q**2
             tagger.p[k] = tagger.p[k] - now * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
-    return tagger.cast(np.float32)
-
-
-def windows_of(text: str, window: int, stride: int) -> list[int]:
-    """Starts of the windows, every stride characters, that hold a digit, an @ or a written "at"."""
-    starts: set[int] = set()
-    for m in HINT.finditer(text):
-        last = m.start() // stride
-        starts.update(range(max(0, (m.start() - window) // stride + 1), last + 1))
-    return sorted(s * stride for s in starts)
-
-
-def _reconciled(length: int, starts: list[int], labels: np.ndarray) -> list[tuple[int, int, int]]:
-    """Spans of a text from the labels of its windows: each character counts where it is most central."""
-    window = labels.shape[1]
-    middle = np.minimum(np.arange(window), np.arange(window)[::-1])
-    found: dict[int, tuple[int, int]] = {}
-    for s, row in zip(starts, labels, strict=True):
-        for i in np.flatnonzero((row > 0) | (middle > 0)).tolist():
-            if s + i < length and found.get(s + i, (-1, 0))[0] < middle[i]:
-                found[s + i] = (int(middle[i]), int(row[i]))
-    out: list[list[int]] = []
-    for at in sorted(k for k, (_, label) in found.items() if label):
-        kind, begins = divmod(found[at][1] - 1, 2)
-        if out and out[-1][2] == at and out[-1][0] == kind and begins == 1:
-            out[-1][2] = at + 1
-        else:
-            out.append([kind, at, at + 1])
-    return [tuple(x) for x in out]
+    return tagger.for_decoding()
+
+
+def tag(model: Tagger, classes: list[np.ndarray], window: int, stride: int, batch: int) -> list[np.ndarray]:
+    """The label of every character of each text: windows start every stride characters, and the most central one counts."""
+    edge = (window - stride) // 2
+    out = [np.zeros(len(c), np.int8) for c in classes]
+    places = [(r, s) for r, c in enumerate(classes) for s in range(0, max(len(c) - (window - stride), 1), stride) if len(c)]
+    for low in range(0, len(places), batch):
+        some = places[low : low + batch]
+        x = np.full((len(some), window), PAD, np.uint8)
+        for i, (r, s) in enumerate(some):
+            piece = classes[r][s : s + window]
+            x[i, : len(piece)] = piece
+        for (r, s), labels in zip(some, model.decode(x), strict=True):
+            a = s + edge if s else 0
+            z = min(s + window if s + window >= len(classes[r]) else s + edge + stride, len(classes[r]))
+            out[r][a:z] = labels[a - s : z - s]
+    return out
+
+
+def spans_of(labels: np.ndarray) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of the labelled runs: one starts at a B, or at an I that does not go on from its kind."""
+    at = np.flatnonzero(labels)
+    kind, inside = (labels[at] - 1) // 2, labels[at] % 2 == 0
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1] + 1) | (kind[1:] != kind[:-1]) | ~inside[1:]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(at)) - 1
+    return list(zip(kind[first].tolist(), at[first].tolist(), (at[last] + 1).tolist(), strict=True)) if len(at) else []
 
 
 def plausible(kind: int, text: str) -> bool:
@@ -306,62 +358,41 @@ def plausible(kind: int, text: str) -> bool:
     return (len(text) >= 6 and ("@" in text or " at " in text or "[at]" in text) and "." in text, text.count(".") == 3 and 4 <= digits <= 12, 13 <= digits <= 19, 7 <= digits <= 15)[kind]
 
 
-def personal_data(docs: DataFrame, window: int = 48, stride: int = 24, batch: int = 1024, doc_id: str = "doc_id", text: str = "text", tagger: Tagger | None = None) -> DataFrame:
+def _added(text: str, labels: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The model's spans that are plausible and touch no base span."""
+    covered = np.zeros(len(text) + 1, np.int64)
+    for _, a, z in base:
+        covered[a:z] = 1
+    before = np.concatenate(([0], np.cumsum(covered)))
+    return [(k, a, z) for k, a, z in spans_of(labels) if before[z] == before[a] and plausible(k, text[a:z])]
+
+
+def personal_data(docs: DataFrame, window: int = 96, stride: int = 64, batch: int = 512, doc_id: str = "doc_id", text: str = "text", tagger: Tagger | None = None) -> DataFrame:
     """One row per input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     Counts and base_sha256 are those of the base patterns; spans adds what the
     model finds where no base span is.  Spans are kind:start:end in code
     points, end exclusive, by kind, then start, joined by commas.  A null or
-    empty text has none.  Only texts are read; repeated rows are reported each.
+    empty text has none; an empty table has no rows.  Only texts are read;
+    repeated rows are reported each.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tagger or trained_tagger())
 
+    def text_of(spans: list) -> str:
+        return ",".join(f"{KINDS[k]}:{a}:{z}" for k, a, z in sorted(spans))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for b in batches:
-            base: list[list] = [[] for _ in range(b.num_rows)]
-            more: list[list] = [[] for _ in range(b.num_rows)]
-            waiting: list[tuple[int, str, int]] = []
-            rows: dict[int, tuple[int, list[int], list]] = {}
-
-            def decode() -> None:
-                if not waiting:
-                    return
-                x = np.full((len(waiting), window), PAD)
-                for i, (_, piece, _) in enumerate(waiting):
-                    x[i, : len(piece)] = char_classes(piece)
-                for (r, _, s), labels in zip(waiting, model.decode(x), strict=True):
-                    rows[r][1].append(s)
-                    rows[r][2].append(labels)
-                waiting.clear()
-
-            whole: dict[int, str] = {}
-            for r, raw in enumerate(b.column(1)):
-                t = raw.as_py()
-                if not t or not HINT.search(t := t.decode()):
-                    continue
-                base[r] = base_spans(t)
-                whole[r] = t
-                rows[r] = (len(t), [], [])
-                for s in windows_of(t, window, stride):
-                    waiting.append((r, t[s : s + window], s))
-                    if len(waiting) == batch:
-                        decode()
-            decode()
-            for r, (length, starts, labels) in rows.items():
-                if starts:
-                    t = whole[r]
-                    for kind, a, z in _reconciled(length, starts, np.array(labels)):
-                        if plausible(kind, t[a:z]) and not any(a < e and s < z for _, s, e in base[r]):
-                            more[r].append((kind, a, z))
-
-            def text_of(spans: list) -> str:
-                return ",".join(f"{KINDS[k]}:{a}:{z}" for k, a, z in sorted(spans))
-
-            counts = [pa.array([sum(k == n for k, _, _ in spans) for spans in base], pa.int64()) for n in range(len(KINDS))]
-            digests = pa.array([hashlib.sha256(text_of(spans).encode()).hexdigest() for spans in base])
-            spans = pa.array([text_of([*x, *y]) for x, y in zip(base, more, strict=True)])
-            yield pa.RecordBatch.from_arrays([b.column(0), *counts, digests, spans], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            for s in tb.slices(b.column(1), lower=False):
+                parts = [s.data[x:y] for x, y in itertools.pairwise(s.bounds.tolist())]
+                tagged = tag(shared.value, [char_classes(x) for x in parts], window, stride, batch)
+                whole = [x.tobytes().decode("utf-8", "replace") for x in parts]
+                base = [base_spans(t) for t in whole]
+                more = [_added(t, labels, own) if labels.any() else [] for t, labels, own in zip(whole, tagged, base, strict=True)]
+                counts = [pa.array([sum(k == n for k, _, _ in spans) for spans in base], pa.int64()) for n in range(len(KINDS))]
+                digests = pa.array([hashlib.sha256(text_of(spans).encode()).hexdigest() for spans in base])
+                spans = pa.array([text_of([*x, *y]) for x, y in zip(base, more, strict=True)])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s.lo, s.hi - s.lo), *counts, digests, spans], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
     schema = f"doc_id long, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string"
     return texts(docs, doc_id=doc_id, text=text).mapInArrow(run, schema)
