@@ -53,7 +53,7 @@ def op4_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixed
 
-    return mixed(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_block", "mix_slot", "mix_position")
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
