@@ -5,7 +5,7 @@ from collections import Counter
 from tidewell.llm.lm import cross_entropy_difference
 
 
-def brute(rows, target, discount=0.75):
+def brute(rows, target, weight=0.7):
     words = {i: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower()) for i, t in rows}
     total = Counter(w for ws in words.values() for w in ws)
     vocabulary = {w for w, n in total.items() if n > 1}
@@ -18,19 +18,26 @@ def brute(rows, target, discount=0.75):
         one = Counter(w for i in ids for w in words[i])
         two = Counter(b for i in ids for b in zip(words[i], words[i][1:]))
         p1 = {w: (one[w] + 1) / (sum(one.values()) + v) for w in [*vocabulary, None]}
-        used = {b: max(two[b] - discount, 0) / max(one[b[0]], 1) for b in kept}
-        back = {w: min(1, max(1e-6, 1 - sum(u for b, u in used.items() if b[0] == w))) for w in [*vocabulary, None]}
-        losses[name] = {i: sum(-math.log(p1[w]) if j == 0 else -math.log(used.get((ws[j - 1], w), 0) + back[ws[j - 1]] * p1[w]) for j, w in enumerate(ws)) for i, ws in words.items()}
+
+        def chance(left, w):
+            if left is None or not one[left]:
+                return p1[w]
+            return weight * (two[left, w] if (left, w) in kept else 0) / one[left] + (1 - weight) * p1[w]
+
+        losses[name] = {i: sum(-math.log(p1[w] if j == 0 else chance(ws[j - 1], w)) for j, w in enumerate(ws)) for i, ws in words.items()}
     return {i: (len(ws), losses["target"][i], losses["background"][i]) for i, ws in words.items()}
 
 
 def test_against_brute_force(spark):
-    rows = [(i, " ".join(["the cat sat", "a dog ran off", "the dog sat", "on the mat"][(i + j * j) % 4] for j in range(i % 9))) for i in range(60)] + [(100, None), (101, "the " * 3000), (102, "!!")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rows = [(i, " ".join(["the cat sat", "a dog ran off", "the dog sat", "on the mat"][(i + j * j) % 4] for j in range(i % 9))) for i in range(60)] + [(100, None), (101, "the " * 300_000), (102, "!!"), (7, "the cat"), (None, "once mat")]
+    docs = spark.createDataFrame([(i, t, i, None) for i, t in rows], "doc_id long, text string, chunk long, kind string")
     good = [i for i in range(0, 60, 3)]
     out = cross_entropy_difference(docs, spark.createDataFrame([(i,) for i in [*good, good[0]]] + [(None,)], "doc_id long")).collect()
-    expected = brute(rows, set(good))
+    # rows of one id are in the target alike
+    expected = brute([(n, t) for n, (_, t) in enumerate(rows)], {n for n, (i, _) in enumerate(rows) if i in good})
     assert len(out) == len(rows)
+    out = [r for i, _ in rows for r in out if r.doc_id == i and i != 7]
+    expected = {i: expected[n] for n, (i, _) in enumerate(rows)}
     for r in out:
         n, target, background = expected[r.doc_id]
         assert r.n_words == n
@@ -50,8 +57,8 @@ def test_every_word_and_bigram_counts(spark):
     out = {r.doc_id: r for r in cross_entropy_difference(docs, spark.createDataFrame([(i,) for i in good], "doc_id long")).collect()}
 
     def loss(n, total):
-        p, used = (n + 1) / (total + 80_001), max(n - 0.75, 0) / max(n, 1)
-        return -math.log(p) - 199 * math.log(used + (1 - used) * p)
+        p = (n + 1) / (total + 80_001)
+        return -math.log(p) - 199 * math.log(0.7 + 0.3 * p if n else p)
 
     assert len(out) == 800
     for i, r in out.items():

@@ -3,10 +3,16 @@
 Two bigram models over one vocabulary: a target model of the documents that a
 label marks, a background model of all documents.  The vocabulary is every word
 that occurs twice or more in all documents (other words are one unknown word),
-and every bigram that occurs twice or more is kept.  Both models use absolute
-discounting and interpolation, so they are matched in everything but their
-counts.  A document's score is its mean loss per word under the background less
-that under the target.
+and every bigram that occurs twice or more is kept.  In both models the chance
+of a word r after a word l is
+
+    weight * count(l, r) / count(l) + (1 - weight) * chance of r,
+
+so they are matched in everything but their counts; what bigrams that occur
+once, and ends of documents, leave of `weight` goes to no word.  At the start
+of a document, after an unknown word, and after one without a count in the
+model, it is the chance of r alone.  A document's score is its mean loss per
+word under the background less that under the target.
 
 The models grow with the documents and are never gathered in one place.
 Documents are dealt into chunks of bounded size; words and bigrams, by their
@@ -14,13 +20,7 @@ hashes, into buckets whose number follows the bytes of the texts.  A chunk
 sends each bucket its distinct keys with counts, and the bucket sends back, in
 the same order, the counts in all documents.  So a key has one entry a chunk at
 most, however common it is, and a chunk has just the part of the models that
-its own documents need:
-
-1. words: counts of each word;
-2. bigrams of the words so known: counts, and the one chunk that stands for
-   each;
-3. words again: the sums over kept bigrams by left word that the backoff needs;
-4. scores.
+its own documents need.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ CHUNK_WORDS = 700_000
 BUCKET_BYTES = 4 << 20
 UNKNOWN = 0  # hash of the unknown word; every chunk has it as its first word
 
-DOCS, WORDS, BIGRAMS, LEFTS, TOTALS = range(5)
+DOCS, CHOSEN, WORDS, BIGRAMS, TOTALS = range(5)
 MESSAGE = ("kind", "chunk", "bucket", "a", "b", "c")
 SCHEMA = "kind int, chunk long, bucket long, a binary, b binary, c binary"
 
@@ -105,81 +105,75 @@ def _by(df: DataFrame, key: str, one: Callable[[list[tuple]], Iterator[pa.Record
     return df.select(*MESSAGE).repartition(key).sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
-def _joined(rows: list[tuple], kind: int, at: int, read: Callable) -> np.ndarray:
-    return np.concatenate([read(r[at]) for r in rows if r[0] == kind] or [read(b"")])
+def _joined(rows: list[tuple], kind: int, at: int) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.int64), *(_unpacked(r[at]) for r in rows if r[0] == kind)])
 
 
 def _hashes(raw: pa.Buffer) -> np.ndarray:
     return np.frombuffer(raw, np.uint64)
 
 
-def _floats(raw: pa.Buffer) -> np.ndarray:
-    return np.frombuffer(raw, np.float64)
-
-
-def _chunks_of(marked: DataFrame, buckets: int) -> DataFrame:
-    """Of each chunk, its documents as places in the sorted list of its words (DOCS), and its words by bucket with counts (WORDS)."""
+def _chunks_of(docs: DataFrame) -> DataFrame:
+    """Chunks of documents (DOCS): their ids and lengths, the sorted list of their words, and the texts as places in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, heads, size, made = [], [], 0, 0
         task = TaskContext.get().partitionId() << 32
 
         def flush() -> pa.RecordBatch:
-            head = np.concatenate(heads, axis=1)
             words, ids = np.unique(np.concatenate(([np.uint64(UNKNOWN)], *hashes)), return_inverse=True)
-            ids = ids[1:]
-            n = np.bincount(ids, minlength=len(words))
-            target = np.bincount(ids, np.repeat(head[2], head[3]), minlength=len(words))
-            chunk = task + made
-            out = [(WORDS, chunk, k, words[a:b].tobytes(), _packed(n[a:b]), _packed(target[a:b])) for k, a, b in _cuts(words, buckets)]
-            return _batch([*out, (DOCS, chunk, -1, head.tobytes(), words.tobytes(), _packed(ids))])
+            return _batch([(DOCS, task + made, -1, np.concatenate(heads, axis=1).tobytes(), words.tobytes(), _packed(ids[1:]))])
 
         for batch in batches:
             valid = np.asarray(batch.column(0).is_valid())
-            doc_id, chosen = batch.column(0).fill_null(0).to_numpy(), batch.column(2).to_numpy()
+            doc_id = batch.column(0).fill_null(0).to_numpy()
             for s in tb.slices(batch.column(1)):
                 w = tb.words(s, tb.ALNUM_WORDS)
                 hashes.append(w.hashes())
-                rows = slice(s.lo, s.hi)
-                heads.append(np.array([doc_id[rows], valid[rows], chosen[rows], np.diff(w.first)], np.int64))
-                size += len(hashes[-1])
+                heads.append(np.array([doc_id[s.lo : s.hi], valid[s.lo : s.hi], np.diff(w.first)], np.int64))
+                size += len(hashes[-1]) + s.hi - s.lo
                 if size >= CHUNK_WORDS:
                     yield flush()
                     hashes, heads, size, made = [], [], 0, made + 1
         if heads:
             yield flush()
 
-    return marked.select("doc_id", "text", "chosen").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
-def _count_words(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """Of a bucket: to each chunk the counts of its words in all documents, and the bucket's totals."""
-    word, n, target = _joined(rows, WORDS, 3, _hashes), _joined(rows, WORDS, 4, _unpacked), _joined(rows, WORDS, 5, _unpacked)
-    words, at = np.unique(word, return_inverse=True)
-    n, target = (np.bincount(at, x, minlength=len(words)).astype(np.int64) for x in (n, target))
-    once = n == 1
-    totals = np.array([n.sum(), target.sum(), once.sum(), target[once].sum(), (n > 1).sum()], np.int64)
-    out, low = [(TOTALS, -1, rows[0][2], totals.tobytes(), b"", b"")], 0
-    for r in rows:
-        mine = at[low : (low := low + r[3].size // 8)]
-        out.append((WORDS, r[1], r[2], _packed(n[mine]), _packed(target[mine]), b""))
-    yield _batch(out)
+def _chosen(chunks: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """CHOSEN messages: to each chunk the places of its documents of the target, as numbers parted by commas."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                doc_id, valid, _ = np.frombuffer(raw, np.int64).reshape(3, -1)
+                at = np.flatnonzero(valid)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), chunk)), pa.array(doc_id[at]), pa.array(at)], names=["chunk", "doc_id", "at"])
+
+    ids = chunks.select("chunk", "a").mapInArrow(run, "chunk long, doc_id long, at long")
+    wanted = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    # the target's ids grow with the documents, so they are never broadcast; ids alone are shuffled
+    found = ids.join(wanted.hint("merge"), "doc_id").groupBy("chunk").agg(F.array_join(F.collect_list("at"), ",").cast("binary").alias("a"))
+    none = F.lit(None).cast("binary")
+    return found.select(F.lit(CHOSEN).alias("kind"), "chunk", F.lit(-1).cast("long").alias("bucket"), "a", none.alias("b"), none.alias("c"))
 
 
 class Chunk:
-    """Documents of a chunk, its words with their counts in all documents, and its distinct bigrams by hash."""
+    """Documents of a chunk, its words, and its distinct bigrams by hash."""
 
     def __init__(self, rows: list[tuple]):
         docs = next(r for r in rows if r[0] == DOCS)
         self.name = docs[1]
-        self.doc_id, self.valid, self.chosen, self.length = np.frombuffer(docs[3], np.int64).reshape(4, -1)
-        self.words = _hashes(docs[4])
-        self.n, self.target = _joined(rows, WORDS, 3, _unpacked), _joined(rows, WORDS, 4, _unpacked)
-        ids = np.where(self.n > 1, np.arange(len(self.words)), 0)[_unpacked(docs[5])]
-        row = np.repeat(np.arange(len(self.length)), self.length)
-        self.ids, self.row = ids, row
-        self.inside = row[1:] == row[:-1]
-        pair, at = np.unique((ids[:-1] * len(self.words) + ids[1:])[self.inside], return_inverse=True)
+        self.doc_id, self.valid, self.length = np.frombuffer(docs[3], np.int64).reshape(3, -1)
+        self.chosen = np.zeros(len(self.length))
+        for r in rows:
+            if r[0] == CHOSEN:
+                self.chosen[np.array(r[3].to_pybytes().split(b","), np.int64)] = 1
+        self.words, self.ids = _hashes(docs[4]), _unpacked(docs[5])
+        self.row = np.repeat(np.arange(len(self.length)), self.length)
+        self.inside = self.row[1:] == self.row[:-1]
+        pair, at = np.unique((self.ids[:-1] * len(self.words) + self.ids[1:])[self.inside], return_inverse=True)
         left, right = pair // len(self.words), pair % len(self.words)
         key = tb.mix(self.words[left] * tb.SHINGLE_CODES[0] + self.words[right] * tb.SHINGLE_CODES[1])
         order = np.argsort(key, kind="stable")
@@ -189,84 +183,58 @@ class Chunk:
         self.at = place[at]  # the bigram of each word that is not the first of its document
 
 
-def _send_bigrams(buckets: int) -> Callable[[list[tuple]], Iterator[pa.RecordBatch]]:
-    def one(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        c = Chunk(rows)
-        n = np.bincount(c.at, minlength=len(c.key))
-        target = np.bincount(c.at, c.chosen[c.row[1:][c.inside]], minlength=len(c.key))
-        out = [(BIGRAMS, c.name, k, _packed_sorted(c.key[a:b]), _packed(n[a:b]), _packed(target[a:b])) for k, a, b in _cuts(c.key, buckets)]
-        if out:
-            yield _batch(out)
-
-    return one
-
-
-def _count_bigrams(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """Of a bucket: to each chunk the counts of its bigrams in all documents, 0 for those not kept, and which are its own: each is one chunk's."""
-    key = [_unpacked_sorted(r[3]) for r in rows]
-    keys, first, at = np.unique(np.concatenate(key), return_index=True, return_inverse=True)
-    n, target = (np.bincount(at, _joined(rows, BIGRAMS, i, _unpacked), minlength=len(keys)).astype(np.int64) for i in (4, 5))
-    target[n < 2] = 0
-    n[n < 2] = 0
-    own = np.zeros(len(at), np.int64)
-    own[first] = 1
-    out, low = [], 0
-    for r, k in zip(rows, key, strict=True):
-        part = slice(low, low := low + len(k))
-        out.append((BIGRAMS, r[1], r[2], _packed(n[at[part]]), _packed(target[at[part]]), _packed(own[part])))
-    yield _batch(out)
-
-
-def _send_lefts(buckets: int, discount: float) -> Callable[[list[tuple]], Iterator[pa.RecordBatch]]:
-    """Of a chunk: to the buckets of words the discounted sums of its own bigrams by left word."""
+def _send(buckets: int) -> Callable[[list[tuple]], Iterator[pa.RecordBatch]]:
+    """Of a chunk: to the buckets its words and bigrams, with their counts in it and in its documents of the target."""
 
     def one(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         c = Chunk(rows)
-        n, target, own = (_joined(rows, BIGRAMS, i, _unpacked) for i in (3, 4, 5))
-        mine = (own > 0) & (n > 0)
-        used, used_target = (np.bincount(c.left[mine], np.maximum(x[mine] - discount, 0), minlength=len(c.words)) for x in (n, target))
-        some = np.flatnonzero(np.bincount(c.left[mine], minlength=len(c.words)))
-        words, used, used_target = c.words[some], used[some], used_target[some]
-        out = [(LEFTS, c.name, k, words[a:b].tobytes(), used[a:b].tobytes(), used_target[a:b].tobytes()) for k, a, b in _cuts(words, buckets)]
-        if out:
-            yield _batch(out)
+        of_word, of_bigram = c.chosen[c.row], c.chosen[c.row[1:][c.inside]]
+        for kind, key, at, of in ((WORDS, c.words, c.ids, of_word), (BIGRAMS, c.key, c.at, of_bigram)):
+            n, target = np.bincount(at, minlength=len(key)), np.bincount(at, of, minlength=len(key))
+            if out := [(kind, c.name, k, _packed_sorted(key[a:b]), _packed(n[a:b]), _packed(target[a:b])) for k, a, b in _cuts(key, buckets)]:
+                yield _batch(out)
 
     return one
 
 
-def _sum_lefts(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """Of a bucket: to each chunk the discounted sums of its words as left words."""
-    words, at = np.unique(_joined(rows, LEFTS, 3, _hashes), return_inverse=True)
-    sums = [np.append(np.bincount(at, _joined(rows, LEFTS, i, _floats), minlength=len(words)), 0.0) for i in (4, 5)]
-    out = []
-    for r in rows:
-        if r[0] == WORDS:
-            mine = _hashes(r[3])
-            slot = np.searchsorted(words, mine)
-            slot[np.append(words, np.uint64(0))[slot] != mine] = len(words)
-            out.append((LEFTS, r[1], r[2], sums[0][slot].tobytes(), sums[1][slot].tobytes(), b""))
-    if out:
+def _count(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Of a bucket: to each chunk the counts of its words and bigrams in all documents and in the target, and the bucket's totals of words."""
+    for kind in (WORDS, BIGRAMS):
+        if not (sent := [r for r in rows if r[0] == kind]):
+            continue
+        key = [_unpacked_sorted(r[3]) for r in sent]
+        keys, at = np.unique(np.concatenate(key), return_inverse=True)
+        n, target = (np.bincount(at, _joined(sent, kind, i), minlength=len(keys)).astype(np.int64) for i in (4, 5))
+        once, out, low = n == 1, [], 0
+        if kind == WORDS:
+            totals = np.array([n.sum(), target.sum(), once.sum(), target[once].sum(), (n > 1).sum()], np.int64)
+            out.append((TOTALS, -1, sent[0][2], totals.tobytes(), b"", b""))
+        else:
+            n, target = np.where(once, 0, n), np.where(once, 0, target)
+        for r, k in zip(sent, key, strict=True):
+            mine = at[low : (low := low + len(k))]
+            out.append((kind, r[1], r[2], _packed(n[mine]), _packed(target[mine]), b""))
         yield _batch(out)
 
 
-def _score(totals: np.ndarray, discount: float) -> Callable[[list[tuple]], Iterator[pa.RecordBatch]]:
+def _score(totals: np.ndarray, weight: float) -> Callable[[list[tuple]], Iterator[pa.RecordBatch]]:
     every, every_target, once, once_target, known = totals.tolist()
     v = known + 1
 
     def one(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         c = Chunk(rows)
         begins = np.append(True, ~c.inside) if len(c.ids) else np.zeros(0, bool)
+        rare = _joined(rows, WORDS, 3) < 2  # of the unknown word itself, too
         losses = []
-        models = ((c.target, every_target, once_target, 4), (c.n, every, once, 3))
-        for count, total, unknown, field in models:
-            start = count.astype(np.float64)
-            start[0] = unknown
-            unigram = (start + 1) / (total + v)
-            backoff = np.clip(1 - _joined(rows, LEFTS, field, _floats) / np.maximum(start, 1), 1e-6, 1)
-            used = np.maximum(_joined(rows, BIGRAMS, field, _unpacked) - discount, 0) / np.maximum(start[c.left], 1)
+        for total, unknown, field in ((every_target, once_target, 4), (every, once, 3)):
+            n = _joined(rows, WORDS, field)
+            unigram = (np.where(rare, unknown, n) + 1) / (total + v)
+            context = np.where(rare, 0, n)[c.left]
+            after = _joined(rows, BIGRAMS, field) / np.maximum(context, 1)
+            chance = np.where(context > 0, weight * after + (1 - weight) * unigram[c.right], unigram[c.right])
             loss = np.empty(len(c.ids))
             loss[begins] = -np.log(unigram[c.ids[begins]])
-            loss[~begins] = -np.log(used + backoff[c.left] * unigram[c.right])[c.at]
+            loss[~begins] = -np.log(chance)[c.at]
             losses.append(np.bincount(c.row, loss, minlength=len(c.length)))
         target, background = losses
         columns = [pa.array(c.doc_id, mask=c.valid == 0), pa.array(c.length), pa.array(target), pa.array(background), pa.array((background - target) / np.maximum(c.length, 1))]
@@ -278,7 +246,7 @@ def _score(totals: np.ndarray, discount: float) -> Callable[[list[tuple]], Itera
 def cross_entropy_difference(
     docs: DataFrame,
     target_ids: DataFrame,
-    discount: float = 0.75,
+    weight: float = 0.7,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
@@ -292,19 +260,11 @@ def cross_entropy_difference(
     """
     read = texts(docs, doc_id=doc_id, text=text)
     size = read.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    buckets = 1 + size // BUCKET_BYTES
-    chosen = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("chosen", F.lit(1))
-    # the target's ids grow with the documents, so they are never broadcast
-    marked = read.join(chosen.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("chosen", F.lit(0)).cast("long").alias("chosen"))
-
-    sent = stored(_chunks_of(marked, buckets), "chunks", partition_by="kind").select(*MESSAGE)
-    asked, chunks = sent.where(f"kind = {WORDS}"), sent.where(f"kind = {DOCS}")
-    counted = stored(_by(asked, "bucket", _count_words, SCHEMA), "words", partition_by="kind").select(*MESSAGE)
-    totals = np.sum([np.zeros(5, np.int64), *(np.frombuffer(r.a, np.int64) for r in counted.where(f"kind = {TOTALS}").select("a").collect())], axis=0)
-    chunks = chunks.unionByName(counted.where(f"kind = {WORDS}"))
-
-    bigrams = _by(chunks, "chunk", _send_bigrams(buckets), SCHEMA)
-    chunks = chunks.unionByName(stored(_by(bigrams, "bucket", _count_bigrams, SCHEMA), "bigrams"))
-    lefts = _by(chunks, "chunk", _send_lefts(buckets, discount), SCHEMA)
-    whole = chunks.unionByName(_by(asked.unionByName(lefts), "bucket", _sum_lefts, SCHEMA))
-    return _by(whole, "chunk", _score(totals, discount), "doc_id long, n_words long, target_loss double, background_loss double, score double")
+    chunks = stored(_chunks_of(read), "chunks")
+    asked = _by(chunks.unionByName(_chosen(chunks, target_ids)), "chunk", _send(1 + size // BUCKET_BYTES), SCHEMA)
+    counted = stored(_by(asked, "bucket", _count, SCHEMA), "counts", partition_by="kind").select(*MESSAGE)
+    totals = np.zeros(5, np.int64)
+    for r in counted.where(f"kind = {TOTALS}").select("a").toLocalIterator():  # five numbers a bucket
+        totals += np.frombuffer(r.a, np.int64)
+    whole = chunks.unionByName(counted.where(f"kind <> {TOTALS}"))
+    return _by(whole, "chunk", _score(totals, weight), "doc_id long, n_words long, target_loss double, background_loss double, score double")
