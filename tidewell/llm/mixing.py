@@ -167,6 +167,8 @@ def in_mix_order(docs: DataFrame, **options) -> DataFrame:
     All rows stay, whatever is null or repeated; see `mixed` for their order.
     """
     position = spare(docs, "mix_position")[0]
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = mixed(docs, **options)
-    return out.repartitionByRange(parts, position).sortWithinPartitions(position).select(*(F.col(f"`{c}`") for c in docs.columns))
+    # positions run from 0 without gaps, so ranges need no sample of the rows
+    parts, rows = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(1, docs.count())
+    part = F.floor(F.col(position) * parts / rows).cast("int")
+    return out.repartitionById(parts, part).sortWithinPartitions(position).select(*(F.col(f"`{c}`") for c in docs.columns))

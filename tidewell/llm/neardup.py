@@ -89,18 +89,15 @@ def _cell_counts(cells: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, table: np.ndarray, width: int, percent: int, hot_rows: int) -> DataFrame:
-    """Rows (token, n, key, part): each class with its prefix shingles.
-
-    part is -1, but for shingles of cells with more than hot_rows occurrences:
-    these are dealt by the class into parts of about hot_rows each.
-    """
+    """Rows (token, n, key): each class with its prefix shingles; and hot, where there are cells of hot_rows occurrences: 1 for their shingles."""
+    any_hot = bool((table >= hot_rows).any())
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = shared.value, set()
         for batch in batches:
             for s in tb.slices(batch.column(0)):
-                token, n, key, part = [], [], [], []
+                token, n, key, hot = [], [], [], []
                 for x in tb.shingle_sets(s, width):
                     k = _set_key(x)
                     if not len(x) or k in seen:  # a task tells of a class once
@@ -114,30 +111,35 @@ def _prefixes(docs: DataFrame, table: np.ndarray, width: int, percent: int, hot_
                     token.append(x)
                     n.append(np.full(len(x), len(c)))
                     key.append(np.full(len(x), k))
-                    parts = order[_cells(x)] // hot_rows
-                    part.append(np.where(parts > 0, k % (parts + 1), -1))
+                    hot.append((order[_cells(x)] >= hot_rows).astype(np.int32))
                 if token:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), *(pa.array(np.concatenate(c)) for c in (n, key, part))], names=["token", "n", "key", "part"])
+                    columns = (token, n, key, hot) if any_hot else (token, n, key)
+                    columns = [np.concatenate(c) for c in columns]
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[0].view(np.int64)), *map(pa.array, columns[1:])], names=["token", "n", "key", "hot"][: len(columns)])
 
-    return docs.select("text").mapInArrow(run, "token long, n long, key long, part long")
+    return docs.select("text").mapInArrow(run, "token long, n long, key long" + ", hot int" * any_hot)
 
 
-def _groups(prefixes: DataFrame, any_hot: bool) -> DataFrame:
-    """Rows (lead, n, key): each class in the groups of the smallest classes with which it shares a prefix shingle."""
+def _groups(prefixes: DataFrame) -> DataFrame:
+    """Rows (lead, n, key): each class in the groups of the smallest classes with which it shares a prefix shingle.
+
+    Shingles of cells with many occurrences are kept apart: their smallest
+    classes are found by sums before the shuffle, and their rows dealt in parts.
+    """
 
     def joined(rows: DataFrame) -> DataFrame:
         return rows.where("least != most").groupBy(F.col("least.key").alias("lead"), "n", "key").agg(F.lit(1).alias("one")).drop("one")
 
-    of_part = Window.partitionBy("token", "part")
+    of_token = Window.partitionBy("token")
     own = F.struct("n", "key")
-    if not any_hot:
-        return joined(prefixes.withColumns({"least": F.min(own).over(of_part), "most": F.max(own).over(of_part)}))
-    prefixes = stored(prefixes.withColumn("hot", (F.col("part") >= 0).cast("int")), "prefixes", partition_by="hot")
-    hot = prefixes.where("hot = 1")
-    ends = hot.groupBy("token").agg(F.min(own).alias("least"), F.max(own).alias("most"))  # summed up before the shuffle
+    if "hot" not in prefixes.columns:
+        return joined(prefixes.withColumns({"least": F.min(own).over(of_token), "most": F.max(own).over(of_token)}))
+    prefixes = stored(prefixes, "prefixes", partition_by="hot")
+    hot = prefixes.where("hot = 1").drop("hot")
+    ends = hot.groupBy("token").agg(F.min(own).alias("least"), F.max(own).alias("most"))
     ends = ends.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(HOT_PARTS - 1).cast("long"))))
     hot = hot.withColumn("part", F.pmod("key", F.lit(HOT_PARTS))).join(ends, ["token", "part"])
-    return _groups(prefixes.where("hot = 0"), False).unionByName(joined(hot))
+    return _groups(prefixes.where("hot = 0").drop("hot")).unionByName(joined(hot))
 
 
 def _by_group(df: DataFrame, keys: list[str], one: Callable[[dict[str, np.ndarray | list]], dict | None], schema: str) -> DataFrame:
@@ -183,7 +185,8 @@ def _tile_pairs(groups: DataFrame, tile: int, percent: int) -> DataFrame:
     sizes = members.groupBy(*of_cell).agg(F.count("*").alias("m"))
     before = F.sum("m").over(Window.partitionBy("lead").orderBy("n", "range")) - F.col("m")
     ranked = members.withColumn("rank", F.row_number().over(Window.partitionBy(*of_cell).orderBy("key")) - 1)
-    tiled = ranked.join(sizes.select(*of_cell, before.alias("before")), of_cell).select("lead", "n", "key", F.floor((F.col("before") + F.col("rank")) / tile).cast("long").alias("i"))
+    tiled = ranked.join(sizes.select(*of_cell, before.alias("before")), of_cell)
+    tiled = stored(tiled.select("lead", "n", "key", F.floor((F.col("before") + F.col("rank")) / tile).cast("long").alias("i")), "tiles")
     bands = tiled.groupBy("lead", "i").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("m"))
     other = bands.select("lead", F.col("i").alias("j"), F.col("low").alias("low_j"), F.col("m").alias("m_j"))
     pairs = bands.join(other, "lead").where((F.col("i") <= F.col("j")) & (100 * F.col("high") >= percent * F.col("low_j")) & ((F.col("i") != F.col("j")) | (F.col("m") > 1)))
@@ -280,7 +283,7 @@ def _linked(docs: DataFrame, percent: int, width: int, tile: int, hot_rows: int,
     cells = _cell_counts(kinds.where("kind = 1").groupBy(F.col("doc_id").alias("cell")).agg(F.sum("n").alias("count")))
     bitmaps = rows.where("n > 0").groupBy("key").agg(F.max("bitmap").alias("bitmap"))
 
-    groups = stored(_groups(_prefixes(read, cells, width, percent, hot_rows), bool((cells >= hot_rows).any())), "groups")
+    groups = stored(_groups(_prefixes(read, cells, width, percent, hot_rows)), "groups")
     pairs = _tile_pairs(groups, tile, percent).join(bitmaps, "key")
     reach = stored(_by_group(pairs.select("lead", "i", "j", "n", "key", "bitmap"), ["lead", "i", "j"], _members_in_reach(percent), "lead long, i long, j long, n long, key long"), "reach")
 
