@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as c
 from ..sources import events_panel
-from . import analytics, language
+from . import analytics, evaluation, language  # noqa: F401 (evaluation registers its queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

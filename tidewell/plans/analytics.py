@@ -283,7 +283,7 @@ def percentile_clip(spark, sf_dir):
 
 
 def _sigmoid_sql(x: str, k: float, x0: float) -> str:
-    return f"100 / (1 + exp(greatest(least(-{k} * ({x} - {x0}), 700), -700)))"
+    return f"100 / (1 + exp(greatest(least(-({k}) * ({x} - {x0}), 700), -700)))"
 
 
 @query(f"""WITH {IC_SQL}, m AS (SELECT factor, avg(ic) AS ic, {_ratio_sql('ic')} AS icir FROM ic GROUP BY 1)
