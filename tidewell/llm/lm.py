@@ -46,18 +46,19 @@ SCHEMA = "kind int, chunk long, bucket long, a binary, b binary, c binary"
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """Whole numbers by byte planes, as many as the largest needs; planes of mostly small numbers compress well."""
+    """Whole numbers by byte planes, as many as the largest needs, compressed: planes of mostly small numbers shrink to little."""
     planes = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
-    return bytes([planes]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes()
+    raw = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes()
+    return np.array([planes, len(raw)], "<i8").tobytes() + pa.compress(raw, "zstd", asbytes=True)
 
 
 def _unpacked(raw: pa.Buffer) -> np.ndarray:
-    data = np.frombuffer(raw, np.uint8)
-    if not len(data):
+    if not len(raw):
         return np.empty(0, np.int64)
-    planes = data[1:].reshape(int(data[0]), -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, : len(planes)] = planes.T
+    planes, size = np.frombuffer(raw[:16], "<i8").tolist()
+    data = np.frombuffer(pa.decompress(raw[16:], size, "zstd"), np.uint8).reshape(planes, -1) if size else np.empty((planes, 0), np.uint8)
+    out = np.zeros((data.shape[1], 8), np.uint8)
+    out[:, :planes] = data.T
     return out.view("<i8").ravel()
 
 
@@ -114,15 +115,18 @@ def _hashes(raw: pa.Buffer) -> np.ndarray:
 
 
 def _chunks_of(docs: DataFrame) -> DataFrame:
-    """Chunks of documents (DOCS): their ids and lengths, the sorted list of their words, and the texts as places in it."""
+    """Chunks of documents (DOCS): their ids and lengths, their words by descending counts, and the texts as places in that list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, heads, size, made = [], [], 0, 0
         task = TaskContext.get().partitionId() << 32
 
         def flush() -> pa.RecordBatch:
-            words, ids = np.unique(np.concatenate(([np.uint64(UNKNOWN)], *hashes)), return_inverse=True)
-            return _batch([(DOCS, task + made, -1, np.concatenate(heads, axis=1).tobytes(), words.tobytes(), _packed(ids[1:]))])
+            words, ids, n = np.unique(np.concatenate(([np.uint64(UNKNOWN)], *hashes)), return_inverse=True, return_counts=True)
+            order = np.argsort(-n, kind="stable")  # common words get small numbers
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            return _batch([(DOCS, task + made, -1, np.concatenate(heads, axis=1).tobytes(), words[order].tobytes(), _packed(place[ids[1:]]))])
 
         for batch in batches:
             valid = np.asarray(batch.column(0).is_valid())
@@ -170,7 +174,11 @@ class Chunk:
         for r in rows:
             if r[0] == CHOSEN:
                 self.chosen[np.array(r[3].to_pybytes().split(b","), np.int64)] = 1
-        self.words, self.ids = _hashes(docs[4]), _unpacked(docs[5])
+        words = _hashes(docs[4])
+        by_hash = np.argsort(words)
+        sorted_at = np.empty(len(words), np.int64)
+        sorted_at[by_hash] = np.arange(len(words))
+        self.words, self.ids = words[by_hash], sorted_at[_unpacked(docs[5])]
         self.row = np.repeat(np.arange(len(self.length)), self.length)
         self.inside = self.row[1:] == self.row[:-1]
         pair, at = np.unique((self.ids[:-1] * len(self.words) + self.ids[1:])[self.inside], return_inverse=True)
