@@ -34,7 +34,7 @@ def test_recall_and_exact_scores(spark):
 
 
 def test_odd_vectors_and_few_rows(spark):
-    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [2.0, 1.0]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [0.0, 0.0]), (6, [1.0]), (None, [1.0, 1.0]), (7, [2.0, 9.0]), (8, [])]
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [2.0, 1.0]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [0.0, 0.0]), (6, [1.0]), (40, [3.0]), (None, [1.0, 1.0]), (7, [2.0, 9.0]), (8, [])]
     out = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
-    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in out] == [(0, 1, 1, 2.0), (0, 2, 7, 2.0)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out) == [(0, 1, 1, 2.0), (0, 2, 7, 2.0), (40, 1, 6, 3.0)]
     assert nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0

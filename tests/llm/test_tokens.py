@@ -28,15 +28,32 @@ def test_matches_plain_encoding(spark):
 
 
 def test_repeated_ids_lookup_and_empty(spark):
-    docs = spark.createDataFrame([(5, "one two"), (5, "three"), (7, "four")], "doc_id long, text string")
+    docs = spark.createDataFrame([(5, "one two", 1), (5, "three", 2), (7, "four", 3), (None, "five", 4), (8, "word " * 300_000, 5), (9, None, 6)], "doc_id long, text string, n_tokens int")
     path = tokens.new_path(spark, "t")
-    shard = tokens.write_tokens(docs, PATH, path)
+    tokens.write_tokens(docs, PATH, path, block_tokens=3)
     t = Tokenizer.from_file(PATH)
-    assert sorted(tokens.lookup(shard, 5)) == sorted([*t.encode(x, add_special_tokens=False).ids, 2] for x in ("one two", "three"))
-    assert tokens.lookup(shard, 6) == []
+
+    def plain(x):
+        return [*t.encode(x, add_special_tokens=False).ids, 2]
+
+    assert sorted(tokens.lookup(spark, path, 5)) == sorted(map(plain, ("one two", "three")))
+    assert tokens.lookup(spark, path, 6) == [] and tokens.lookup(spark, path, 9) == [[2]]
+    assert tokens.lookup(spark, path, 8) == [plain("word " * 300_000)]
+    empty = tokens.new_path(spark, "t")
+    assert tokens.write_tokens(docs.limit(0), PATH, empty).count() == 0 and tokens.lookup(spark, empty, 5) == []
     assert tokens.tokenized(docs.limit(0), PATH).count() == 0
 
 
+def test_directory_of_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "BUCKET_KEYS", 10)
+    path = tokens.new_path(spark, "t")
+    tokens.write_tokens(spark.range(0, 900, 3).selectExpr("id AS doc_id", "concat('word ', id) AS text"), PATH, path, block_tokens=50)
+    t = Tokenizer.from_file(PATH)
+    for i in (0, 3, 450, 897):
+        assert tokens.lookup(spark, path, i) == [[*t.encode(f"word {i}", add_special_tokens=False).ids, 2]]
+    assert tokens.lookup(spark, path, 1) == []
+
+
 def test_index_is_minimal_and_perfect():
     ids = np.sort(np.random.default_rng(1).integers(-(2**60), 2**60, 5000))
     index = tokens.Index.build(ids, np.ones(5000, bool), np.arange(5001), 2)

@@ -1,11 +1,14 @@
 """Token ids in binary shards with a minimal perfect hash index.
 
-A shard table is a Parquet folder; each row is a block: raw little-endian ids
-of neighbouring documents, and an index over them.  The index is a minimal
-perfect hash of the document keys (hash and displace): a key leads in constant
-time to one slot, whose stored fingerprint tells whether the key is there, and
-which gives the document's place among the ids.  Blocks hold at most
-`block_tokens` ids unless one document alone has more.
+A folder of shards holds two tables.  In `blocks`, each row is a block: raw
+little-endian ids of neighbouring documents, and an index over them.  In
+`directory`, each row is a bucket of keys, by their hashes, and an index that
+leads to the shard and block of each.  Both indexes are minimal perfect hashes
+of the document keys (hash and displace): a key leads in constant time to one
+slot, whose stored fingerprint tells whether the key is there, and which gives
+its place.  So a lookup reads one bucket of the directory and the blocks of its
+documents, however many there are.  Blocks hold at most `block_tokens` ids
+unless one document alone has more, buckets about BUCKET_KEYS keys.
 
 Writing goes through Spark's committer, so lost executors leave no half shards,
 and any file system that Spark writes to will do.
@@ -13,6 +16,7 @@ and any file system that Spark writes to will do.
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections.abc import Callable, Iterator
@@ -36,6 +40,8 @@ PLAIN = "^(?P<core>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)(?P<tail>[.,
 MOST_REMEMBERED = 400_000
 #: Rows and bytes of text that are encoded at a time, one row at least.
 ENCODED_ROWS, ENCODED_BYTES = 4096, 4 << 20
+#: Keys in a bucket of the directory, in the mean.
+BUCKET_KEYS = 1 << 16
 
 
 class Encoder:
@@ -206,8 +212,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, or
 
     Documents stand in ascending doc_id order, or in that of the columns in
     `order`.  A null text is empty and has the end id only; a null doc_id sorts
-    first and is kept; repeated ids are kept, each with its own ids.  An empty
-    table gives an empty shard table.
+    first and is kept, but is in no directory; repeated ids are kept, each with
+    its own ids.  An empty table gives empty tables.
     """
     spark = docs.sparkSession
     keys = order or [F.col(doc_id).cast("long")]
@@ -261,12 +267,54 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, or
             yield flush()
 
     blocks = dealt.mapInArrow(run, "shard int, block int, n_docs long, n_tokens long, index binary, place binary, payload binary")
-    blocks.write.option("compression", "zstd").parquet(path)
-    return read_tokens(spark, path)
+    blocks.write.option("compression", "zstd").parquet(f"{path}/blocks")
+    tokens = read_tokens(spark, path)
+    _write_directory(tokens, f"{path}/directory")
+    return tokens
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.parquet(f"{path}/blocks")
+
+
+def _bucket(key: Column, buckets: Column | int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets) if isinstance(buckets, int) else buckets)
+
+
+def _write_directory(tokens: DataFrame, path: str) -> None:
+    """Writes the directory of a block table: of each bucket of keys, an index whose ordinals are places in a list of (shard, block)."""
+    buckets = 1 + (tokens.agg(F.sum("n_docs")).first()[0] or 0) // BUCKET_KEYS
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, block, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                index = Index.from_bytes(raw)
+                ids = np.unique(index.ids[index.valid])
+                yield pa.RecordBatch.from_pydict({"key": pa.array(ids), "at": pa.array(np.full(len(ids), shard << 32 | block, np.int64))})
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def one() -> pa.RecordBatch:
+            bucket, key, at = held[0][0], *(np.concatenate(x) for x in list(zip(*held, strict=True))[1:])
+            index = Index.build(key, np.ones(len(key), bool), np.arange(len(key) + 1), 8)
+            return pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int64()), "buckets": pa.array([buckets], pa.int64()), "index": pa.array([index.to_bytes()], pa.binary()), "places": pa.array([at.astype("<i8").tobytes()], pa.binary())})
+
+        for batch in batches:
+            of, key, at = (c.to_numpy() for c in batch.columns)
+            cuts = np.flatnonzero(of[1:] != of[:-1]) + 1
+            for b, k, p in zip(np.split(of, cuts), np.split(key, cuts), np.split(at, cuts), strict=True):
+                if len(b):
+                    if held and held[0][0] != b[0]:
+                        yield one()
+                        held = []
+                    held.append((int(b[0]), k, p))
+        if held:
+            yield one()
+
+    rows = tokens.select("shard", "block", "index").mapInArrow(keys, "key long, at long").select(_bucket(F.col("key"), buckets).alias("bucket"), "key", "at")
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "key", "at")
+    rows.mapInArrow(build, "bucket long, buckets long, index binary, places binary").write.parquet(path)
 
 
 def documents_of(tokens: DataFrame) -> DataFrame:
@@ -304,8 +352,18 @@ def documents_of(tokens: DataFrame) -> DataFrame:
     return docs.join(blocks, ["shard", "block"]).select("doc_id", (F.col("base") + F.col("skip") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "shard", "block")
 
 
-def lookup(tokens: DataFrame, doc_id: int) -> list[list[int]]:
-    """Ids of the documents with this id, found through the index of each block."""
+def lookup(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
+    """Ids of the documents with this id: one bucket of the directory is read, then the blocks to which it leads."""
+    here = _bucket(F.lit(doc_id).cast("long"), F.col("buckets"))
+    rows = spark.read.parquet(f"{path}/directory").where(F.col("bucket") == here).collect()  # one bucket or none
+    places: set[int] = set()
+    for row in rows:
+        index, t = Index.from_bytes(bytes(row["index"])), 0
+        while (at := int(index.find(np.array([doc_id]), np.array([t]))[0])) >= 0 and index.ids[at] == doc_id:
+            places.add(int(np.frombuffer(row.places, "<i8")[at]))
+            t += 1
+    if not places:
+        return []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,7 +374,9 @@ def lookup(tokens: DataFrame, doc_id: int) -> list[list[int]]:
                     yield pa.RecordBatch.from_pydict({"ids": pa.array([ids.astype(np.int64).tolist()])})
                     t += 1
 
-    return [r.ids for r in tokens.select("index", "payload").mapInArrow(run, "ids array<long>").collect()]
+    wanted = functools.reduce(lambda a, b: a | b, ((F.col("shard") == p >> 32) & (F.col("block") == (p & 0xFFFFFFFF)) for p in sorted(places)))
+    found = read_tokens(spark, path).where(wanted).select("index", "payload").mapInArrow(run, "ids array<long>")
+    return [r.ids for r in found.collect()]
 
 
 def tokenized(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
