@@ -124,8 +124,10 @@ def mixed(
     underscores before it.
     """
     spark = docs.sparkSession
-    key = F.col(f"`{source}`").cast("string")
-    counts = {r.s: r.n for r in docs.groupBy(key.alias("s")).agg(F.count("*").alias("n")).collect()}  # a row for each source
+    named = F.col(f"`{source}`").cast("string")
+    counts = {r.s: r.n for r in docs.groupBy(named.alias("s")).agg(F.count("*").alias("n")).collect()}  # a row for each source
+    # never null, so that windows and joins by it share one partitioning
+    key = F.coalesce(F.concat(F.lit("of "), named), F.lit("none"))
     block_rows = max(block_rows, -(-sum(counts.values()) // most_slots))
     if weights is None:
         weights = {s: n**power for s, n in counts.items()}
@@ -133,7 +135,7 @@ def mixed(
     plan = _plan(counts, {s: weights.get(s, least) for s in counts}, block_rows)
     # as many numbers as slots, twice: bounded by most_slots, so it may be broadcast
     schema = "array<struct<source:string,part:long,slots:array<long>,starts:array<long>>>"
-    plans = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(plan)), schema)).alias("p")).select(F.col("p.source").alias("p_source"), F.col("p.part").alias("p_part"), "p.slots", "p.starts")
+    plans = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(plan)), schema)).alias("p")).select(F.coalesce(F.concat(F.lit("of "), F.col("p.source")), F.lit("none")).alias("p_source"), F.col("p.part").alias("p_part"), "p.slots", "p.starts")
 
     whole = [F.col(f"`{c}`") for c in docs.columns]
     own = [F.col(f"`{c}`") for c in by]
@@ -148,13 +150,13 @@ def mixed(
     inner = F.sum("n").over(Window.partitionBy("s", "big").orderBy("c")) - F.col("n")
     bigs = sizes.groupBy("s", "big").agg(F.sum("n").alias("m"))
     bigs = bigs.select(F.col("s").alias("s2"), F.col("big").alias("b2"), (F.sum("m").over(Window.partitionBy("s").orderBy("big")) - F.col("m")).alias("outer"))
-    skips = sizes.select("s", "c", "big", inner.alias("inner")).join(bigs, F.col("s").eqNullSafe(F.col("s2")) & (F.col("big") == F.col("b2")))
+    skips = sizes.select("s", "c", "big", inner.alias("inner")).join(bigs, (F.col("s") == F.col("s2")) & (F.col("big") == F.col("b2")))
     skips = skips.select(F.col("s").alias("s3"), F.col("c").alias("c3"), (F.col("inner") + F.col("outer")).alias("skip"))
 
     place = F.row_number().over(Window.partitionBy("s", "c").orderBy("h", "t")) - 1
-    ranked = dealt(F.struct(*whole).alias("row")).withColumn("inside", place).join(skips, F.col("s").eqNullSafe(F.col("s3")) & (F.col("c") == F.col("c3")))
+    ranked = dealt(F.struct(*whole).alias("row")).withColumn("inside", place).join(skips, (F.col("s") == F.col("s3")) & (F.col("c") == F.col("c3")))
     ranked = ranked.select("row", "s", (F.col("inside") + F.col("skip")).alias("rank")).withColumn("block", F.floor(F.col("rank") / block_rows).cast("long"))
-    of_part = F.col("s").eqNullSafe(F.col("p_source")) & (F.floor(F.col("block") / PLAN_BLOCKS) == F.col("p_part"))
+    of_part = (F.col("s") == F.col("p_source")) & (F.floor(F.col("block") / PLAN_BLOCKS) == F.col("p_part"))
     out = ranked.join(F.broadcast(plans), of_part).withColumn("at", (F.col("block") % PLAN_BLOCKS + 1).cast("int"))
     new = [F.col("block"), F.element_at("slots", F.col("at")), F.element_at("starts", F.col("at")) + F.col("rank") % block_rows]
     names = spare(docs, "mix_block", "mix_slot", "mix_position")
