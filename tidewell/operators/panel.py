@@ -18,8 +18,8 @@ def calendar(frame: DataFrame, date: str = "datetime") -> DataFrame:
 def completed(panel: DataFrame, dates: DataFrame | None = None) -> DataFrame:
     """Every instrument on every date; cells without an observation are null.
 
-    The full grid is the result itself; it is made by exploding the dates that
-    lie in the calendar, so neither side is broadcast unless Spark finds it small.
+    The full grid is the result itself, a cross join of dates and instruments;
+    neither side is broadcast unless Spark finds it small.
     """
     grid = (dates if dates is not None else calendar(panel)).crossJoin(panel.select("instrument").distinct())
     return grid.join(panel, KEYS, "left")
@@ -120,3 +120,75 @@ def point_in_time(rows: DataFrame, as_of_date: str, keys: Sequence[str], disclos
 
 def wide(rows: DataFrame, key: str, name: str, value: str, names: Sequence[str]) -> DataFrame:
     return rows.groupBy(key).pivot(name, list(names)).agg(F.first(value))
+
+
+def trading_calendar(source: DataFrame, date: str, is_open: str | None = None) -> DataFrame:
+    """datetime: the open days of a calendar source, or without a flag the distinct days of any source."""
+    days = source.where(F.col(is_open).cast("int") == 1) if is_open else source
+    return days.where(F.col(date).isNotNull()).select(F.to_date(date).alias("datetime")).distinct()
+
+
+def require_coverage(panel: DataFrame, dates: DataFrame) -> None:
+    """Refuses a panel that lacks open days; names up to ten of them."""
+    if gone := missing_dates(panel, dates).orderBy("datetime").limit(10).collect():
+        raise ValueError(f"no rows on open days {[str(r.datetime) for r in gone]}")
+
+
+def daily_batch(panel: DataFrame, source: DataFrame, columns: Sequence[str], policy: str = "null") -> DataFrame:
+    """panel with columns of a source's row of its key; a source repeats no key.
+
+    Where there is none: policy null leaves nulls, zero puts 0, required refuses.
+    """
+    out = panel.join(source.select(*KEYS, *columns, F.lit(True).alias("_here")), KEYS, "left")
+    if policy == "required" and (gone := out.where("_here is null").select(*KEYS).limit(3).collect()):
+        raise ValueError(f"a required source lacks {[tuple(r) for r in gone]}")
+    if policy == "zero":
+        out = out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in columns})
+    return out.drop("_here")
+
+
+def as_of_aggregate(left: DataFrame, right: DataFrame, by: str, left_at: str, right_at: str, aggregates: dict[str, Column], strict: bool = False) -> DataFrame:
+    """left with aggregates of right's rows of the last time at or before it."""
+    sums = right.groupBy(by, right_at).agg(*(a.alias(n) for n, a in aggregates.items()))
+    return as_of(left, sums, by, left_at, right_at, list(aggregates), strict)
+
+
+def weighted_context(panel: DataFrame, source: DataFrame, weights: DataFrame, values: Sequence[str]) -> DataFrame:
+    """panel with the index-weighted mean of source values by date; weights (datetime, instrument, weight), nulls left out of both sums."""
+    both = source.join(weights, KEYS)
+
+    def mean(v: str) -> Column:
+        used = F.when(F.col(v).isNotNull(), F.col("weight"))
+        return F.try_divide(F.sum(F.col(v) * used), F.sum(used)).alias(f"weighted_{v}")
+
+    return panel.join(both.groupBy("datetime").agg(*(mean(v) for v in values)), "datetime", "left")
+
+
+def tradable(universe: DataFrame, calendar_: DataFrame, suspended: DataFrame | None = None, st: DataFrame | None = None) -> DataFrame:
+    """universe with is_tradable: an open day (cal_date, is_open), not suspended (trade_date, ts_code), not marked is_st."""
+    open_ = calendar_.groupBy(F.to_date("cal_date").alias("datetime")).agg(F.max(F.col("is_open").cast("int") == 1).alias("_open"))
+    out = universe.join(open_, "datetime", "left")
+    no = F.lit(False)
+    for frame, name, flag in ((suspended, "_suspended", F.lit(True)), (st, "_st", F.col("is_st").cast("int") == 1 if st is not None else no)):
+        if frame is None:
+            out = out.withColumn(name, no)
+        else:
+            marks = frame.groupBy(F.to_date("trade_date").alias("datetime"), F.col("ts_code").cast("string").alias("instrument")).agg(F.max(flag).alias(name))
+            out = out.join(marks, KEYS, "left")
+    ok = F.coalesce("_open", no) & ~F.coalesce("_suspended", no) & ~F.coalesce("_st", no)
+    return out.withColumn("is_tradable", ok).drop("_open", "_suspended", "_st")
+
+
+def index_members(weights: DataFrame, as_of_date: str, indices: Sequence[str]) -> DataFrame:
+    """index_code, con_code, trade_date: of each index, the members on its last weight date not after the date."""
+    past = weights.where(F.col("index_code").isin(list(indices)) & (F.to_date("trade_date") <= F.lit(as_of_date).cast("date")))
+    last = past.groupBy("index_code").agg(F.max("trade_date").alias("trade_date"))
+    return past.join(last, ["index_code", "trade_date"]).select("index_code", "con_code", "trade_date").distinct()
+
+
+def index_universe(weights: DataFrame, as_of_date: str, indices: Sequence[str], exclude_markets: Sequence[str] = ()) -> DataFrame:
+    """instrument: members of any of the indices as of the date, without those of the excluded markets."""
+    from ..sources.market import in_markets
+
+    names = index_members(weights, as_of_date, indices).select(F.col("con_code").alias("instrument")).distinct()
+    return in_markets(names, exclude=exclude_markets)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import average_rank, finite
+from ..storage import stored
 
 
 def safe_corr(a: str, b: str) -> Column:
@@ -58,9 +59,9 @@ def risk(returns: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def pre_backtest_screen(long: DataFrame, limits: dict[str, float]) -> DataFrame:
     """factor, its seven screening metrics and the reasons it fails, from rows (factor, datetime, instrument, value)."""
-    value = finite("value")
-    z = F.abs(F.try_divide(F.col("_v") - F.avg("_v").over(Window.partitionBy("factor")), F.stddev_samp("_v").over(Window.partitionBy("factor"))))
-    rows = long.withColumn("_v", value).withColumn("_z", z)
+    rows = long.withColumn("_v", finite("value"))
+    level = rows.groupBy("factor").agg(F.avg("_v").alias("_m"), F.stddev_samp("_v").alias("_s"))  # a row for each factor
+    rows = rows.join(level, "factor").withColumn("_z", F.abs(F.try_divide(F.col("_v") - F.col("_m"), F.col("_s"))))
     daily = rows.groupBy("factor", "datetime").agg(F.count("_v").alias("d_n"), F.count("*").alias("d_rows"), (F.min("_v") == F.max("_v")).alias("d_same"))
     days = daily.groupBy("factor").agg(F.avg((F.col("d_n") > 0).cast("double")).alias("active_ratio"), F.avg(F.coalesce("d_same", F.lit(True)).cast("double")).alias("constant_ratio"), F.avg(F.col("d_n") / F.col("d_rows")).alias("coverage"))
     whole = rows.groupBy("factor").agg(F.avg(F.col("_v").isNotNull().cast("double")).alias("valid_ratio"), F.avg(F.col("_v").isNull().cast("double")).alias("nan_ratio"), F.countDistinct("_v").alias("n_unique"), F.avg(F.coalesce(F.col("_z") > 8, F.lit(False)).cast("double")).alias("extreme_ratio"))
@@ -178,10 +179,11 @@ def cosine(a: Column, b: Column) -> Column:
 def hops(edges: DataFrame, starts: DataFrame, k: int) -> DataFrame:
     """node, hop: nodes within k undirected steps of the starts, with the least number of steps."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    seen = starts.select("node").distinct().withColumn("hop", F.lit(0))
+    seen = frontier = starts.select("node").distinct().withColumn("hop", F.lit(0))
     for hop in range(1, k + 1):
-        step = seen.where(F.col("hop") == hop - 1).join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node"), F.lit(hop).alias("hop"))
-        seen = seen.unionByName(step).groupBy("node").agg(F.min("hop").alias("hop"))
+        step = frontier.join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
+        frontier = stored(step.join(seen, "node", "left_anti").withColumn("hop", F.lit(hop)), "frontier")  # each hop is computed once
+        seen = seen.unionByName(frontier)
     return seen
 
 

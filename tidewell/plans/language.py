@@ -14,7 +14,7 @@ from ..functions import columns as c
 from ..sources import events_panel
 
 PANEL_SQL = """p AS (
-SELECT CAST(user_id AS VARCHAR) AS instrument, CAST(ts AS DATE) AS datetime, arg_min(value, ts) AS open, arg_max(value, ts) AS close,
+SELECT CAST(user_id AS VARCHAR) AS instrument, CAST(ts AS DATE) AS datetime, arg_min(value, {'a': ts, 'b': event_id}) AS open, arg_max(value, {'a': ts, 'b': event_id}) AS close,
 max(value) AS high, min(value) AS low, CAST(count(*) AS DOUBLE) AS volume, sum(value) / count(*) AS vwap FROM events GROUP BY 1, 2)"""
 
 

@@ -69,12 +69,12 @@ def duplicate_keys(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def events_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users by day: open, close, high, low, volume, vwap of event values."""
-    e = table(spark, sf_dir, "events")
+    e, order = table(spark, sf_dir, "events"), F.struct("ts", "event_id")
     return (
         e.groupBy(F.col("user_id").cast("string").alias("instrument"), F.to_date("ts").alias("datetime"))
         .agg(
-            F.min_by("value", "ts").alias("open"),
-            F.max_by("value", "ts").alias("close"),
+            F.min_by("value", order).alias("open"),
+            F.max_by("value", order).alias("close"),
             F.max("value").alias("high"),
             F.min("value").alias("low"),
             F.count("*").cast("double").alias("volume"),

@@ -6,7 +6,7 @@ import json
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,6 +25,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tidewell/{name}-{uuid.uuid4().hex}"
 
 
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """Writes a frame to the shared folder and reads it back, which ends its lineage in a form that outlives executors."""
+    path = scratch(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def write_manifest(spark: SparkSession, path: str, content: dict) -> None:
     """Writes a small JSON document as a one-row table, in place of what was there; readers see the old or the new one whole."""
     new = f"{path}/v{int(content.get('version', 0)):09d}"

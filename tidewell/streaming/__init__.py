@@ -15,11 +15,11 @@ def arriving(spark: SparkSession, path: str, schema: StructType | str, files_per
 
 def daily_panel(events: DataFrame, late: str = "2 days") -> DataFrame:
     """The events panel by user and day, final when the watermark has passed the day."""
-    day = F.window("ts", "1 day")
+    day, order = F.window("ts", "1 day"), F.struct("ts", "event_id")
     return (
         events.withWatermark("ts", late)
         .groupBy(day, F.col("user_id").cast("string").alias("instrument"))
-        .agg(F.min_by("value", "ts").alias("open"), F.max_by("value", "ts").alias("close"), F.max("value").alias("high"), F.min("value").alias("low"), F.count("*").cast("double").alias("volume"), (F.sum("value") / F.count("*")).alias("vwap"))
+        .agg(F.min_by("value", order).alias("open"), F.max_by("value", order).alias("close"), F.max("value").alias("high"), F.min("value").alias("low"), F.count("*").cast("double").alias("volume"), (F.sum("value") / F.count("*")).alias("vwap"))
         .select(F.to_date("window.start").alias("datetime"), "instrument", "open", "close", "high", "low", "volume", "vwap")
     )
 
