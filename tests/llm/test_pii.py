@@ -56,7 +56,7 @@ def test_labels_come_from_the_most_central_window(tagger):
     rng = random.Random(5)
     text = pii.labelled_text(rng, 400)[0]
     c = pii.char_classes(text)
-    labels, = pii.tag(tagger, [c], 96, 64, 7)
+    (labels,) = pii.tag(tagger, [c], 96, 64, 7)
     starts = list(range(0, len(c) - 32, 64))
     assert starts[-1] + 96 >= len(c)
     one_by_one = [tagger.decode(np.append(c[s : s + 96], np.full(max(0, s + 96 - len(c)), pii.PAD, np.uint8))[None])[0] for s in starts]

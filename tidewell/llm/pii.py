@@ -108,7 +108,7 @@ class Tagger:
     clip(x, -1, 1), in training as in decoding.
     """
 
-    def __init__(self, hidden: int = 16, width: int = 10, seed: int = 11):
+    def __init__(self, hidden: int = 8, width: int = 10, seed: int = 11):
         rng = np.random.default_rng(seed)
         n = len(LABELS)
         self.hidden = hidden
@@ -206,50 +206,74 @@ class Tagger:
         return loss, g
 
     def for_decoding(self) -> Tagger:
-        """The weights as decoding takes them: inputs by class, and the gates' scale and shift folded in."""
+        """The weights as decoding takes them, rows last: inputs by class, and the gates' scale and shift folded in."""
         h = self.hidden
         scale = np.where(np.arange(4 * h) < 3 * h, 0.25, 1.0)
         shift = np.where(np.arange(4 * h) < 3 * h, 0.5, 0.0)
-        self.by_class = ((self.p["embed"] @ self.p["x"] + self.p["b"]) * scale + shift).astype(np.float32)
-        self.by_state = (self.p["h"] * scale).astype(np.float32)
-        self.to_labels = self.p["out"].astype(np.float32)
+        of_class = (self.p["embed"] @ self.p["x"] + self.p["b"]) * scale + shift
+        self.by_class = of_class.astype(np.float32)
+        self.by_state = np.ascontiguousarray((self.p["h"] * scale).transpose(0, 2, 1), np.float32)
+        self.to_labels = np.ascontiguousarray(self.p["out"].T, np.float32)
         self.label_bias = self.p["bias"].astype(np.float32)
         self.go = (self.p["go"] + self.banned).astype(np.float32)
-        self.low = np.where(np.arange(4 * h) < 3 * h, 0, -1).astype(np.float32)
         return self
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """Label scores (time, label, row) of windows of classes."""
         (b, t), h = x.shape, self.hidden
-        state, cell = np.zeros((2, b, h), np.float32), np.zeros((2, b, h), np.float32)
-        outs, z, at = np.empty((2, t, b, h), np.float32), np.empty((2, b, 4 * h), np.float32), np.ascontiguousarray(x.T)
+        state, cell = np.zeros((2, h, b), np.float32), np.zeros((2, h, b), np.float32)
+        outs, z = np.empty((2, t, h, b), np.float32), np.empty((2, 4 * h, b), np.float32)
+        at, more = np.ascontiguousarray(x.T), np.empty((2, h, b), np.float32)
+        # bounds as whole arrays, which numpy compares several numbers at a time
+        high, low = np.ones_like(z), np.zeros_like(z)
+        low[:, 3 * h :] = -1
         for i in range(t):
-            np.matmul(state, self.by_state, out=z)
-            z[0] += self.by_class[0].take(at[i], axis=0)
-            z[1] += self.by_class[1].take(at[t - 1 - i], axis=0)
-            np.minimum(z, 1, out=z)
-            np.maximum(z, self.low, out=z)
-            cell *= z[..., h : 2 * h]
-            cell += z[..., :h] * z[..., 3 * h :]
-            state = np.minimum(cell, 1)
-            np.maximum(state, -1, out=state)
-            state *= z[..., 2 * h : 3 * h]
+            np.matmul(self.by_state, state, out=z)
+            z[0] += self.by_class[0].take(at[i], axis=0).T
+            z[1] += self.by_class[1].take(at[t - 1 - i], axis=0).T
+            np.minimum(z, high, out=z)
+            np.maximum(z, low, out=z)
+            cell *= z[:, h : 2 * h]
+            np.multiply(z[:, :h], z[:, 3 * h :], out=more)
+            cell += more
+            np.minimum(cell, high[:, :h], out=state)
+            np.maximum(state, low[:, 3 * h :], out=state)
+            state *= z[:, 2 * h : 3 * h]
             outs[0, i], outs[1, t - 1 - i] = state
-        both = outs[0].reshape(t * b, h) @ self.to_labels[:h] + outs[1].reshape(t * b, h) @ self.to_labels[h:]
-        return np.ascontiguousarray((both + self.label_bias).reshape(t, b, -1).transpose(0, 2, 1))
+        both = np.matmul(self.to_labels[:, :h], outs[0])
+        both += np.matmul(self.to_labels[:, h:], outs[1])
+        both += self.label_bias[:, None]
+        return both
 
     def decode(self, x: np.ndarray) -> np.ndarray:
-        """Best label sequence of each window, by Viterbi: the best scores forwards, then the path backwards."""
-        scores = self.scores(x)
-        t, n, b = scores.shape
-        best, to = scores, np.ascontiguousarray(self.go.T)[:, :, None]
+        """Best label sequence of each window, by Viterbi: the best scores forwards, then the path backwards.
+
+        A window whose best score is that of all O has no path to follow.
+        """
+        best = self.scores(x)
+        t, _, b = best.shape
+        to = np.ascontiguousarray(self.go.T)[:, :, None]
+        begins, insides = [0, *range(1, len(LABELS), 2)], range(2, len(LABELS), 2)  # an inside follows its own kind only
+        to_begin = to[begins]
+        from_begin, from_inside = (np.array([self.go[k - d, k] for k in insides])[:, None] for d in (1, 0))
         best[0] += self.first.astype(np.float32)[:, None]
+        all_o = best[0, 0].copy()
         for i in range(1, t):
-            best[i] += (best[i - 1] + to).max(axis=1)
-        out = np.empty((b, t), np.int8)
-        out[:, -1] = best[-1].argmax(0)
+            before, now = best[i - 1], best[i]
+            all_o += self.go[0, 0]
+            all_o += now[0]
+            now[begins] += (before + to_begin).max(axis=1)
+            now[2::2] += np.maximum(before[1::2] + from_begin, before[2::2] + from_inside)
+        out = np.zeros((b, t), np.int8)
+        last = best[-1].argmax(0)
+        some = np.flatnonzero((last > 0) | (best[-1, 0] > all_o))
+        if not len(some):
+            return out
+        best, path = np.ascontiguousarray(best[:, :, some].transpose(0, 2, 1)), np.empty((t, len(some)), np.int8)
+        path[-1], to = last[some], to[:, :, 0]
         for i in range(t - 1, 0, -1):
-            out[:, i - 1] = (best[i - 1].T + to[out[:, i], :, 0]).argmax(1)
+            path[i - 1] = (best[i - 1] + to[path[i]]).argmax(1)
+        out[some] = path.T
         return out
 
 
@@ -367,7 +391,7 @@ def _added(text: str, labels: np.ndarray, base: list[tuple[int, int, int]]) -> l
     return [(k, a, z) for k, a, z in spans_of(labels) if before[z] == before[a] and plausible(k, text[a:z])]
 
 
-def personal_data(docs: DataFrame, window: int = 96, stride: int = 64, batch: int = 512, doc_id: str = "doc_id", text: str = "text", tagger: Tagger | None = None) -> DataFrame:
+def personal_data(docs: DataFrame, window: int = 160, stride: int = 128, batch: int = 2048, doc_id: str = "doc_id", text: str = "text", tagger: Tagger | None = None) -> DataFrame:
     """One row per input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     Counts and base_sha256 are those of the base patterns; spans adds what the
