@@ -61,3 +61,18 @@ def test_nulls_and_nan(spark):
 def test_language_shares_shuffles(panel):
     plan = panel.select(c.ts_mean("close", 2), c.ts_std("close", 3), c.ts_rank("close", 4), c.cs_rank("close"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_nan_counts_as_null_in_a_cross_section(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("d", i, v, r) for i, v, r in (("a", float("nan"), float("nan")), ("b", 10.0, 10.0), ("c", 20.0, 30.0), ("d", 30.0, 20.0))]
+    p = spark.createDataFrame(rows, "datetime string, instrument string, pe double, x double")
+    out = p.select("instrument", c.cs_zscore("pe").alias("z"), c.cs_mean("pe").alias("mean"), c.cs_std("pe").alias("std"), c.cs_median("pe").alias("median"), c.cs_rank("x").alias("rank"), c.cs_max("pe").alias("top"), c.divide("pe", F.lit(1e-320)).alias("far"))
+    got = {r.instrument: r for r in out.collect()}
+    assert [got[i].z for i in "abcd"] == [None, -1.0, 0.0, 1.0]
+    assert {r.mean for r in got.values()} == {20.0} and {r["std"] for r in got.values()} == {10.0} and {r["median"] for r in got.values()} == {20.0} and {r.top for r in got.values()} == {30.0}
+    assert [got[i]["rank"] for i in "abcd"] == [None, 1 / 3, 1.0, 2 / 3]
+    assert all(r.far is None for r in got.values())
+    wild = spark.createDataFrame([("d", "a", float("inf")), ("d", "b", 1.0), ("d", "c", 3.0)], "datetime string, instrument string, v double")
+    assert {r.m for r in wild.select(c.cs_mean("v").alias("m")).collect()} == {2.0}

@@ -2,7 +2,6 @@ import datetime
 
 from tidewell import streaming
 from tidewell.operators import panel as pn
-from tidewell.operators import portfolio as pf
 from tidewell.sources import parse_date, predicate
 
 D = datetime.date
@@ -32,18 +31,6 @@ def test_event_window_counts_visible_events(spark):
     assert got == {1: (1, 2.0, 0), 2: (2, 5.0, 1), 9: (0, 0.0, None)}
 
 
-def test_topk_dropout_picks():
-    scores = {i: float(n) for n, i in enumerate("abcde")}
-    assert pf.pick(scores, [], 3, 1) == ([], ["e", "d", "c"])
-    assert pf.pick({"a": 4, "b": 0, "c": 1, "d": 2, "e": 3}, ["c", "d", "e"], 3, 1) == (["c"], ["a"])
-
-
-def test_portfolio_keeps_value_without_costs(spark):
-    rows = [("p", D(2020, 1, d), i, float(n), 10.0, 10.0) for d in (1, 2, 3) for n, i in enumerate("abc")]
-    out = pf.topk_dropout(spark.createDataFrame(rows, "portfolio string, datetime date, instrument string, score double, open double, close double"), topk=2, n_drop=1).orderBy("date").collect()
-    assert [r.n_held for r in out] == [0, 2, 2] and all(abs(r.equity - 1e6) < 1e-6 for r in out)
-
-
 def test_dates_and_predicates(spark):
     x = spark.createDataFrame([("20200105",), ("2020-01-05",), ("202001",), ("junk",)], "s string")
     assert [r.d for r in x.select(parse_date(x.s).alias("d")).collect()] == [D(2020, 1, 5), D(2020, 1, 5), D(2020, 1, 1), None]
@@ -53,10 +40,10 @@ def test_dates_and_predicates(spark):
 
 def test_streamed_panel_equals_batch(spark, tmp_path):
     t = datetime.datetime
-    rows = [(1, t(2020, 1, 1, 9), 3.0), (1, t(2020, 1, 1, 11), 5.0), (2, t(2020, 1, 2, 9), 1.0), (1, t(2020, 1, 9), 1.0)]
-    spark.createDataFrame(rows, "user_id long, ts timestamp, value double").write.parquet(str(tmp_path / "in"))
-    stream = streaming.daily_panel(streaming.arriving(spark, str(tmp_path / "in"), "user_id long, ts timestamp, value double"))
+    rows = [(7, 1, t(2020, 1, 1, 9), 3.0), (9, 1, t(2020, 1, 1, 11), 5.0), (8, 1, t(2020, 1, 1, 11), 4.0), (1, 2, t(2020, 1, 2, 9), 1.0), (2, 1, t(2020, 1, 9), 1.0)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, value double").write.parquet(str(tmp_path / "in"))
+    stream = streaming.daily_panel(streaming.arriving(spark, str(tmp_path / "in"), "event_id long, user_id long, ts timestamp, value double"))
     q = stream.writeStream.format("memory").queryName("panel_out").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = {(r.instrument, r.datetime.day): (r.open, r.close, r.volume) for r in spark.table("panel_out").collect()}
-    assert got == {("1", 1): (3.0, 5.0, 2.0), ("2", 2): (1.0, 1.0, 1.0), ("1", 9): (1.0, 1.0, 1.0)}
+    assert got == {("1", 1): (3.0, 5.0, 3.0), ("2", 2): (1.0, 1.0, 1.0), ("1", 9): (1.0, 1.0, 1.0)}

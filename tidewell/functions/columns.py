@@ -3,8 +3,9 @@
 Element-wise functions, cross-sectional ones (over the rows of a date) and
 rolling ones (over the last n observed rows of an instrument, the current one
 included).  All return Spark columns, so any number of them share one shuffle
-by instrument and one by date.  A NaN or infinity never leaves a function: it
-becomes null.  Rolling functions want n non-null values in the window unless
+by instrument and one by date.  A NaN or infinity counts as null: cross-
+sectional functions take it as such, and where an element-wise function makes
+one, null is what leaves it.  Rolling functions want n non-null values in the window unless
 they are said to be loose.
 """
 
@@ -55,11 +56,11 @@ def subtract(a: Value, b: Value) -> Column:
 
 
 def multiply(a: Value, b: Value) -> Column:
-    return col(a) * col(b)
+    return finite(col(a) * col(b))
 
 
 def divide(a: Value, b: Value) -> Column:
-    return F.try_divide(col(a), col(b))
+    return finite(F.try_divide(col(a), col(b)))
 
 
 def neg(a: Value) -> Column:
@@ -163,27 +164,27 @@ def fill_null(a: Value, value: float) -> Column:
 
 def average_rank(x: Value, by: tuple[str, ...] = ("datetime",)) -> Column:
     """Rank among the non-null values of the group, equal values sharing their mean rank."""
-    x = col(x)
+    x = finite(x)
     w = Window.partitionBy(*by).orderBy(x.asc_nulls_last())
     ties = F.count(x).over(w.rangeBetween(Window.currentRow, Window.currentRow))
     return F.when(x.isNotNull(), F.rank().over(w) + (ties - 1) / 2)
 
 
 def cs_rank(x: Value) -> Column:
-    return average_rank(x) / F.count(col(x)).over(by_date())
+    return average_rank(x) / F.count(finite(x)).over(by_date())
 
 
 def cs_mean(x: Value) -> Column:
-    return F.avg(col(x)).over(by_date())
+    return F.avg(finite(x)).over(by_date())
 
 
 def cs_std(x: Value) -> Column:
-    return F.stddev_samp(col(x)).over(by_date())
+    return F.stddev_samp(finite(x)).over(by_date())
 
 
 def cs_skew(x: Value) -> Column:
-    n = F.count(col(x)).over(by_date())
-    return F.coalesce(F.skewness(col(x)).over(by_date()) * F.pow((n - 1) / n, F.lit(1.5)), F.lit(0.0))
+    n = F.count(finite(x)).over(by_date())
+    return F.coalesce(F.skewness(finite(x)).over(by_date()) * F.pow((n - 1) / n, F.lit(1.5)), F.lit(0.0))
 
 
 def _unbiased_kurtosis(population: Column, n: Column) -> Column:
@@ -191,23 +192,23 @@ def _unbiased_kurtosis(population: Column, n: Column) -> Column:
 
 
 def cs_kurt(x: Value) -> Column:
-    return _unbiased_kurtosis(F.kurtosis(col(x)).over(by_date()), F.count(col(x)).over(by_date()))
+    return _unbiased_kurtosis(F.kurtosis(finite(x)).over(by_date()), F.count(finite(x)).over(by_date()))
 
 
 def cs_median(x: Value) -> Column:
-    return F.median(col(x)).over(by_date())
+    return F.median(finite(x)).over(by_date())
 
 
 def cs_max(x: Value) -> Column:
-    return F.max(col(x)).over(by_date())
+    return F.max(finite(x)).over(by_date())
 
 
 def cs_min(x: Value) -> Column:
-    return F.min(col(x)).over(by_date())
+    return F.min(finite(x)).over(by_date())
 
 
 def _standard(x: Value, mean: Column, deviation: Column) -> Column:
-    x = col(x)
+    x = finite(x)
     return F.when(x.isNull(), None).when(F.coalesce(deviation, F.lit(0.0)) == 0, 0.0).otherwise(F.try_divide(x - mean, deviation))
 
 
@@ -216,7 +217,7 @@ def cs_zscore(x: Value) -> Column:
 
 
 def cs_scale(x: Value, total: float = 1.0) -> Column:
-    return F.try_divide(col(x) * total, F.sum(F.abs(col(x))).over(by_date()))
+    return F.try_divide(finite(x) * total, F.sum(F.abs(finite(x))).over(by_date()))
 
 
 def cs_fill_null(x: Value) -> Column:
@@ -323,7 +324,7 @@ def ts_zscore(x: Value, n: int) -> Column:
 
 
 def ts_pctchange(x: Value, k: int = 1) -> Column:
-    return F.try_divide(col(x), delay(x, k)) - 1
+    return finite(F.try_divide(col(x), delay(x, k)) - 1)
 
 
 def ts_argmax(x: Value, n: int) -> Column:

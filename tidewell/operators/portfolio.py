@@ -1,67 +1,233 @@
-"""Top-k portfolios with a bounded number of drops a day: one group per portfolio, in pandas."""
+"""Portfolios: top-k with dropout, weights from factor health, diagnostics.
+
+A portfolio's days follow from one another, so each portfolio is one group in
+pandas and portfolios run in parallel.  Before that, Spark leaves only the
+instruments that a portfolio could ever buy.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.columns import finite
+from .signal import risk
 
-REPORT = "portfolio string, date date, return double, cost double, turnover double, cash double, equity double, n_held int"
+OUT = "portfolio string, kind string, date date, instrument string, return double, cost double, turnover double, cash double, equity double, weight double, amount double, value double, reason string"
+NAMES = [c.split()[0] for c in OUT.split(", ")]
 
 
-def pick(scores: dict[str, float], held: list[str], topk: int, n_drop: int) -> tuple[list[str], list[str]]:
-    """Instruments to sell and to buy; scores descend, ties go to the smaller name."""
+def pick(scores: dict[str, float], held: Sequence[str], topk: int, n_drop: int) -> list[str]:
+    """The next holdings, in the order held and then bought; scores descend, ties go to the smaller name."""
 
     def best(names) -> list[str]:
         return sorted(names, key=lambda i: (-scores[i], i))
 
-    ranked = best(i for i in held if i in scores)
-    outside = best(i for i in scores if i not in held)[: n_drop + topk - len(ranked)]
-    union = best([*ranked, *outside])
-    low = set(union[-n_drop:]) if n_drop else set()
-    sell = [i for i in ranked if i in low]
-    return sell, outside[: max(0, len(sell) + topk - len(ranked))]
+    last = best(i for i in held if i in scores)
+    today = best(i for i in scores if i not in set(last))[: max(0, n_drop + topk - len(last))]
+    union = best({*last, *today})
+    sell = set(last[-n_drop:]) & set(union[-n_drop:]) if n_drop > 0 else set()
+    stay = [i for i in held if i not in sell]
+    buy = today[: max(0, len(sell) + topk - len(last))]
+    return [*stay, *(i for i in buy if i not in stay)][:topk]
+
+
+def trade_cost(value: float, rate: float, least: float) -> float:
+    return max(value * rate, least) if value > 0 and rate > 0 else 0.0
 
 
-def topk_dropout(frame: DataFrame, topk: int = 5, n_drop: int = 1, capital: float = 1e6, fee: float = 0.0, least_fee: float = 0.0, risk: float = 0.95) -> DataFrame:
-    """Daily reports from rows (portfolio, datetime, instrument, score, open, close).
+def _usable(price: float | None) -> bool:
+    return price is not None and math.isfinite(price) and price > 0
 
-    Trades of a day follow the scores of the day before it in the frame and are
-    made at the open; holdings are valued at the close, or at their last one.
-    A holding without an open stays and stops that day's purchases; a purchase
-    without an open is left out.  A portfolio is a sequence by nature and one
-    group; portfolios run in parallel.
+
+def simulate(days: Sequence[tuple], topk: int, n_drop: int, capital: float, open_cost: float, close_cost: float, min_cost: float, risk_degree: float) -> list[dict]:
+    """Rows of kinds report, position and missing from days (date, scores, allowed, opens, closes) in order.
+
+    allowed is a set of instruments, or None for all.  A day trades at its opens
+    on the scores of the last day before it that has any.  A sale without an
+    open is left and stops the day's purchases; a purchase without one is left
+    out, and its share of the cash stays.  Fees come on top of a purchase, which
+    shrinks to what the cash allows.  Holdings count at the close, or at their
+    last one; one that never had a close is an error.
     """
+    cash, before, signal = capital, capital, None
+    held: list[str] = []
+    amounts: dict[str, float] = {}
+    closes_seen: dict[str, float] = {}
+    out: list[dict] = []
+    for date, scores, allowed, opens, closes in days:
+        mine = [i for i in held if allowed is None or i in allowed]
+        coming = mine if signal is None else pick({i: s for i, s in signal.items() if allowed is None or i in allowed}, mine, topk, n_drop)
+        cost = traded = 0.0
+        kept: set[str] = set()
+
+        def missing(instrument: str, reason: str) -> None:
+            out.append({"kind": "missing", "date": date, "instrument": instrument, "reason": reason})
+
+        for i in sorted(set(held) - set(coming)):
+            if amounts.get(i, 0.0) <= 0:
+                amounts.pop(i, None)
+            elif not _usable(opens.get(i)):
+                missing(i, "skip_sell_keep_position")
+                kept.add(i)
+            else:
+                value = amounts.pop(i) * opens[i]
+                paid = trade_cost(value, close_cost, min_cost)
+                cash, cost, traded = cash + value - paid, cost + paid, traded + value
+        buy = [] if kept else [i for i in coming if i not in set(held)]
+        each = cash * risk_degree / len(buy) if buy else 0.0
+        for i in buy:
+            if not _usable(opens.get(i)):
+                missing(i, "skip_buy")
+                continue
+            value = each
+            if value <= 0:
+                continue
+            paid = trade_cost(value, open_cost, min_cost)
+            if value + paid > cash:
+                value = max(cash / (1 + open_cost), 0.0)
+                paid = trade_cost(value, open_cost, min_cost)
+            amounts[i] = amounts.get(i, 0.0) + value / opens[i]
+            cash, cost, traded = cash - value - paid, cost + paid, traded + value
+        held = [*(i for i in coming if i in amounts), *(i for i in held if i in kept and i in amounts and i not in coming)]
+        values = {}
+        for i, n in amounts.items():
+            if _usable(closes.get(i)):
+                closes_seen[i] = closes[i]
+            elif i in closes_seen:
+                missing(i, "carry_forward_last_close")
+            else:
+                raise ValueError(f"{i} has no close on or before {date}")
+            values[i] = n * closes_seen[i]
+        equity = cash + sum(values.values())
+        out.append({"kind": "report", "date": date, "return": (equity + cost) / before - 1 if before else 0.0, "cost": cost / before if before else 0.0, "turnover": traded / before if before > 0 else 0.0, "cash": cash, "equity": equity})
+        out += [{"kind": "position", "date": date, "instrument": i, "weight": values.get(i, 0.0) / equity if equity else 0.0, "amount": amounts.get(i, 0.0), "value": values.get(i, 0.0)} for i in held]
+        before, signal = equity, scores or signal
+    return out
+
+
+def topk_dropout(
+    frame: DataFrame,
+    topk: int = 50,
+    n_drop: int = 5,
+    capital: float = 1e8,
+    open_cost: float = 0.0,
+    close_cost: float = 0.0,
+    min_cost: float = 0.0,
+    risk_degree: float = 0.95,
+) -> DataFrame:
+    """Rows of kinds report, position and missing of each portfolio, from rows (portfolio, datetime, instrument, score, open, close).
+
+    A boolean column `allowed` restricts scores and holdings of a day where the
+    frame has it.  Without it, only instruments that ever were among the best
+    2 * topk + n_drop of a day reach the simulation: no others can be bought.
+    """
+    if "allowed" not in frame.columns:
+        rank = F.row_number().over(Window.partitionBy("portfolio", "datetime").orderBy(F.desc("score"), "instrument"))
+        able = frame.where(finite("score").isNotNull()).withColumn("_r", rank).where(F.col("_r") <= 2 * topk + n_drop).select("portfolio", "instrument").distinct()
+        frame = frame.join(able, ["portfolio", "instrument"], "left_semi").withColumn("allowed", F.lit(None).cast("boolean"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["datetime", "instrument"])
-        cash, shares, last, before, equity, out = capital, {}, {}, None, capital, []
-        for date, day in rows.groupby("datetime"):
-            opens = {i: v for i, v in zip(day.instrument, day.open, strict=True) if pd.notna(v) and v > 0}
-            closes = {i: v for i, v in zip(day.instrument, day.close, strict=True) if pd.notna(v)}
-            cost = traded = 0.0
-            if before:
-                sell, buy = pick(before, [*shares], topk, n_drop)
-                blocked = False
-                for i in sell:
-                    if i not in opens:
-                        blocked = True
-                        continue
-                    value = shares.pop(i) * opens[i]
-                    paid = max(value * fee, least_fee)
-                    cash += value - paid
-                    cost, traded = cost + paid, traded + value
-                buy = [] if blocked else [i for i in buy if i in opens][: max(0, topk - len(shares))]
-                each = cash * risk / len(buy) if buy else 0.0
-                for i in buy:
-                    paid = max(each * fee, least_fee)
-                    shares[i] = (each - paid) / opens[i]
-                    cash -= each
-                    cost, traded = cost + paid, traded + each
-            last |= closes
-            now = cash + sum(n * last.get(i, 0.0) for i, n in shares.items())
-            out.append((rows.portfolio.iloc[0], date, (now + cost) / equity - 1, cost / equity, traded / equity, cash, now, len(shares)))
-            equity = now
-            before = {i: float(s) for i, s in zip(day.instrument, day.score, strict=True) if pd.notna(s)} or before
-        return pd.DataFrame(out, columns=[c.split()[0] for c in REPORT.split(", ")])
-
-    return frame.select("portfolio", "datetime", "instrument", "score", "open", "close").groupBy("portfolio").applyInPandas(run, REPORT)
+        days = []
+        for date, day in rows.sort_values(["datetime", "instrument"]).groupby("datetime"):
+            names = day.instrument.tolist()
+            scores = {i: float(s) for i, s in zip(names, day.score, strict=True) if pd.notna(s) and math.isfinite(s)}
+            allowed = None if day.allowed.isna().all() else {i for i, a in zip(names, day.allowed, strict=True) if a}
+            days.append((date, scores, allowed, dict(zip(names, day.open.tolist(), strict=True)), dict(zip(names, day.close.tolist(), strict=True))))
+        made = simulate(days, topk, n_drop, capital, open_cost, close_cost, min_cost, risk_degree)
+        return pd.DataFrame(made, columns=NAMES).assign(portfolio=rows.portfolio.iloc[0])
+
+    return frame.select("portfolio", "datetime", "instrument", "score", "open", "close", "allowed").groupBy("portfolio").applyInPandas(run, OUT)
+
+
+def reports(simulated: DataFrame, benchmark: DataFrame | None = None) -> DataFrame:
+    """portfolio, date, return, bench, cost, turnover, cash, equity, excess_return; benchmark has (date, bench), 0 without one."""
+    rows = simulated.where("kind = 'report'").select("portfolio", "date", "return", "cost", "turnover", "cash", "equity")
+    rows = rows.join(benchmark, "date", "left") if benchmark is not None else rows.withColumn("bench", F.lit(0.0))
+    rows = rows.withColumn("bench", F.coalesce("bench", F.lit(0.0)))
+    return rows.withColumn("excess_return", F.col("return") - F.col("bench") - F.col("cost"))
+
+
+def positions(simulated: DataFrame) -> DataFrame:
+    return simulated.where("kind = 'position'").select("portfolio", "date", "instrument", "weight", "amount", "value")
+
+
+def missing_prices(simulated: DataFrame, examples: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Counts by portfolio and reason, and the first examples of each portfolio."""
+    rows = simulated.where("kind = 'missing'").select("portfolio", "date", "instrument", "reason")
+    first = F.row_number().over(Window.partitionBy("portfolio").orderBy("date", "instrument", "reason"))
+    return rows.groupBy("portfolio", "reason").agg(F.count("*").alias("n")), rows.withColumn("_r", first).where(F.col("_r") <= examples).drop("_r")
+
+
+def portfolio_risk(report: DataFrame) -> DataFrame:
+    """Risk figures of each portfolio's excess returns."""
+    return risk(report.select("portfolio", "date", F.col("excess_return").alias("excess")), ["portfolio"])
+
+
+def benchmark_returns(market: DataFrame, benchmark: str | None = None) -> DataFrame:
+    """date, bench: the day's mean return, or that of a named instrument, which must be there every day."""
+    if benchmark is None or benchmark.lower() == "mean":
+        return market.groupBy(F.col("datetime").alias("date")).agg(F.coalesce(F.avg("ret"), F.lit(0.0)).alias("bench"))
+    own = market.where(F.col("instrument").isin(benchmark, benchmark.lower())).select(F.col("datetime").alias("date"), F.col("ret").alias("bench"))
+    days = market.select(F.col("datetime").alias("date")).distinct()
+    if gone := days.join(own, "date", "left_anti").orderBy("date").limit(3).collect():
+        raise KeyError(f"benchmark {benchmark} is missing on {[str(r.date) for r in gone]}")
+    return own
+
+
+# --- weights --------------------------------------------------------------------
+
+
+def regime_scale(high_vol: Column, crisis: Column, least: float = 0.25) -> Column:
+    """Exposure left by the larger of two probabilities, `least` at least."""
+    return F.greatest(F.lit(least), 1 - F.least(F.lit(1.0), F.greatest(high_vol, crisis, F.lit(0.0))))
+
+
+def factor_weights(factors: DataFrame, by: Sequence[str] = (), scale: Column | float = 1.0) -> DataFrame:
+    """factors with weight: softmax of health_score / 10 times dynamic_weight and the scale, capped by tier_cap (null: 1), made to sum to 1; all 0 if the sum is."""
+    w = Window.partitionBy(*by)
+    x = F.exp(F.col("health_score") / 10 - F.max(F.col("health_score") / 10).over(w))
+    out = factors.withColumn("_p", x).withColumn("_p", F.col("_p") / F.sum("_p").over(w))
+    out = out.withColumn("_c", F.least(F.col("_p") * F.coalesce("dynamic_weight", F.lit(0.0)) * scale, F.coalesce("tier_cap", F.lit(1.0))))
+    total = F.sum("_c").over(w)
+    return out.withColumn("weight", F.when(total == 0, 0.0).otherwise(F.col("_c") / total)).drop("_p", "_c")
+
+
+def stock_weights(values: DataFrame, weights: DataFrame, most: float = 0.05) -> DataFrame:
+    """datetime, instrument, weight: weighted sums of factor values (datetime, instrument, factor, value), centred by date, the largest at `most`, and without drift."""
+    scores = values.join(weights.select("factor", "weight"), "factor").groupBy("datetime", "instrument").agg(F.sum(F.coalesce("value", F.lit(0.0)) * F.col("weight")).alias("_s"))
+    w = Window.partitionBy("datetime")
+    centred = scores.withColumn("_s", F.col("_s") - F.avg("_s").over(w))
+    scaled = centred.withColumn("_w", F.coalesce(F.try_divide(F.col("_s") * most, F.max(F.abs("_s")).over(w)), F.lit(0.0)))
+    return scaled.select("datetime", "instrument", (F.col("_w") - F.avg("_w").over(w)).alias("weight"))
+
+
+# The tiers of a model's input.
+TIERS = ["A", "B", "C", "D"]
+
+
+def model_inputs(factors: DataFrame, regimes: DataFrame, quota: int) -> DataFrame:
+    """Factors that a model may use, `quota` of each cluster by health, with tiers as columns, health from 0 to 1, and each date's regime columns."""
+    rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("health_score"), "factor"))
+    able = factors.where("model_eligible").withColumn("_r", rank).where(F.col("_r") <= quota)
+    shown = able.select("factor", "cluster_id", *((F.col("tier") == t).cast("double").alias(f"tier_{t.lower()}") for t in TIERS), (F.col("health_score") / 100).alias("health"))
+    return shown.crossJoin(regimes)  # the table is this product: every factor on every date
+
+
+def period_runs(periods: Sequence[dict]) -> list[dict]:
+    """One run for each (train, valid, test) period; nameless, incomplete or reversed ones are refused."""
+    out = []
+    for p in periods:
+        if not str(p.get("name") or "").strip():
+            raise ValueError("a period has no name")
+        for part in ("train", "valid", "test"):
+            bounds = p.get(part)
+            if not isinstance(bounds, (list, tuple)) or len(bounds) != 2 or str(bounds[0]) > str(bounds[1]):
+                raise ValueError(f"period {p['name']} has no proper {part}")
+        out.append({"name": str(p["name"]).strip(), **{part: tuple(map(str, p[part])) for part in ("train", "valid", "test")}})
+    return out

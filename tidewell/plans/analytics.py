@@ -397,13 +397,64 @@ def factors_alpha_windows(spark, sf_dir):
     return _out(fs.with_factors(events_panel(spark, sf_dir), f), pn.KEYS, list(f))
 
 
-@query()
-def topk_dropout(spark, sf_dir):
-    """One portfolio for each signal, in parallel."""
+def _portfolios(spark, sf_dir):
+    """A portfolio for each signal and size, in parallel."""
     p = events_panel(spark, sf_dir)
     long = long_signals(spark, sf_dir).select("datetime", "instrument", F.col("factor").alias("portfolio"), F.col("value").alias("score"))
-    out = pf.topk_dropout(long.join(p.select(*pn.KEYS, "open", "close"), pn.KEYS), topk=10, n_drop=2, fee=0.001)
-    return _out(out, ["portfolio", "date", "n_held"], ["return", "cost", "turnover", "cash", "equity"])
+    return pf.topk_dropout(long.join(p.select(*pn.KEYS, "open", "close"), pn.KEYS), topk=10, n_drop=2, capital=1e6, open_cost=0.0005, close_cost=0.0015, min_cost=5.0)
+
+
+@query()
+def topk_dropout(spark, sf_dir):
+    p = events_panel(spark, sf_dir).select(*pn.KEYS, c.ts_pctchange("close").alias("ret"))
+    return _out(pf.reports(_portfolios(spark, sf_dir), pf.benchmark_returns(p)), ["portfolio", "date"], ["return", "bench", "cost", "turnover", "cash", "equity", "excess_return"])
+
+
+@query()
+def topk_positions(spark, sf_dir):
+    return _out(pf.positions(_portfolios(spark, sf_dir)), ["portfolio", "date", "instrument"], ["weight", "amount", "value"])
+
+
+@query()
+def portfolio_risk(spark, sf_dir):
+    p = events_panel(spark, sf_dir).select(*pn.KEYS, c.ts_pctchange("close").alias("ret"))
+    return _out(pf.portfolio_risk(pf.reports(_portfolios(spark, sf_dir), pf.benchmark_returns(p))), ["portfolio"], ["annualized_return", "information_ratio", "max_drawdown", "calmar_ratio"])
+
+
+@query()
+def missing_prices(spark, sf_dir):
+    return pf.missing_prices(_portfolios(spark, sf_dir))[1]
+
+
+@query(f"WITH {PANEL_SQL}, r AS (SELECT datetime, close / nullif(lag(close) {TIME}, 0) - 1 AS r FROM p) SELECT datetime AS date, {rounded_sql('coalesce(avg(r), 0)')} AS bench FROM r GROUP BY 1")
+def benchmark_returns(spark, sf_dir):
+    p = events_panel(spark, sf_dir).select(*pn.KEYS, c.ts_pctchange("close").alias("ret"))
+    return _out(pf.benchmark_returns(p), ["date"], ["bench"])
+
+
+_WEIGHT_SQL = """f AS (SELECT p_brand, p_partkey AS factor, p_retailprice / 20 AS health_score, p_size / 50.0e0 AS dw, CASE p_partkey % 3 WHEN 0 THEN 0.5e0 WHEN 1 THEN 0.01e0 END AS cap FROM part), s AS (SELECT *, exp(health_score / 10 - max(health_score / 10) OVER b) AS e FROM f WINDOW b AS (PARTITION BY p_brand)),
+k AS (SELECT *, least(e / sum(e) OVER b * dw * greatest(0.25, 1 - least(1, greatest(p_partkey_r, 0.3e0))), coalesce(cap, 1)) AS v FROM (SELECT *, 0.4e0 AS p_partkey_r FROM s) WINDOW b AS (PARTITION BY p_brand)), fw AS (SELECT factor, CASE WHEN sum(v) OVER b = 0 THEN 0 ELSE v / sum(v) OVER b END AS weight FROM k WINDOW b AS (PARTITION BY p_brand))"""
+
+
+@query(f"WITH {_WEIGHT_SQL} SELECT factor, {rounded_sql('weight')} AS weight FROM fw")
+def factor_weights(spark, sf_dir):
+    f = table(spark, sf_dir, "part").selectExpr("p_brand", "p_partkey AS factor", "p_retailprice / 20 AS health_score", "p_size / 50.0e0 AS dynamic_weight", "CASE p_partkey % 3 WHEN 0 THEN 0.5e0 WHEN 1 THEN 0.01e0 END AS tier_cap")
+    return _out(pf.factor_weights(f, ["p_brand"], pf.regime_scale(F.lit(0.4), F.lit(0.3))), ["factor"], ["weight"])
+
+
+@query(f"""WITH {SIGNAL_SQL}, sc AS (SELECT datetime, instrument, 0.5 * coalesce(body, 0) + 0.3 * coalesce(mom, 0) + 0.2 * coalesce(vol, 0) AS x FROM s), ce AS (SELECT *, x - avg(x) OVER d AS y FROM sc WINDOW d AS (PARTITION BY datetime)), w AS (SELECT *, coalesce(y * 0.05 / nullif(max(abs(y)) OVER d, 0), 0) AS v FROM ce WINDOW d AS (PARTITION BY datetime))
+SELECT datetime, instrument, {rounded_sql('v - avg(v) OVER (PARTITION BY datetime)')} AS weight FROM w""")
+def stock_weights(spark, sf_dir):
+    weights = spark.sql("SELECT * FROM VALUES ('body', 0.5D), ('mom', 0.3D), ('vol', 0.2D) AS t(factor, weight)")
+    return _out(pf.stock_weights(long_signals(spark, sf_dir), weights), pn.KEYS, ["weight"])
+
+
+@query(f"""WITH f AS (SELECT p_partkey AS factor, p_brand AS cluster_id, p_retailprice / 25 AS h, p_size % 4 AS t FROM part WHERE p_size > 10), q AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY h DESC, factor) <= 2), d AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS date FROM orders)
+SELECT factor, cluster_id, {', '.join(f"CASE WHEN t = {i} THEN 1.0e0 ELSE 0.0e0 END AS tier_{x}" for i, x in enumerate('abcd'))}, {rounded_sql('h / 100')} AS health, date FROM q CROSS JOIN d""")
+def model_inputs(spark, sf_dir):
+    f = table(spark, sf_dir, "part").selectExpr("p_partkey AS factor", "p_brand AS cluster_id", "p_retailprice / 25 AS health_score", "element_at(array('A', 'B', 'C', 'D'), p_size % 4 + 1) AS tier", "p_size > 10 AS model_eligible")
+    months = table(spark, sf_dir, "orders").select(F.to_date(F.date_trunc("month", "o_orderdate")).alias("date")).distinct()
+    return _out(pf.model_inputs(f, months, 2), ["factor", "cluster_id", "tier_a", "tier_b", "tier_c", "tier_d", "date"], ["health"])
 
 
 @query(f"WITH {PANEL_SQL}, n AS (SELECT datetime, instrument, CAST(close AS DOUBLE) AS v FROM p) SELECT instrument, {rounded_sql('avg(v)')} AS mean, {rounded_sql('stddev_pop(v)')} AS sd, {rounded_sql('min(v)')} AS worst, {rounded_sql('avg(CASE WHEN v > 50 THEN 1.0 ELSE 0.0 END)')} AS win_rate, count(*) >= 25 AND min(v) > 0 AS passed FROM n GROUP BY 1")
