@@ -482,3 +482,76 @@ def namespaced(metrics: DataFrame, rules: dict[str, str]) -> DataFrame:
     """Rows (metric, value) with their namespace: that of the first prefix that fits, else other."""
     space = F.coalesce(*(F.when(F.col("metric").startswith(p), F.lit(n)) for p, n in rules.items()), F.lit("other"))
     return metrics.withColumn("namespace", space)
+
+
+def signal_report(frame: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """by..., mean coefficients and their ratios, aligned rows, active days, mean cross-section, and the share of rows with both values."""
+    from .signal import ic_summary
+
+    out = ic_summary(daily_ic(frame, score, label, (*by, "datetime")), by)
+    both = F.avg((F.col(score).isNotNull() & F.col(label).isNotNull()).cast("double")).alias("valid_ratio")
+    whole = frame.groupBy(*by).agg(both)
+    return out.join(whole, list(by)) if by else out.crossJoin(whole)  # a row each
+
+
+def distinct_metrics(report: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """metric, n: how many different values each metric takes over the factors of a report."""
+    return report.unpivot([], list(metrics), "metric", "_v").groupBy("metric").agg(F.count_distinct("_v").alias("n"))
+
+
+def tradability(frame: DataFrame, score: str, label: str, cost: float = 0.001, groups: int = 5) -> DataFrame:
+    """One row: turnover of the top group, spread of the extreme groups, monotonicity, and return and ratio after cost.
+
+    Groups are by rank of the score within a date, ties by instrument; a date
+    needs as many rows as groups for means, two for spreads.  Monotonicity: the
+    share of neighbouring groups whose mean rises.  What depends on order in
+    time works on a row a date.
+    """
+    rows = frame.where(finite(score).isNotNull() & finite(label).isNotNull()).select("datetime", "instrument", F.col(score).alias("_s"), F.col(label).alias("_l"))
+    w = Window.partitionBy("datetime")
+    ranked = rows.withColumns({"_n": F.count("*").over(w), "_up": F.row_number().over(w.orderBy("_s", "instrument")) - 1, "_down": F.row_number().over(w.orderBy(F.desc("_s"), "instrument"))})
+    of = F.least(F.lit(groups), F.col("_n"))
+    ranked = ranked.withColumns({"_g": F.least(of - 1, F.floor(F.col("_up") * of / F.col("_n"))), "_top": (F.col("_n") >= 2) & (F.col("_down") <= F.greatest(F.lit(1), F.ceil(F.col("_n") / groups)))})
+    means = ranked.groupBy("datetime", "_n", "_g").agg(F.avg("_l").alias("_m"))
+    spreads = means.where("_n >= 2").groupBy("datetime").agg((F.max_by("_m", "_g") - F.min_by("_m", "_g")).alias("_d"), F.max("_n").alias("_n"))
+    profile = means.where(F.col("_n") >= groups).groupBy("_g").agg(F.avg("_m").alias("_m"))
+    rises = profile.withColumn("_r", F.col("_m") - F.lag("_m").over(Window.orderBy("_g"))).agg(_or_zero(F.avg((F.col("_r") > 0).cast("double"))).alias("group_monotonicity_score"))  # a row a group
+    sets = ranked.groupBy("datetime").agg(F.collect_set(F.when(F.col("_top"), F.col("instrument"))).alias("_set"))
+    before = sets.withColumn("_b", F.lag("_set").over(Window.orderBy("datetime"))).where("_b is not null")  # a row a date
+    change = 1 - _or_zero(F.try_divide(F.size(F.array_intersect("_set", "_b")).cast("double"), F.size(F.array_union("_set", "_b"))))
+    turned = before.agg(_or_zero(F.avg(F.when(F.size(F.array_union("_set", "_b")) == 0, 0.0).otherwise(change))).alias("turnover"))
+    sums = spreads.agg(_or_zero(F.avg("_d")).alias("_gross"), F.stddev_samp("_d").alias("_sd"), _or_zero(F.avg(F.when(F.col("_n") >= groups, F.col("_d")))).alias("long_short_spread"))
+    out = turned.crossJoin(sums).crossJoin(rises)  # a row each
+    net = F.col("_gross") - cost * F.col("turnover")
+    return out.select("turnover", net.alias("cost_adjusted_return"), F.when(F.col("_sd") > 1e-12, net / F.col("_sd")).otherwise(0.0).alias("cost_adjusted_ir"), "group_monotonicity_score", "long_short_spread")
+
+
+def status_report(pool: DataFrame, gates: DataFrame) -> DataFrame:
+    """section, name, n, value of a pool (status, tier, health_score) and its gate log (gate_result, reason): counts by status and tier, failures by reason, mean health."""
+    none = F.lit(None).cast("double")
+    parts = [pool.groupBy(c).agg(F.count("*").alias("n")).select(F.lit(c).alias("section"), F.col(c).alias("name"), "n", none.alias("value")) for c in ("status", "tier")]
+    parts.append(gates.where("gate_result <> 'pass'").groupBy("reason").agg(F.count("*").alias("n")).select(F.lit("gate_failure").alias("section"), F.col("reason").alias("name"), "n", none.alias("value")))
+    parts.append(pool.agg(F.count("health_score").alias("n"), F.avg("health_score").alias("value")).select(F.lit("health").alias("section"), F.lit("mean").alias("name"), "n", "value"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def parity(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str], rtol: float = 1e-6, atol: float = 1e-8) -> DataFrame:
+    """column, only_left, only_right, rows, max_abs_diff, mean_abs_diff, passed: two frames by their keys, value column by value column.
+
+    Equal nulls pass; a key of one side only fails every column.
+    """
+    a = left.select(*keys, *(F.col(c).cast("double").alias(f"_a_{c}") for c in columns), F.lit(True).alias("_in_a"))
+    b = right.select(*keys, *(F.col(c).cast("double").alias(f"_b_{c}") for c in columns), F.lit(True).alias("_in_b"))
+    both = a.join(b, list(keys), "full_outer")
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"_a_{c}").alias("a"), F.col(f"_b_{c}").alias("b")) for c in columns)))
+    rows = both.select("_in_a", "_in_b", pairs.alias("_p")).select("_in_a", "_in_b", "_p.*")
+    shared = F.col("_in_a").isNotNull() & F.col("_in_b").isNotNull()
+    gap = F.abs(F.col("a") - F.col("b"))
+    close = (F.col("a").isNull() & F.col("b").isNull()) | F.coalesce(gap <= atol + rtol * F.abs("b"), F.lit(False))
+    return rows.groupBy("column").agg(
+        F.count_if(F.col("_in_b").isNull()).alias("only_left"), F.count_if(F.col("_in_a").isNull()).alias("only_right"), F.count_if(shared).alias("rows"),
+        _or_zero(F.max(F.when(shared, gap))).alias("max_abs_diff"), _or_zero(F.avg(F.when(shared, gap))).alias("mean_abs_diff"), F.bool_and(shared & close).alias("passed"),
+    )

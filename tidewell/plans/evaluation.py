@@ -337,3 +337,59 @@ def daily_ic_export(spark, sf_dir):
 def metric_namespaces(spark, sf_dir):
     m = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("metric")).agg(F.avg("o_totalprice").alias("value"))
     return _out(ev.namespaced(m, {"1-": "signal", "2-": "risk"}), ["metric", "namespace"], ["value"], 2)
+
+
+_RATIO = "CASE WHEN stddev_samp({0}) > 1e-12 THEN avg({0}) / stddev_samp({0}) ELSE 0 END"
+
+
+@query(f"""WITH {IC_SQL}, a AS (SELECT factor, avg(ic) AS ic, {_RATIO.format('ic')} AS icir, avg(rank_ic) AS rank_ic, {_RATIO.format('rank_ic')} AS rank_icir FROM ic GROUP BY 1), v AS (SELECT factor, avg(CASE WHEN value IS NOT NULL AND label IS NOT NULL THEN 1.0 ELSE 0.0 END) AS valid_ratio FROM l GROUP BY 1)
+SELECT factor, {_rounded('ic', 'icir', 'rank_ic', 'rank_icir', 'valid_ratio')} FROM a JOIN v USING (factor)""")
+def signal_report(spark, sf_dir):
+    return _out(ev.signal_report(long_signals(spark, sf_dir), "value", "label", ["factor"]), ["factor"], ["ic", "icir", "rank_ic", "rank_icir", "valid_ratio"])
+
+
+@query(f"""WITH {IC_SQL}, a AS (SELECT factor, avg(ic) AS ic, avg(rank_ic) AS rank_ic, count(*) AS active_days FROM ic GROUP BY 1) SELECT 'ic' AS metric, count(DISTINCT ic) AS n FROM a UNION ALL SELECT 'rank_ic', count(DISTINCT rank_ic) FROM a""")
+def distinct_metrics(spark, sf_dir):
+    return ev.distinct_metrics(ev.signal_report(long_signals(spark, sf_dir), "value", "label", ["factor"]), ["ic", "rank_ic"])
+
+
+@query(f"""WITH {SIGNAL_SQL}, t AS (SELECT datetime, instrument, mom AS s, label AS l, count(*) OVER (PARTITION BY datetime) AS n, row_number() OVER (PARTITION BY datetime ORDER BY mom, instrument) - 1 AS up, row_number() OVER (PARTITION BY datetime ORDER BY mom DESC, instrument) AS dn FROM s WHERE mom IS NOT NULL AND label IS NOT NULL),
+g AS (SELECT *, CAST(least(least(5, n) - 1, floor(CAST(up * least(5, n) AS DOUBLE) / n)) AS INTEGER) AS g, n >= 2 AND dn <= greatest(1, ceil(n / 5.0)) AS top FROM t), m AS (SELECT datetime, n, g, avg(l) AS m FROM g GROUP BY 1, 2, 3),
+sp AS (SELECT datetime, arg_max(m, g) - arg_min(m, g) AS d, max(n) AS n FROM m WHERE n >= 2 GROUP BY 1), pf AS (SELECT g, avg(m) AS m FROM m WHERE n >= 5 GROUP BY 1), ri AS (SELECT coalesce(avg(CASE WHEN r > 0 THEN 1.0 WHEN r <= 0 THEN 0.0 END), 0) AS group_monotonicity_score FROM (SELECT m - lag(m) OVER (ORDER BY g) AS r FROM pf)),
+st AS (SELECT datetime, coalesce(list(instrument) FILTER (WHERE top), []) AS a FROM g GROUP BY 1), sb AS (SELECT a, lag(a) OVER (ORDER BY datetime) AS b FROM st), tu AS (SELECT coalesce(avg(CASE WHEN len(a) + len(b) = 0 THEN 0 ELSE 1 - CAST(len(list_intersect(a, b)) AS DOUBLE) / (len(a) + len(b) - len(list_intersect(a, b))) END), 0) AS turnover FROM sb WHERE b IS NOT NULL),
+su AS (SELECT coalesce(avg(d), 0) AS gross, stddev_samp(d) AS sd, coalesce(avg(CASE WHEN n >= 5 THEN d END), 0) AS long_short_spread FROM sp)
+SELECT {_rounded('turnover')}, {rounded_sql('gross - 0.001 * turnover')} AS cost_adjusted_return, {rounded_sql('CASE WHEN sd > 1e-12 THEN (gross - 0.001 * turnover) / sd ELSE 0 END')} AS cost_adjusted_ir, {_rounded('group_monotonicity_score', 'long_short_spread')} FROM tu, su, ri""")
+def tradability_metrics(spark, sf_dir):
+    return _out(ev.tradability(signals(spark, sf_dir), "mom", "label"), [], ["turnover", "cost_adjusted_return", "cost_adjusted_ir", "group_monotonicity_score", "long_short_spread"])
+
+
+@query(f"""WITH q AS (SELECT CASE WHEN p_size < 20 THEN 'active' ELSE 'candidate' END AS status, p_type AS tier, p_retailprice / 20 AS h, CASE WHEN p_size % 3 = 0 THEN 'pass' ELSE 'reject' END AS gate_result, p_brand AS reason FROM part)
+SELECT 'status' AS section, status AS name, count(*) AS n, {rounded_sql('NULL')} AS value FROM q GROUP BY 2 UNION ALL SELECT 'tier', tier, count(*), NULL FROM q GROUP BY 2 UNION ALL SELECT 'gate_failure', reason, count(*), NULL FROM q WHERE gate_result <> 'pass' GROUP BY 2 UNION ALL SELECT 'health', 'mean', count(h), {rounded_sql('avg(h)')} FROM q""")
+def pool_report(spark, sf_dir):
+    q = table(spark, sf_dir, "part").selectExpr("CASE WHEN p_size < 20 THEN 'active' ELSE 'candidate' END AS status", "p_type AS tier", "p_retailprice / 20 AS health_score", "CASE WHEN p_size % 3 = 0 THEN 'pass' ELSE 'reject' END AS gate_result", "p_brand AS reason")
+    return _out(ev.status_report(q, q), ["section", "name", "n"], ["value"])
+
+
+@query(f"""WITH {PANEL_SQL}, a AS (SELECT datetime, instrument, close, vwap FROM p WHERE day(datetime) <> 3), b AS (SELECT datetime, instrument, close AS c2, CASE WHEN volume > 3 THEN vwap ELSE open END AS v2 FROM p WHERE day(datetime) <> 5),
+j AS (SELECT a.datetime IS NOT NULL AS ia, b.datetime IS NOT NULL AS ib, close, vwap, c2, v2 FROM a FULL OUTER JOIN b ON a.datetime = b.datetime AND a.instrument = b.instrument), l AS (SELECT ia, ib, 'close' AS "column", close AS x, c2 AS y FROM j UNION ALL SELECT ia, ib, 'vwap', vwap, v2 FROM j)
+SELECT "column", count(CASE WHEN NOT ib THEN 1 END) AS only_left, count(CASE WHEN NOT ia THEN 1 END) AS only_right, count(CASE WHEN ia AND ib THEN 1 END) AS "rows", {rounded_sql('max(CASE WHEN ia AND ib THEN abs(x - y) END)')} AS max_abs_diff, {rounded_sql('avg(CASE WHEN ia AND ib THEN abs(x - y) END)')} AS mean_abs_diff, bool_and(ia AND ib AND coalesce(abs(x - y) <= 1e-8 + 1e-6 * abs(y), false)) AS passed FROM l GROUP BY 1""")
+def frame_parity(spark, sf_dir):
+    p = events_panel(spark, sf_dir)
+    b = p.where("day(datetime) <> 5").select(*pn.KEYS, "close", F.when(F.col("volume") > 3, F.col("vwap")).otherwise(F.col("open")).alias("vwap"))
+    return _out(ev.parity(p.where("day(datetime) <> 3"), b, pn.KEYS, ["close", "vwap"]), ["column", "only_left", "only_right", "rows", "passed"], ["max_abs_diff", "mean_abs_diff"])
+
+
+@query(f"""WITH {PANEL_SQL} SELECT datetime, instrument, {rounded_sql('(close - open) / nullif(open, 0)')} AS day_return, {rounded_sql(f'CASE WHEN count(volume) OVER w >= 5 THEN volume / nullif(avg(volume) OVER w, 0) END')} AS volume_ratio, {rounded_sql(f'(high - low) / nullif(lag(close) {TIME}, 0)')} AS amplitude, {rounded_sql(f'close / nullif(lag(close) {TIME}, 0) - 1')} AS momentum FROM p WINDOW w AS (PARTITION BY instrument ORDER BY datetime ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""")
+def factors_baseline(spark, sf_dir):
+    from . import factors as fs
+
+    return _out(fs.with_factors(events_panel(spark, sf_dir), fs.baseline(5)), pn.KEYS, ["day_return", "volume_ratio", "amplitude", "momentum"])
+
+
+@query("""WITH o AS (SELECT o_custkey AS k, o_orderpriority AS alias, o_totalprice AS v, o_orderdate AS disclosed, o_orderkey AS rev FROM orders WHERE o_orderdate <= TIMESTAMP '1996-06-30'), l AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY k, alias ORDER BY disclosed DESC, rev DESC) = 1)
+SELECT k, max(CASE WHEN alias = '1-URGENT' THEN v END) AS urgent, max(CASE WHEN alias = '2-HIGH' THEN v END) AS high FROM l GROUP BY 1""")
+def point_in_time_panel(spark, sf_dir):
+    """The latest disclosed value of each alias as of a date, an alias a column."""
+    o = table(spark, sf_dir, "orders").selectExpr("o_custkey AS k", "o_orderpriority AS alias", "o_totalprice AS v", "o_orderdate AS disclosed", "o_orderkey AS rev")
+    latest = pn.point_in_time(o, "1996-06-30", ["k", "alias"], "disclosed", "rev")
+    return pn.wide(latest, "k", "alias", "v", ["1-URGENT", "2-HIGH"]).withColumnsRenamed({"1-URGENT": "urgent", "2-HIGH": "high"})

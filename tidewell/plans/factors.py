@@ -23,6 +23,17 @@ def _ret(k: int) -> Column:
     return c.ts_pctchange("close", k)
 
 
+def baseline(n: int = 20) -> dict[str, Column]:
+    """The four baseline factors: the day's return, volume against its mean of n rows, amplitude, momentum."""
+    close, before = F.col("close"), c.delay("close", 1)
+    return {
+        "day_return": _ratio(close - F.col("open"), F.col("open")),
+        "volume_ratio": _ratio(F.col("volume"), c.ts_mean("volume", n)),
+        "amplitude": _ratio(F.col("high") - F.col("low"), before),
+        "momentum": _ret(1),
+    }
+
+
 def basic_20() -> dict[str, Column]:
     """The set of twenty price and volume ratios."""
     close, open_, high, low, volume = map(F.col, ("close", "open", "high", "low", "volume"))

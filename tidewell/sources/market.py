@@ -300,7 +300,7 @@ def binary_market(spark: SparkSession, root: str, start: str | None = None, end:
     which the rest begin.  Rows without a finite close are left out; other
     fields default to the close, and volume and ret to 0.
     """
-    days = spark.read.text(f"{root}/calendars/day.txt", wholetext=True).select(F.posexplode(F.filter(F.transform(F.split("value", "\n"), F.trim), lambda d: d != "")).alias("i", "day"))
+    days = spark.read.text(f"{root}/calendars/day.txt", wholetext=True).select(F.posexplode(F.filter(F.transform(F.split("value", "\n"), lambda d: F.trim(d)), lambda d: d != "")).alias("i", "day"))
     days = days.select(F.col("i").cast("long").alias("i"), F.to_date("day").alias("datetime"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.day.bin").option("recursiveFileLookup", True).load(f"{root}/features")
     part = F.split("path", "/")
