@@ -93,3 +93,66 @@ def test_long_texts_and_rare_labels_do_not_end_the_sample(spark):
     only_long = spark.createDataFrame([(1, "long " * 4000), (2, "long " * 4000)], "doc_id long, text string")
     marks = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
     assert sorted(toxicity.labelled_sample(only_long, marks, "toxic", None, 8, 10_000)[1]) == [0, 1]
+
+
+def test_toxicity_scores_match_a_plain_noisy_or(spark):
+    import math
+    import re
+
+    import numpy as np
+
+    from tidewell.llm import textbytes as tb
+
+    rows, labels = corpus(9, 120)
+    rows += [(500, "Grokking! " * 3, "s"), (501, "x " * 200_000, "s"), (502, "?", "s"), (503, None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sentences string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    weight = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+
+    def features(word):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        w = tb.words(tb.Slice(0, 1, raw, np.array([0, len(raw)])), tb.ALNUM_WORDS)
+        return [int(w.hashes(p)[0]) + k & (1 << 64) - 1 for k, p in enumerate(toxicity.PREFIXES) if not p or len(raw) >= p]
+
+    def plain(text):
+        clean = 1.0
+        for sentence in re.split(r"[.!?\n]", (text or "").lower()):
+            own = {f for word in re.findall(r"[a-z0-9]+", sentence) for f in features(word)} & weight.keys()
+            if own:
+                clean *= 1 - 1 / (1 + math.exp(-(model.bias + sum(weight[f] for f in own))))
+        return 1 - clean
+
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for i, text, _ in rows:
+        assert math.isclose(got[i], plain(text), rel_tol=1e-6, abs_tol=1e-9), i
+
+
+def test_quality_votes_match_brute_force(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from tidewell.llm import textbytes as tb
+
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(("ab", "CD!!", "e1", "foo", "Bar")) for _ in range(rng.randint(0, 40))) for _ in range(150)] + ["x " * 100_000]
+    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, score int")
+    model = quality.fit(docs, spark.createDataFrame([(i, i % 3 == 0) for i in range(100)], "doc_id long, quality boolean").selectExpr("doc_id", "int(quality) AS quality"))
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    for i, t in enumerate(texts):
+        (s,) = tb.slices(pa.array([t.encode()], pa.binary()), lower=False)
+        mine = model.latent(quality.term_matrix(s))[0]
+        near = sorted(((float(mine @ v), float(y)) for v, y in zip(model.vectors, model.labels, strict=True)), reverse=True)
+        edge = near[model.neighbours - 1][0]
+        votes = [(max(c, 0) ** 4, y) for c, y in near if c > edge - 1e-12]  # all of one edge cosine may vote
+        total = sum(v for v, _ in votes[: model.neighbours])
+        if len(votes) == model.neighbours and total > 1e-9:
+            assert np.isclose(got[i], sum(v * y for v, y in votes) / total, atol=1e-6)
+        assert 0 <= got[i] <= 1
+    assert quality.score(docs.where("doc_id < 0"), model).count() == 0
+
+
+def test_sample_ignores_labels_without_documents_and_repeats(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)] + [(3, f"again {k}") for k in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1000)], "doc_id long, toxic int")
+    sample, y = toxicity.labelled_sample(docs, labels, "toxic", None, 20, 1 << 20)
+    assert len(sample) == 20 and y.sum() == 10

@@ -61,3 +61,22 @@ def test_run(spark, tmp_path):
     write_tables(spark, str(tmp_path))
     out = cp.run(spark, str(tmp_path))
     assert 150 < out.count() < 302 and {"doc_id", "start", "n_tokens", "ids_crc32"} <= set(out.columns)
+
+
+def test_stages_take_odd_tables(spark, tmp_path):
+    sf_dir = str(tmp_path / "tables")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    long = " ".join(f"w{i % 997}" for i in range(120_000))
+    odd = [(5, "some plain words stand here now", None, None, None), (5, "quite other words stand there then", "en", "a", 1), (5, "quite other words stand there then", "en", "a", 1), (None, long, "en", "a", 1), (7, None, None, "b", None), (7, "", "en", "b", 0)]
+    labels = spark.createDataFrame([(5, 0), (7, None)], "doc_id long, toxic int")
+    items = spark.createDataFrame([(1, None), (2, "")], "item_id long, text string")
+    for k, rows in enumerate(([], odd)):
+        folder = f"{sf_dir}{k}"
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        items.write.parquet(f"{folder}/benchmark.parquet")
+        out = cp.run(spark, folder).collect()
+        # of the two equal rows of id 5 one goes, everything else stays
+        assert sorted((r.doc_id for r in out), key=str) == sorted(([] if not rows else [5, 5, None, 7, 7]), key=str)
+        if rows:
+            assert max(r.n_tokens for r in out) > 120_000

@@ -119,7 +119,9 @@ def score(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id", text: st
     """One row per input row: doc_id and score (0 to 1, higher: label 1 likelier).
 
     A null text is scored as an empty one, which gets the vote of its
-    neighbours like any other.  Repeated rows score alike.
+    neighbours like any other.  Repeated rows score alike.  Of voters with one
+    cosine at the edge of the nearest, any may vote, the same ones for the same
+    text.  An empty table has no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
