@@ -129,7 +129,7 @@ def nearest(
     codebooks: int = 16,
     codewords: int = 64,
     beam: int = 4,
-    rerank: int = 200,
+    rerank: int = 300,
     sample: int = 8000,
     block_rows: int = 8192,
     query_rows: int = 1024,

@@ -39,6 +39,7 @@ BITMAP_BITS = (10, 18)  # as powers of two; two bits a shingle between these
 FILTER_BITS = 24
 HOT_PARTS = 64
 RANK_BITS = 10  # ranges of keys by which members of a group of one size are ranked
+TYPICAL = 400  # shingles of a member that takes one of a tile's places; a larger one takes as many more
 
 
 def _cells(x: np.ndarray) -> np.ndarray:
@@ -183,10 +184,13 @@ def _tile_pairs(groups: DataFrame, tile: int, percent: int) -> DataFrame:
     of_cell = ["lead", "n", "range"]
     members = groups.withColumn("range", F.shiftright("key", 64 - RANK_BITS))  # ascends with the key
     sizes = members.groupBy(*of_cell).agg(F.count("*").alias("m"))
+    # a member's share of a tile, so that tiles of long documents take no more memory than others
+    share = F.greatest(F.col("n"), F.lit(TYPICAL))
+    sizes = sizes.withColumn("m", F.col("m") * share)
     before = F.sum("m").over(Window.partitionBy("lead").orderBy("n", "range")) - F.col("m")
     ranked = members.withColumn("rank", F.row_number().over(Window.partitionBy(*of_cell).orderBy("key")) - 1)
     tiled = ranked.join(sizes.select(*of_cell, before.alias("before")), of_cell)
-    tiled = stored(tiled.select("lead", "n", "key", F.floor((F.col("before") + F.col("rank")) / tile).cast("long").alias("i")), "tiles")
+    tiled = stored(tiled.select("lead", "n", "key", F.floor((F.col("before") + F.col("rank") * share) / (tile * TYPICAL)).cast("long").alias("i")), "tiles")
     bands = tiled.groupBy("lead", "i").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("m"))
     other = bands.select("lead", F.col("i").alias("j"), F.col("low").alias("low_j"), F.col("m").alias("m_j"))
     pairs = bands.join(other, "lead").where((F.col("i") <= F.col("j")) & (100 * F.col("high") >= percent * F.col("low_j")) & ((F.col("i") != F.col("j")) | (F.col("m") > 1)))
@@ -294,7 +298,7 @@ def _linked(docs: DataFrame, percent: int, width: int, tile: int, hot_rows: int,
     return rows.drop("bitmap"), components(links).select(F.col("node").alias("key"), "root")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, tile: int = 256, hot_rows: int = 1 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, tile: int = 1024, hot_rows: int = 1 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their
@@ -346,7 +350,7 @@ def _shingles_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return found.groupBy("key").agg(F.first("shingles").alias("shingles"))
 
 
-def distinct_documents(docs: DataFrame, percent: int = 80, width: int = 5, tile: int = 256, hot_rows: int = 1 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def distinct_documents(docs: DataFrame, percent: int = 80, width: int = 5, tile: int = 1024, hot_rows: int = 1 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, all columns, with one row left of each group of near duplicates.
 
     Groups are those of the texts, whatever ids repeat: of each, the row with

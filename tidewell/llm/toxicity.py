@@ -15,6 +15,7 @@ pass over the documents without a shuffle.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -138,19 +139,26 @@ def train(corpus: list[bytes], y: np.ndarray, steps: int = 300, rate: float = 0.
     empty = ToxicityModel(np.empty(0, np.uint64), np.empty(0), -8.0)
     if not 0 < y.sum() < len(y):
         return empty
-    in_doc: dict[bool, list[np.ndarray]] = {True: [], False: []}
     column = pa.array(corpus, pa.binary())
-    for s in tb.slices(column):
-        w, _, _ = _sentences(s)
-        every = np.array(_features(w))
-        for r, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)):
-            in_doc[bool(y[s.lo + r])].append(np.unique(every[:, a:b]))
-    count = {k: np.unique(np.concatenate(v), return_counts=True) for k, v in in_doc.items()}
-    features, positive = count[True]
-    slot = np.minimum(np.searchsorted(count[False][0], features), len(count[False][0]) - 1)
-    negative = np.where(count[False][0][slot] == features, count[False][1][slot], 0) if len(count[False][0]) else np.zeros(len(features))
+
+    def of_documents(label: int) -> Iterator[np.ndarray]:
+        for s in tb.slices(column):
+            w, _, _ = _sentences(s)
+            every = np.array(_features(w))
+            for r, (a, b) in enumerate(itertools.pairwise(w.first.tolist())):
+                if y[s.lo + r] == label:
+                    yield np.unique(every[:, a:b])
+
+    features, positive = np.unique(np.concatenate([np.empty(0, np.uint64), *of_documents(1)]), return_counts=True)
+    features, positive = features[positive >= least], positive[positive >= least]
+    if not len(features):
+        return empty
+    negative = np.zeros(len(features))  # only features that positive documents have are counted
+    for own in of_documents(0):
+        slot = np.minimum(np.searchsorted(features, own), len(features) - 1)
+        negative[slot[features[slot] == own]] += 1
     expected = (positive + negative) * y.mean()
-    keep = (positive >= least) & (positive - expected >= least_sigma * np.sqrt(expected)) & (features != 0)
+    keep = (positive - expected >= least_sigma * np.sqrt(expected)) & (features != 0)
     model = ToxicityModel(features[keep], np.zeros(int(keep.sum())), -4.0)
     if not keep.any():
         return empty
