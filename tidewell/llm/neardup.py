@@ -368,7 +368,8 @@ def distinct_documents(docs: DataFrame, percent: int = 80, width: int = 5, tile:
     changed = stored(marked.where("not stays or times > 1").select(F.col("doc_id").alias(id_), F.col("hash").alias(hash_), F.col("stays").alias(stays)), "changed")
     at, own = F.col(f"`{doc_id}`").cast("long"), F.xxhash64(F.col(f"`{text}`").cast("string").cast("binary"))
     same = at.eqNullSafe(F.col(id_)) & (own == F.col(hash_))
-    out = docs.join(changed, same, "left_anti")
+    # these rows grow with the documents, so they are never broadcast, at no size
+    out = docs.join(changed.hint("merge"), same, "left_anti")
     again = changed.where(stays)
     if again.isEmpty():
         return out
