@@ -83,11 +83,29 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(quality.score(docs, model), held_out)
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_duplicates
+
+    return simhash_duplicates(table(spark, sf_dir, "documents"))
+
+
 def _classified(scores: DataFrame, held_out: Column, *more: str) -> DataFrame:
     return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), *more)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_token_output": op1_token_output, "op2_toxicity": op2_toxicity, "op4_cross_entropy_difference": op4_cross_entropy_difference, "op5_license_scan": op5_license_scan, "op6_personal_data": op6_personal_data, "op7_quality": op7_quality, "op8_mixing": op8_mixing, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op9_nearest_neighbours": op9_nearest_neighbours, "op10_decontamination": op10_decontamination}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_output": op1_token_output,
+    "op2_toxicity": op2_toxicity,
+    "op4_cross_entropy_difference": op4_cross_entropy_difference,
+    "op5_license_scan": op5_license_scan,
+    "op6_personal_data": op6_personal_data,
+    "op7_quality": op7_quality,
+    "op8_mixing": op8_mixing,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
+    "op10_decontamination": op10_decontamination,
+    "op11_simhash": op11_simhash,
+}
 
 ORACLE_SQL: dict[str, str] = {}
 ORACLE_SQL["op10_decontamination"] = r"""
