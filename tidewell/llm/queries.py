@@ -97,6 +97,12 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .codes import compressed
+
+    return compressed(table(spark, sf_dir, "embeddings"))
+
+
 def _classified(scores: DataFrame, held_out: Column, *more: str) -> DataFrame:
     return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), *more)
 
@@ -114,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
     "op11_simhash": op11_simhash,
     "op12_alignment": op12_alignment,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {}
@@ -140,3 +147,31 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, l
 SELECT d.doc_id AS doc_id, coalesce(n, 0) AS n_shingles, c.component_id AS component_id
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = d.doc_id
 """
+
+
+def _vector_codes_sql(rounds: int = 6) -> str:
+    """Each round is an assignment (n) and the codebook after it (c); distance * 16 + entry orders by distance, then entry."""
+    out = """
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, label, embedding AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT r, (i - 1) // (len(v) // 8) AS part, (i - 1) % (len(v) // 8) AS pos, CAST(floor(4096 * CAST(v[i] AS DOUBLE)) AS BIGINT) AS x
+                   FROM (SELECT r, v, unnest(range(1, len(v) + 1)) AS i FROM e)),
+first AS (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM e QUALIFY row_number() OVER (ORDER BY vec_id) <= 16),
+c0 AS MATERIALIZED (SELECT part, entry, pos, x AS c FROM x JOIN first USING (r))"""
+    for k in range(rounds + 1):
+        out += f""",
+n{k} AS MATERIALIZED (SELECT r, part, min(d * 16 + entry) % 16 AS entry, min(d * 16 + entry) // 16 AS d
+    FROM (SELECT r, part, entry, CAST(sum((x - c) * (x - c)) AS BIGINT) AS d FROM x JOIN c{k} USING (part, pos) GROUP BY r, part, entry) GROUP BY r, part)"""
+        if k < rounds:
+            out += f""",
+s{k} AS (SELECT part, entry, pos, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM x JOIN n{k} USING (r, part) GROUP BY part, entry, pos),
+c{k + 1} AS MATERIALIZED (SELECT part, entry, pos, coalesce((s - ((s % n) + n) % n) // n, c) AS c FROM c{k} LEFT JOIN s{k} USING (part, entry, pos))"""
+    return out + f""",
+coded AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM n{rounds} GROUP BY r),
+books AS (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM e JOIN coded USING (r) CROSS JOIN books
+"""
+
+
+ORACLE_SQL["op13_vector_codes"] = _vector_codes_sql()
