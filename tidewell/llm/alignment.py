@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from .shared import stored, texts
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
-CHUNK_BYTES = 16 << 20  # text of a chunk, about
+CHUNK_BYTES = 8 << 20  # text of a chunk, about
+LEARNT_AT_ONCE = 1 << 18  # characters of short texts whose new segments are aligned together
 PIECE = 1 << 20  # characters of a text that are cut into segments at once
 EXPANDED_AT_ONCE = 1 << 20
 SPACE = "▁"
@@ -111,6 +112,7 @@ class Pair:
             self.a_bytes[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.a_size, self.b_size = (np.array([len(x) for x in of], np.int64) for of in (self.a_bytes, self.b_bytes))
         if any(SPACE in p.lstrip(SPACE) for p in pieces):
             raise ValueError("a piece has a space after another character; texts cannot be cut before spaces")
 
@@ -149,8 +151,7 @@ def align(pair: Pair, segments: Sequence[str]) -> Alignment:
             good[i], ids_a[i], ids_b[i] = False, [], []
     a, b = (np.array([x for ids in of for x in ids], np.int64) for of in (ids_a, ids_b))
     of_a, of_b = (np.repeat(np.arange(len(segments)), [len(x) for x in ids]) for ids in (ids_a, ids_b))
-    size_a, size_b = (np.array([len(x) for x in of], np.int64) for of in (pair.a_bytes, pair.b_bytes))
-    bytes_a, bytes_b = Csr.of_runs(size_a[a]), Csr.of_runs(size_b[b])
+    bytes_a, bytes_b = Csr.of_runs(pair.a_size[a]), Csr.of_runs(pair.b_size[b])
     ends = np.intersect1d(bytes_a.first[1:], bytes_b.first[1:])
     group_a, group_b = (Csr.of_labels(np.searchsorted(ends, x.first[1:]), len(ends)) for x in (bytes_a, bytes_b))
     return Alignment(a, b, of_a, of_b, good, bytes_a @ bytes_b.transposed(), group_a, group_b)
@@ -204,6 +205,11 @@ class _Chunk:
         self.good += x.good.tolist()
         self.listed += _listed(x, n)
 
+    def add_all(self, docs: list[tuple[int | None, str]]) -> None:
+        self._learn([p for _, text in docs if len(text) <= PIECE for p in CUT.split(text) if text])
+        for doc_id, text in docs:
+            self.add(doc_id, text)
+
     def add(self, doc_id: int | None, text: str) -> None:
         sha, found, at, good = hashlib.sha256(), [], 0, bool(text)
         while good and at < len(text):
@@ -269,13 +275,18 @@ def _strings(column: pa.Array) -> Iterator[str]:
 def _chunks(docs: DataFrame, byte_bpe: str, piece_bpe: str, chunk_bytes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, number = _pair(byte_bpe, piece_bpe), TaskContext.get().partitionId() << 32
-        chunk = _Chunk(pair)
+        chunk, some, size = _Chunk(pair), [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), _strings(batch.column(1)), strict=True):
-                chunk.add(doc_id, text)
+                some.append((doc_id, text))
+                size += len(text) + 256
+                if size >= min(LEARNT_AT_ONCE, chunk_bytes):
+                    chunk.add_all(some)
+                    some, size = [], 0
                 if chunk.size >= chunk_bytes:
                     yield from chunk.rows(number)
                     chunk, number = _Chunk(pair), number + 1
+        chunk.add_all(some)
         if chunk.docs:
             yield from chunk.rows(number)
 
