@@ -1,4 +1,4 @@
-"""The daily loop against the golden sequence and a plain second implementation."""
+"""Holdings by windows against a plain walk over the days, and the other portfolio functions."""
 
 import datetime
 import random
@@ -8,114 +8,83 @@ import pytest
 from tidewell.operators import portfolio as pf
 
 D = datetime.date
+SCHEMA = "portfolio string, datetime date, instrument string, score double, open double, close double, allowed boolean"
 
 
-def test_golden_selection_sequence():
-    names, held = ["000001.SZ", "000002.SZ", "000008.SZ", "000009.SZ", "000012.SZ"], []
-    expected = [["000009.SZ", "000008.SZ", "000002.SZ"], ["000008.SZ", "000002.SZ", "000001.SZ"], ["000002.SZ", "000001.SZ", "000012.SZ"]]
-    for offset, want in zip((1, 2, 3), expected, strict=True):
-        held = pf.pick({n: float((i + offset) % 5) for i, n in enumerate(names)}, held, 3, 1)
-        assert held == want
-
-
-def market(seed, days=25, names="abcdefghij"):
+def market(seed, days=30, names="abcdefghij"):
     rng = random.Random(seed)
     rows = []
     for k in range(days):
         for n in names:
-            if rng.random() < 0.93 or k < 2:
-                opened = None if rng.random() < 0.08 and k > 1 else 10 + rng.random() * 5
-                closed = None if opened is None and rng.random() < 0.5 else 10 + rng.random() * 5
-                rows.append(("p", D(2020, 1, 1) + datetime.timedelta(k), n, None if rng.random() < 0.1 else rng.random(), opened, closed))
+            if rng.random() < 0.9:
+                price = [rng.choice([None, 0.0, float("nan")]) if rng.random() < 0.15 else 10 + rng.random() * 5 for _ in range(2)]
+                score = rng.choice([None, float("nan"), float("inf")]) if rng.random() < 0.1 else round(rng.random(), 1)
+                rows.append((f"p{seed}", D(2020, 1, 1) + datetime.timedelta(k), n, score, *price, rng.choice([True, True, True, False, None])))
     return rows
 
 
-def by_hand(rows, topk, n_drop, capital, open_cost, close_cost, min_cost):
-    """Holdings as shares by name, day after day, written apart from the library."""
-    dates = sorted({r[1] for r in rows})
-    cell = {(r[1], r[2]): r for r in rows}
-    ever = {n for d in dates for n in [x[2] for x in sorted((r for r in rows if r[1] == d and r[3] is not None), key=lambda r: (-r[3], r[2]))[: 2 * topk + n_drop]]}
-    cash, last_equity, shares, order, seen, out = capital, capital, {}, [], {}, []
-    signal = None
-    for d in dates:
-        nxt = list(order)
-        if signal is not None:
-            scored = sorted((n for n in order if n in signal), key=lambda n: (-signal[n], n))
-            outside = sorted((n for n in signal if n not in scored), key=lambda n: (-signal[n], n))[: max(0, n_drop + topk - len(scored))]
-            ranked = sorted(scored + outside, key=lambda n: (-signal[n], n))
-            gone = [n for n in scored[-n_drop:] if n in ranked[-n_drop:]]
-            nxt = ([n for n in order if n not in gone] + outside[: max(0, len(gone) + topk - len(scored))])[:topk]
-        fee = traded = 0
-        stuck = []
-        for n in [n for n in order if n not in nxt]:
-            price = cell[d, n][4] if (d, n) in cell else None
-            if price is None:
-                stuck.append(n)
-            else:
-                value = shares.pop(n) * price
-                f = max(value * close_cost, min_cost)
-                cash, fee, traded = cash + value - f, fee + f, traded + value
-        new = [] if stuck else [n for n in nxt if n not in order]
-        budget = cash * 0.95 / len(new) if new else 0
-        for n in new:
-            price = cell[d, n][4] if (d, n) in cell else None
-            if price is not None:
-                value, f = budget, max(budget * open_cost, min_cost)
-                if value + f > cash:
-                    value = cash / (1 + open_cost)
-                    f = max(value * open_cost, min_cost)
-                shares[n] = value / price
-                cash, fee, traded = cash - value - f, fee + f, traded + value
-        order = [n for n in nxt if n in shares] + [n for n in order if n in stuck and n not in nxt]
-        for n in shares:
-            if (d, n) in cell and cell[d, n][5] is not None:
-                seen[n] = cell[d, n][5]
-        equity = cash + sum(q * seen[n] for n, q in shares.items())
-        out.append((d, (equity + fee) / last_equity - 1, fee / last_equity, traded / last_equity, cash, equity))
-        last_equity = equity
-        today = {r[2]: r[3] for r in rows if r[1] == d and r[3] is not None and r[2] in ever}
-        signal = today or signal
-    return out
-
-
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_loop_matches_a_second_implementation(spark, seed):
-    rows = market(seed)
-    frame = spark.createDataFrame(rows, "portfolio string, datetime date, instrument string, score double, open double, close double")
-    options = dict(topk=3, n_drop=1, capital=1000.0, open_cost=0.001, close_cost=0.002, min_cost=0.5)
-    got = pf.reports(pf.topk_dropout(frame, **options)).orderBy("date").collect()
-    want = by_hand(rows, 3, 1, 1000.0, 0.001, 0.002, 0.5)
-    assert len(got) == len(want)
-    for r, w in zip(got, want, strict=True):
-        assert r.date == w[0] and [r["return"], r.cost, r.turnover, r.cash, r.equity] == pytest.approx(list(w[1:]), rel=1e-9, abs=1e-9)
-        assert r.excess_return == pytest.approx(r["return"] - r.cost)
-
-
-def test_mask_positions_and_diagnostics(spark):
-    rows = [(*r, r[2] in "abcde") for r in market(7)]
-    frame = spark.createDataFrame(rows, "portfolio string, datetime date, instrument string, score double, open double, close double, allowed boolean")
-    out = pf.topk_dropout(frame, topk=3, n_drop=1, capital=1000.0).cache()
-    held = pf.positions(out).collect()
-    assert held and {r.instrument for r in held} <= set("abcde")
-    weights = {}
-    for r in held:
-        weights[r.date] = weights.get(r.date, 0) + r.weight
-    assert all(0 < w <= 1.0000001 for w in weights.values())
-    counts, examples = pf.missing_prices(out, 2)
-    assert examples.count() <= 2 and {r.reason for r in counts.collect()} <= {"skip_buy", "skip_sell_keep_position", "carry_forward_last_close"}
-
-
-def test_a_holding_without_any_close_is_an_error():
-    with pytest.raises(ValueError):
-        pf.simulate([(1, {"a": 1.0}, None, {}, {}), (2, {}, None, {"a": 1.0}, {})], 1, 0, 100.0, 0, 0, 0, 0.95)
-
-
-def test_periods_and_benchmark(spark):
-    assert pf.period_runs([{"name": "x", "train": ["1", "2"], "valid": ["3", "4"], "test": ["5", "6"]}])[0]["test"] == ("5", "6")
-    for bad in ({"name": "", "train": ["1", "2"]}, {"name": "x", "train": ["2", "1"], "valid": ["3", "4"], "test": ["5", "6"]}):
+def usable(x):
+    return x is not None and x == x and 0 < x < float("inf")
+
+
+def by_hand(rows, topk, n_drop, masked):
+    """{(date, instrument): (held, weight, return)} and the reasons, day after day."""
+    wish, held, closes, out, reasons = {}, {}, {}, {}, []
+    for day in sorted({r[1] for r in rows}):
+        today = [r for r in rows if r[1] == day]
+        returns = {}
+        for _, _, i, _, opened, closed, _ in today:
+            was, want = held.get(i, False), wish.get(i, False)
+            if usable(opened):
+                held[i] = want
+            elif was != want:
+                reasons.append((day, i, "skip_buy" if want else "skip_sell_keep_position"))
+            if held.get(i, False) and not usable(closed):
+                reasons.append((day, i, "carry_forward_last_close"))
+            new = closed if usable(closed) else closes.get(i)
+            returns[i] = new / closes[i] - 1 if closes.get(i) and new else 0.0
+            closes[i] = new
+        n = sum(held.get(r[2], False) for r in today)
+        for r in today:
+            h = held.get(r[2], False)
+            out[day, r[2]] = (h, 0.95 / n if h else 0.0, returns[r[2]])
+        able = [r for r in today if r[3] is not None and r[3] == r[3] and abs(r[3]) < float("inf") and (r[6] or not masked)]
+        rank = {r[2]: k + 1 for k, r in enumerate(sorted(able, key=lambda r: (-r[3], r[2])))}
+        for r in today:
+            k = rank.get(r[2])
+            wish[r[2]] = False if k is None or k > topk + n_drop else True if k <= topk else wish.get(r[2], False)
+    return out, sorted(reasons)
+
+
+@pytest.mark.parametrize("masked", [False, True])
+def test_holdings_against_a_walk_over_days(spark, masked):
+    rows = market(1) + market(2)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    held = pf.holdings(frame if masked else frame.drop("allowed"), topk=3, n_drop=2).cache()
+    counts, examples = pf.missing_prices(held, 10_000)
+    for p in ("p1", "p2"):
+        want, reasons = by_hand([r for r in rows if r[0] == p], 3, 2, masked)
+        got = {(r.datetime, r.instrument): (r.held, r.weight, r.day_return) for r in held.where(f"portfolio = '{p}'").collect()}
+        assert got.keys() == want.keys()
+        for key, (h, weight, change) in want.items():
+            assert got[key] == (h, pytest.approx(weight), pytest.approx(change))
+        assert sorted((r.date, r.instrument, r.reason) for r in examples.where(f"portfolio = '{p}'").collect()) == reasons
+        assert {r.reason: r.n for r in counts.where(f"portfolio = '{p}'").collect()} == {k: sum(x[2] == k for x in reasons) for k in {x[2] for x in reasons}}
+    days = pf.reports(held, capital=100.0, open_cost=0.01, close_cost=0.02).where("portfolio = 'p1'").orderBy("date").collect()
+    equity = 100.0
+    for r in days:
+        equity *= 1 + r["return"] - r.cost
+        assert r.equity == pytest.approx(equity) and r.excess_return == pytest.approx(r["return"] - r.cost)
+
+
+def test_empty_market(spark):
+    held = pf.holdings(spark.createDataFrame([], SCHEMA))
+    assert held.count() == pf.reports(held).count() == pf.missing_prices(held)[1].count() == 0
+
+
+def test_periods_are_refused():
+    good = {"name": "a", "train": ("2020", "2021"), "valid": ("2021", "2022"), "test": ("2022", "2023")}
+    assert pf.period_runs([good])[0]["name"] == "a"
+    for bad in ({"name": " "}, {"train": ("2021", "2020")}, {"test": None}):
         with pytest.raises(ValueError):
-            pf.period_runs([bad])
-    m = spark.createDataFrame([(D(2020, 1, 1), "a", 0.1), (D(2020, 1, 1), "b", 0.3), (D(2020, 1, 2), "b", 0.5)], "datetime date, instrument string, ret double")
-    assert {r.bench for r in pf.benchmark_returns(m).collect()} == {0.2, 0.5}
-    with pytest.raises(KeyError):
-        pf.benchmark_returns(m, "a")
+            pf.period_runs([good | bad])

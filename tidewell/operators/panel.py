@@ -63,18 +63,28 @@ def as_of(left: DataFrame, right: DataFrame, by: str, left_at: str, right_at: st
 def event_window(panel: DataFrame, events: DataFrame, days: int, happened: str, visible: str, amount: str) -> DataFrame:
     """panel with count, amount and recency (days) of events in the last `days` days that were visible by then.
 
-    Each event goes to the days it can count for, which turns the range join
-    into an equi-join of `days` times the events.
+    A sweep over each instrument's time: an event adds to running sums on the
+    day from which it counts and is taken off on the day after it last counts,
+    so that two rows an event meet the panel however many days it counts for.
+    Sums are decimals of 12 places: what is taken off leaves nothing behind.  The
+    latest event that has begun gives the recency, as those before it end
+    sooner.  Events without both dates do not count; a null amount counts as 0.
     """
-    day = F.explode(F.sequence(F.greatest(happened, visible), F.date_add(F.col(happened), days - 1)))
-    open_ = events.where(F.col(visible) <= F.date_add(F.col(happened), days - 1))
-    per_day = (
-        open_.select("instrument", F.col(happened).alias("_h"), F.col(amount).alias("_a"), day.alias("datetime"))
-        .groupBy(*KEYS)
-        .agg(F.count("*").alias(f"count_{days}d"), F.sum("_a").alias(f"amount_{days}d"), F.min(F.datediff("datetime", "_h")).alias("recency"))
+    begun = events.where(F.col(visible) <= F.date_add(F.col(happened), days - 1)).select("instrument", F.col(happened).alias("_h"), F.greatest(happened, visible).alias("_t"), F.col(amount).cast("double").try_cast("decimal(38,12)").alias("_a"))
+    starts = begun.select("instrument", "_t", F.lit(1).alias("_n"), "_a", "_h")
+    ends = begun.select("instrument", F.date_add("_h", days).alias("_t"), F.lit(-1).alias("_n"), (-F.col("_a")).alias("_a"), F.lit(None).cast("date").alias("_h"))
+    steps = starts.unionByName(ends).groupBy("instrument", "_t").agg(F.sum("_n").alias("_n"), F.sum("_a").cast("decimal(38,12)").alias("_a"), F.max("_h").alias("_h"))
+    rows = panel.select("instrument", F.col("datetime").alias("_t"), F.struct(*(F.col(f"`{c}`") for c in panel.columns)).alias("_row"))
+    stacked = steps.unionByName(rows, allowMissingColumns=True)
+    past = Window.partitionBy("instrument").orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)  # a day's steps count on that day
+    swept = stacked.withColumns({"_n": F.sum("_n").over(past), "_a": F.sum("_a").over(past), "_h": F.max("_h").over(past)}).where("_row is not null")
+    age = F.datediff("_t", "_h")
+    return swept.select(
+        "_row.*",
+        F.coalesce("_n", F.lit(0)).alias(f"count_{days}d"),
+        F.coalesce(F.col("_a").cast("double"), F.lit(0.0)).alias(f"amount_{days}d"),
+        F.when(age < days, age).alias("recency"),
     )
-    out = panel.join(per_day, KEYS, "left")
-    return out.withColumns({f"count_{days}d": F.coalesce(f"count_{days}d", F.lit(0)), f"amount_{days}d": F.coalesce(f"amount_{days}d", F.lit(0.0))})
 
 
 def context_by_date(panel: DataFrame, source: DataFrame, aggregates: Sequence[Column]) -> DataFrame:

@@ -1,16 +1,15 @@
-"""Portfolios: top-k with dropout, weights from factor health, diagnostics.
+"""Portfolios: holdings from ranks of scores, weights from factor health, diagnostics.
 
-A portfolio's days follow from one another, so each portfolio is one group in
-pandas and portfolios run in parallel.  Before that, Spark leaves only the
-instruments that a portfolio could ever buy.
+Holdings follow from windows over each instrument's rows, with no loop over
+days: an instrument is wanted from the day on which it ranks among the best, and
+no longer from the day on which it falls out of a wider band; trades happen on
+the first later row with a usable open.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,148 +17,67 @@ from pyspark.sql.window import Window
 from ..functions.columns import finite
 from .signal import risk
 
-OUT = "portfolio string, kind string, date date, instrument string, return double, cost double, turnover double, cash double, equity double, weight double, amount double, value double, reason string"
-NAMES = [c.split()[0] for c in OUT.split(", ")]
 
+def _usable(price: str) -> Column:
+    return F.coalesce(finite(price) > 0, F.lit(False))
 
-def pick(scores: dict[str, float], held: Sequence[str], topk: int, n_drop: int) -> list[str]:
-    """The next holdings, in the order held and then bought; scores descend, ties go to the smaller name."""
 
-    def best(names) -> list[str]:
-        return sorted(names, key=lambda i: (-scores[i], i))
+def holdings(frame: DataFrame, topk: int = 50, n_drop: int = 5, risk_degree: float = 0.95) -> DataFrame:
+    """The rows (portfolio, datetime, instrument, score, open, close) with wanted, held, weight, weight_before and day_return.
 
-    last = best(i for i in held if i in scores)
-    today = best(i for i in scores if i not in set(last))[: max(0, n_drop + topk - len(last))]
-    union = best({*last, *today})
-    sell = set(last[-n_drop:]) & set(union[-n_drop:]) if n_drop > 0 else set()
-    stay = [i for i in held if i not in sell]
-    buy = today[: max(0, len(sell) + topk - len(last))]
-    return [*stay, *(i for i in buy if i not in stay)][:topk]
-
-
-def trade_cost(value: float, rate: float, least: float) -> float:
-    return max(value * rate, least) if value > 0 and rate > 0 else 0.0
-
-
-def _usable(price: float | None) -> bool:
-    return price is not None and math.isfinite(price) and price > 0
-
-
-def simulate(days: Sequence[tuple], topk: int, n_drop: int, capital: float, open_cost: float, close_cost: float, min_cost: float, risk_degree: float) -> list[dict]:
-    """Rows of kinds report, position and missing from days (date, scores, allowed, opens, closes) in order.
-
-    allowed is a set of instruments, or None for all.  A day trades at its opens
-    on the scores of the last day before it that has any.  A sale without an
-    open is left and stops the day's purchases; a purchase without one is left
-    out, and its share of the cash stays.  Fees come on top of a purchase, which
-    shrinks to what the cash allows.  Holdings count at the close, or at their
-    last one; one that never had a close is an error.
+    Scores rank within a portfolio's date, ties by instrument; a score that is
+    null or not finite, or a row whose boolean column `allowed`, if there is one,
+    is not true, has no rank.  The best `topk` are wanted from the next row on,
+    those beyond topk + n_drop or without a rank no longer; between them, what
+    was before goes on.  A row without a usable open changes nothing.  Those held
+    share risk_degree of the day's capital equally.  day_return compares closes,
+    the last usable one carried on, and is 0 without two of them.
     """
-    cash, before, signal = capital, capital, None
-    held: list[str] = []
-    amounts: dict[str, float] = {}
-    closes_seen: dict[str, float] = {}
-    out: list[dict] = []
-    for date, scores, allowed, opens, closes in days:
-        mine = [i for i in held if allowed is None or i in allowed]
-        coming = mine if signal is None else pick({i: s for i, s in signal.items() if allowed is None or i in allowed}, mine, topk, n_drop)
-        cost = traded = 0.0
-        kept: set[str] = set()
-
-        def missing(instrument: str, reason: str) -> None:
-            out.append({"kind": "missing", "date": date, "instrument": instrument, "reason": reason})
-
-        for i in sorted(set(held) - set(coming)):
-            if amounts.get(i, 0.0) <= 0:
-                amounts.pop(i, None)
-            elif not _usable(opens.get(i)):
-                missing(i, "skip_sell_keep_position")
-                kept.add(i)
-            else:
-                value = amounts.pop(i) * opens[i]
-                paid = trade_cost(value, close_cost, min_cost)
-                cash, cost, traded = cash + value - paid, cost + paid, traded + value
-        buy = [] if kept else [i for i in coming if i not in set(held)]
-        each = cash * risk_degree / len(buy) if buy else 0.0
-        for i in buy:
-            if not _usable(opens.get(i)):
-                missing(i, "skip_buy")
-                continue
-            value = each
-            if value <= 0:
-                continue
-            paid = trade_cost(value, open_cost, min_cost)
-            if value + paid > cash:
-                value = max(cash / (1 + open_cost), 0.0)
-                paid = trade_cost(value, open_cost, min_cost)
-            amounts[i] = amounts.get(i, 0.0) + value / opens[i]
-            cash, cost, traded = cash - value - paid, cost + paid, traded + value
-        held = [*(i for i in coming if i in amounts), *(i for i in held if i in kept and i in amounts and i not in coming)]
-        values = {}
-        for i, n in amounts.items():
-            if _usable(closes.get(i)):
-                closes_seen[i] = closes[i]
-            elif i in closes_seen:
-                missing(i, "carry_forward_last_close")
-            else:
-                raise ValueError(f"{i} has no close on or before {date}")
-            values[i] = n * closes_seen[i]
-        equity = cash + sum(values.values())
-        out.append({"kind": "report", "date": date, "return": (equity + cost) / before - 1 if before else 0.0, "cost": cost / before if before else 0.0, "turnover": traded / before if before > 0 else 0.0, "cash": cash, "equity": equity})
-        out += [{"kind": "position", "date": date, "instrument": i, "weight": values.get(i, 0.0) / equity if equity else 0.0, "amount": amounts.get(i, 0.0), "value": values.get(i, 0.0)} for i in held]
-        before, signal = equity, scores or signal
-    return out
-
-
-def topk_dropout(
-    frame: DataFrame,
-    topk: int = 50,
-    n_drop: int = 5,
-    capital: float = 1e8,
-    open_cost: float = 0.0,
-    close_cost: float = 0.0,
-    min_cost: float = 0.0,
-    risk_degree: float = 0.95,
-) -> DataFrame:
-    """Rows of kinds report, position and missing of each portfolio, from rows (portfolio, datetime, instrument, score, open, close).
-
-    A boolean column `allowed` restricts scores and holdings of a day where the
-    frame has it.  Without it, only instruments that ever were among the best
-    2 * topk + n_drop of a day reach the simulation: no others can be bought.
+    of_day, of_one = Window.partitionBy("portfolio", "datetime"), Window.partitionBy("portfolio", "instrument").orderBy("datetime")
+    so_far, before = of_one.rowsBetween(Window.unboundedPreceding, 0), of_one.rowsBetween(Window.unboundedPreceding, -1)
+    able = finite("score").isNotNull()
+    if "allowed" in frame.columns:
+        able &= F.coalesce("allowed", F.lit(False))
+    ranked = frame.withColumn("_able", able)
+    ranked = ranked.withColumn("_rank", F.when(F.col("_able"), F.row_number().over(of_day.orderBy(F.desc("_able"), F.desc("score"), "instrument"))))
+    inside, outside = F.col("_rank") <= topk, F.col("_rank").isNull() | (F.col("_rank") > topk + n_drop)
+    marked = ranked.withColumn("_mark", F.when(inside, True).when(outside, False))
+    wanted = marked.withColumn("wanted", F.coalesce(F.last("_mark", ignorenulls=True).over(before), F.lit(False)))
+    held = wanted.withColumn("held", F.coalesce(F.last(F.when(_usable("open"), F.col("wanted")), ignorenulls=True).over(so_far), F.lit(False)))
+    held = held.withColumn("_close", F.last(F.when(_usable("close"), F.col("close")), ignorenulls=True).over(so_far))
+    n = F.sum(F.col("held").cast("int")).over(of_day)
+    weighed = held.withColumn("weight", F.when(F.col("held"), risk_degree / n).otherwise(0.0))
+    out = weighed.withColumns({"weight_before": F.coalesce(F.lag("weight").over(of_one), F.lit(0.0)), "day_return": F.coalesce(F.try_divide(F.col("_close"), F.lag("_close").over(of_one)) - 1, F.lit(0.0))})
+    return out.drop("_able", "_rank", "_mark", "_close")
+
+
+def positions(held: DataFrame) -> DataFrame:
+    return held.where("held").select("portfolio", F.col("datetime").alias("date"), "instrument", "weight")
+
+
+def reports(held: DataFrame, benchmark: DataFrame | None = None, capital: float = 1e8, open_cost: float = 0.0, close_cost: float = 0.0) -> DataFrame:
+    """portfolio, date, return, bench, cost, turnover, equity, excess_return; benchmark has (date, bench), 0 without one.
+
+    Weights of the row before earn the day's return; changes of weights are the
+    turnover, and cost their rate by side.
     """
-    if "allowed" not in frame.columns:
-        rank = F.row_number().over(Window.partitionBy("portfolio", "datetime").orderBy(F.desc("score"), "instrument"))
-        able = frame.where(finite("score").isNotNull()).withColumn("_r", rank).where(F.col("_r") <= 2 * topk + n_drop).select("portfolio", "instrument").distinct()
-        frame = frame.join(able, ["portfolio", "instrument"], "left_semi").withColumn("allowed", F.lit(None).cast("boolean"))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        days = []
-        for date, day in rows.sort_values(["datetime", "instrument"]).groupby("datetime"):
-            names = day.instrument.tolist()
-            scores = {i: float(s) for i, s in zip(names, day.score, strict=True) if pd.notna(s) and math.isfinite(s)}
-            allowed = None if day.allowed.isna().all() else {i for i, a in zip(names, day.allowed, strict=True) if a}
-            days.append((date, scores, allowed, dict(zip(names, day.open.tolist(), strict=True)), dict(zip(names, day.close.tolist(), strict=True))))
-        made = simulate(days, topk, n_drop, capital, open_cost, close_cost, min_cost, risk_degree)
-        return pd.DataFrame(made, columns=NAMES).assign(portfolio=rows.portfolio.iloc[0])
-
-    return frame.select("portfolio", "datetime", "instrument", "score", "open", "close", "allowed").groupBy("portfolio").applyInPandas(run, OUT)
-
-
-def reports(simulated: DataFrame, benchmark: DataFrame | None = None) -> DataFrame:
-    """portfolio, date, return, bench, cost, turnover, cash, equity, excess_return; benchmark has (date, bench), 0 without one."""
-    rows = simulated.where("kind = 'report'").select("portfolio", "date", "return", "cost", "turnover", "cash", "equity")
-    rows = rows.join(benchmark, "date", "left") if benchmark is not None else rows.withColumn("bench", F.lit(0.0))
-    rows = rows.withColumn("bench", F.coalesce("bench", F.lit(0.0)))
-    return rows.withColumn("excess_return", F.col("return") - F.col("bench") - F.col("cost"))
-
-
-def positions(simulated: DataFrame) -> DataFrame:
-    return simulated.where("kind = 'position'").select("portfolio", "date", "instrument", "weight", "amount", "value")
-
-
-def missing_prices(simulated: DataFrame, examples: int = 20) -> tuple[DataFrame, DataFrame]:
-    """Counts by portfolio and reason, and the first examples of each portfolio."""
-    rows = simulated.where("kind = 'missing'").select("portfolio", "date", "instrument", "reason")
+    change = F.col("weight") - F.col("weight_before")
+    rates = F.greatest(change, F.lit(0.0)) * open_cost + F.greatest(-change, F.lit(0.0)) * close_cost
+    days = held.groupBy("portfolio", F.col("datetime").alias("date")).agg(F.sum(F.col("weight_before") * F.col("day_return")).alias("return"), F.sum(rates).alias("cost"), F.sum(F.abs(change)).alias("turnover"))
+    days = days.join(benchmark, "date", "left") if benchmark is not None else days.withColumn("bench", F.lit(0.0))
+    grown = F.sum(F.log1p(F.col("return") - F.col("cost"))).over(Window.partitionBy("portfolio").orderBy("date"))  # a row for each date
+    days = days.withColumns({"bench": F.coalesce("bench", F.lit(0.0)), "equity": capital * F.exp(grown)})
+    return days.withColumn("excess_return", F.col("return") - F.col("bench") - F.col("cost"))
+
+
+def missing_prices(held: DataFrame, examples: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Counts by portfolio and reason, and the first examples of each portfolio: trades without an open, holdings without a close."""
+    of_one = Window.partitionBy("portfolio", "instrument").orderBy("datetime")
+    held = held.withColumn("_was", F.coalesce(F.lag("held").over(of_one), F.lit(False)))
+    wanted, was = F.col("wanted"), F.col("_was")
+    reason = F.when(~_usable("open") & wanted & ~was, "skip_buy").when(~_usable("open") & ~wanted & was, "skip_sell_keep_position")
+    late = F.when(~_usable("close") & F.col("held"), "carry_forward_last_close")
+    rows = held.withColumn("reason", F.explode(F.array_compact(F.array(reason, late)))).select("portfolio", F.col("datetime").alias("date"), "instrument", "reason")
     first = F.row_number().over(Window.partitionBy("portfolio").orderBy("date", "instrument", "reason"))
     return rows.groupBy("portfolio", "reason").agg(F.count("*").alias("n")), rows.withColumn("_r", first).where(F.col("_r") <= examples).drop("_r")
 

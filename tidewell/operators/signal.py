@@ -70,18 +70,6 @@ def pre_backtest_screen(long: DataFrame, limits: dict[str, float]) -> DataFrame:
     return out.withColumn("reasons", F.array_join(F.array_compact(F.array(*fails)), ","))
 
 
-def factor_correlations(long: DataFrame) -> DataFrame:
-    """f, g, mean and mean absolute daily correlation over pairs f < g of factors.
-
-    Values of one cell meet in one list, whose length is the number of
-    factors; no join of the rows with themselves.
-    """
-    cells = long.where("value is not null").groupBy("datetime", "instrument").agg(F.sort_array(F.collect_list(F.struct("factor", "value"))).alias("vs"))
-    pairs = cells.select("datetime", F.posexplode("vs").alias("i", "a"), "vs").select("datetime", "a", F.explode(F.slice("vs", F.col("i") + 2, F.size("vs"))).alias("b"))
-    daily = pairs.select("datetime", F.col("a.factor").alias("f"), F.col("b.factor").alias("g"), F.col("a.value").alias("x"), F.col("b.value").alias("y")).groupBy("f", "g", "datetime").agg(safe_corr("x", "y").alias("r"))
-    return daily.groupBy("f", "g").agg(F.avg("r").alias("mean_corr"), F.avg(F.abs("r")).alias("mean_abs_corr"), F.max(F.abs("r")).alias("max_abs_corr"))
-
-
 def quantile_buckets(frame: DataFrame, score: str, n: int, by: str = "datetime") -> DataFrame:
     """bucket 0 to n - 1 by rank of the score within a date, ties by instrument."""
     w = Window.partitionBy(by)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import columns as c
+from ..operators import comoments as cm
 from ..operators import panel as pn
 from ..operators import portfolio as pf
 from ..operators import signal as sg
@@ -231,7 +232,7 @@ def pre_backtest_screen(spark, sf_dir):
 @query(f"""WITH {IC_SQL}, x AS (SELECT a.factor AS f, b.factor AS g, a.datetime AS datetime, {_corr_sql('a.value', 'b.value')} AS r FROM l a JOIN l b ON a.datetime = b.datetime AND a.instrument = b.instrument AND a.factor < b.factor WHERE a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY 1, 2, 3)
 SELECT f, g, {rounded_sql('avg(r)')} AS mean_corr, {rounded_sql('avg(abs(r))')} AS mean_abs_corr, {rounded_sql('max(abs(r))')} AS max_abs_corr FROM x GROUP BY 1, 2""")
 def factor_correlations(spark, sf_dir):
-    return _out(sg.factor_correlations(long_signals(spark, sf_dir)), ["f", "g"], ["mean_corr", "mean_abs_corr", "max_abs_corr"])
+    return _out(cm.factor_correlations(long_signals(spark, sf_dir)), ["f", "g"], ["mean_corr", "mean_abs_corr", "max_abs_corr"])
 
 
 BUCKET_SQL = f"""{PANEL_SQL}, b AS (SELECT datetime, instrument, close, least(4, CAST(floor((row_number() OVER (PARTITION BY datetime ORDER BY close, instrument) - 1) * 5 / CAST(count(*) OVER (PARTITION BY datetime) AS DOUBLE)) AS INTEGER)) AS bucket FROM p WHERE close IS NOT NULL)"""
@@ -397,31 +398,66 @@ def factors_alpha_windows(spark, sf_dir):
     return _out(fs.with_factors(events_panel(spark, sf_dir), f), pn.KEYS, list(f))
 
 
+HELD_SQL = f"""{SIGNAL_SQL}, l AS (SELECT datetime, instrument, unnest(['body', 'mom', 'vol']) AS portfolio, unnest([body, mom, vol]) AS score FROM s),
+h0 AS (SELECT l.*, CASE WHEN volume > 1 THEN open END AS o, CASE WHEN volume % 4 <> 3 THEN close END AS c FROM l JOIN p USING (datetime, instrument)),
+h1 AS (SELECT *, CASE WHEN score IS NOT NULL THEN row_number() OVER (PARTITION BY portfolio, datetime ORDER BY score DESC NULLS LAST, instrument) END AS rk FROM h0),
+h2 AS (SELECT *, CASE WHEN rk <= 10 THEN true WHEN rk IS NULL OR rk > 12 THEN false END AS mark FROM h1),
+h3 AS (SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY portfolio, instrument ORDER BY datetime
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS wanted FROM h2),
+h4 AS (SELECT *, coalesce(last_value(CASE WHEN o > 0 THEN wanted END IGNORE NULLS) OVER t, false) AS held, last_value(CASE WHEN c > 0 THEN c END IGNORE NULLS) OVER t AS cf
+    FROM h3 WINDOW t AS (PARTITION BY portfolio, instrument ORDER BY datetime ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+h5 AS (SELECT *, CASE WHEN held THEN 0.95e0 / sum(CAST(held AS INT)) OVER (PARTITION BY portfolio, datetime) ELSE 0 END AS weight FROM h4),
+h AS (SELECT *, coalesce(lag(weight) OVER t, 0) AS wb, coalesce(lag(held) OVER t, false) AS was, coalesce(cf / nullif(lag(cf) OVER t, 0) - 1, 0) AS dr
+    FROM h5 WINDOW t AS (PARTITION BY portfolio, instrument ORDER BY datetime)),
+b AS (SELECT datetime AS date, coalesce(avg(r), 0) AS bench FROM (SELECT datetime, close / nullif(lag(close) {TIME}, 0) - 1 AS r FROM p) GROUP BY 1),
+d AS (SELECT portfolio, datetime AS date, sum(wb * dr) AS ret, sum(greatest(weight - wb, 0) * 0.0005e0 + greatest(wb - weight, 0) * 0.0015e0) AS cost, sum(abs(weight - wb)) AS turnover FROM h GROUP BY 1, 2),
+rep AS (SELECT d.*, bench, ret - bench - cost AS ex, 1e6 * exp(sum(ln(1 + ret - cost)) OVER (PARTITION BY portfolio ORDER BY date)) AS equity FROM d LEFT JOIN b USING (date))"""
+
+
 def _portfolios(spark, sf_dir):
-    """A portfolio for each signal and size, in parallel."""
+    """A portfolio for each signal; days of one event have no open, days of 3, 7, 11... events no close."""
     p = events_panel(spark, sf_dir)
     long = long_signals(spark, sf_dir).select("datetime", "instrument", F.col("factor").alias("portfolio"), F.col("value").alias("score"))
-    return pf.topk_dropout(long.join(p.select(*pn.KEYS, "open", "close"), pn.KEYS), topk=10, n_drop=2, capital=1e6, open_cost=0.0005, close_cost=0.0015, min_cost=5.0)
+    prices = p.select(*pn.KEYS, F.when(F.col("volume") > 1, F.col("open")).alias("open"), F.when(F.col("volume") % 4 != 3, F.col("close")).alias("close"))
+    return pf.holdings(long.join(prices, pn.KEYS), topk=10, n_drop=2)
 
 
-@query()
-def topk_dropout(spark, sf_dir):
+def _portfolio_reports(spark, sf_dir):
     p = events_panel(spark, sf_dir).select(*pn.KEYS, c.ts_pctchange("close").alias("ret"))
-    return _out(pf.reports(_portfolios(spark, sf_dir), pf.benchmark_returns(p)), ["portfolio", "date"], ["return", "bench", "cost", "turnover", "cash", "equity", "excess_return"])
+    return pf.reports(_portfolios(spark, sf_dir), pf.benchmark_returns(p), capital=1e6, open_cost=0.0005, close_cost=0.0015)
 
 
-@query()
+@query(
+    f"""WITH {HELD_SQL} SELECT portfolio, date, {rounded_sql('ret')} AS "return", {rounded_sql('bench')} AS bench, {rounded_sql('cost')} AS cost,
+{rounded_sql('turnover')} AS turnover, {rounded_sql('ln(equity / 1e6)')} AS log_growth, {rounded_sql('ex')} AS excess_return FROM rep"""
+)
+def topk_dropout(spark, sf_dir):
+    out = _portfolio_reports(spark, sf_dir)
+    return _out(out.withColumn("log_growth", F.log(F.col("equity") / 1e6)), ["portfolio", "date"], ["return", "bench", "cost", "turnover", "log_growth", "excess_return"])
+
+
+@query(f"WITH {HELD_SQL} SELECT portfolio, datetime AS date, instrument, {rounded_sql('weight')} AS weight FROM h WHERE held")
 def topk_positions(spark, sf_dir):
-    return _out(pf.positions(_portfolios(spark, sf_dir)), ["portfolio", "date", "instrument"], ["weight", "amount", "value"])
+    return _out(pf.positions(_portfolios(spark, sf_dir)), ["portfolio", "date", "instrument"], ["weight"])
 
 
-@query()
+@query(
+    f"""WITH {HELD_SQL}, x AS (SELECT portfolio, date, ex, sum(ex) OVER (PARTITION BY portfolio ORDER BY date) AS path FROM rep),
+y AS (SELECT *, greatest(max(path) OVER (PARTITION BY portfolio ORDER BY date), 0) AS peak FROM x),
+z AS (SELECT portfolio, avg(ex) AS m, stddev_samp(ex) AS s, least(min(path - peak), 0) AS dd FROM y GROUP BY 1)
+SELECT portfolio, {rounded_sql('m * 238')} AS annualized_return, {rounded_sql('CASE WHEN s > 1e-12 THEN m / s ELSE 0 END * sqrt(238)')} AS information_ratio,
+{rounded_sql('dd')} AS max_drawdown, {rounded_sql('CASE WHEN abs(dd) > 1e-12 THEN m * 238 / abs(dd) ELSE 0 END')} AS calmar_ratio FROM z"""
+)
 def portfolio_risk(spark, sf_dir):
-    p = events_panel(spark, sf_dir).select(*pn.KEYS, c.ts_pctchange("close").alias("ret"))
-    return _out(pf.portfolio_risk(pf.reports(_portfolios(spark, sf_dir), pf.benchmark_returns(p))), ["portfolio"], ["annualized_return", "information_ratio", "max_drawdown", "calmar_ratio"])
+    return _out(pf.portfolio_risk(_portfolio_reports(spark, sf_dir)), ["portfolio"], ["annualized_return", "information_ratio", "max_drawdown", "calmar_ratio"])
 
 
-@query()
+@query(
+    f"""WITH {HELD_SQL}, m AS (
+SELECT portfolio, datetime AS date, instrument, CASE WHEN wanted THEN 'skip_buy' ELSE 'skip_sell_keep_position' END AS reason FROM h WHERE o IS NULL AND wanted <> was
+UNION ALL SELECT portfolio, datetime, instrument, 'carry_forward_last_close' FROM h WHERE c IS NULL AND held)
+SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY portfolio ORDER BY date, instrument, reason) <= 20"""
+)
 def missing_prices(spark, sf_dir):
     return pf.missing_prices(_portfolios(spark, sf_dir))[1]
 
