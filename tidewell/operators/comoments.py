@@ -22,43 +22,46 @@ CELLS_AT_ONCE = 1 << 20  # instruments times factors in one matrix
 PART_ROWS = 1 << 21  # values of a date that one task takes
 #: Of n * deviation^2, what is taken for rounding of a pair whose values are all the same.
 NO_VARIATION = 1e-13
-#: Of a mean, what is taken for rounding when two parts are added up.
-NO_DIFFERENCE = 1e-15
+#: Of a factor's largest value, what is taken for rounding between the means of two parts.
+NO_DIFFERENCE = 4e-15
 
 
 @dataclass
 class CoMoments:
-    """K by K matrices over the cells that both factors of a pair have: count, mean and squares of the row's factor, co-moment."""
+    """K by K matrices over the cells that both factors of a pair have: count, mean and squares of the row's factor, co-moment; and the factors' largest sizes."""
 
     n: np.ndarray
     mean: np.ndarray
     square: np.ndarray
     cross: np.ndarray
+    level: np.ndarray
 
     @classmethod
     def none(cls, k: int) -> CoMoments:
-        return cls(*(np.zeros((k, k)) for _ in range(4)))
+        return cls(*(np.zeros((k, k)) for _ in range(4)), np.zeros(k))
 
     @classmethod
     def of(cls, x: np.ndarray) -> CoMoments:
         """From a matrix of cells by factors, NaN where there is no value."""
         there = ~np.isnan(x)
         centre = np.divide(np.nansum(x, axis=0), there.sum(axis=0), out=np.zeros(x.shape[1]), where=there.any(axis=0))
+        level = np.abs(np.where(there, x, 0.0)).max(axis=0, initial=0.0)
         x, m = np.where(there, x - centre, 0.0), there.astype(np.float64)
         n, total, square, cross = m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x
         mean = np.divide(total, n, out=np.zeros_like(total), where=n > 0)
         exact = square - mean * total
         exact[exact <= NO_VARIATION * square] = 0.0
-        return cls(n, mean + centre[:, None], exact, cross - mean * total.T)
+        return cls(n, mean + centre[:, None], exact, cross - mean * total.T, level)
 
     def __add__(self, other: CoMoments) -> CoMoments:
         n = self.n + other.n
         share = np.divide(other.n, n, out=np.zeros_like(n), where=n > 0)
         apart = np.where((self.n > 0) & (other.n > 0), other.mean - self.mean, 0.0)
-        apart[np.abs(apart) <= NO_DIFFERENCE * np.abs(self.mean)] = 0.0
+        level = np.maximum(self.level, other.level)
+        apart[np.abs(apart) <= NO_DIFFERENCE * level[:, None]] = 0.0
         between = self.n * share
         mean = np.where(self.n > 0, self.mean + apart * share, other.mean)
-        return CoMoments(n, mean, self.square + other.square + between * apart * apart, self.cross + other.cross + between * apart * apart.T)
+        return CoMoments(n, mean, self.square + other.square + between * apart * apart, self.cross + other.cross + between * apart * apart.T, level)
 
     def correlations(self) -> np.ndarray:
         """K by K, NaN where a side does not vary over the cells of the pair."""
@@ -66,11 +69,12 @@ class CoMoments:
         return np.divide(self.cross, scale, out=np.full_like(scale, np.nan), where=scale > 0)
 
     def packed(self) -> bytes:
-        return np.array([self.n, self.mean, self.square, self.cross]).tobytes()
+        return np.concatenate([x.ravel() for x in (self.n, self.mean, self.square, self.cross, self.level)]).tobytes()
 
     @classmethod
     def unpacked(cls, raw: bytes, k: int) -> CoMoments:
-        return cls(*np.frombuffer(raw).reshape(4, k, k))
+        every = np.frombuffer(raw)
+        return cls(*every[: 4 * k * k].reshape(4, k, k), every[4 * k * k :])
 
 
 def _dates(long: DataFrame, names: Sequence[str], parts: int) -> DataFrame:
