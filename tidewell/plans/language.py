@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
+from ..operators import rolling as ro
 from ..sources import events_panel
 
 PANEL_SQL = """p AS (
@@ -168,5 +169,68 @@ def _query(build: Callable[[], Column]) -> Callable[[SparkSession, str], DataFra
     return lambda spark, sf_dir: events_panel(spark, sf_dir).select("datetime", "instrument", rounded(build()).alias("v"))
 
 
-QUERIES = {name: _query(build) for name, (build, _) in OPS.items()}
-ORACLE_SQL = {name: f"WITH {PANEL_SQL}, {STEP}\nSELECT datetime, instrument, {rounded_sql(sql)} AS v FROM r" for name, (_, sql) in OPS.items()}
+def _rolled(**statistics: ro.Rolled) -> Callable[[DataFrame], DataFrame]:
+    return lambda panel: ro.rolled(panel, statistics)
+
+
+def _moves(panel: DataFrame) -> DataFrame:
+    """The panel with the rise and the fall of the close since the row before."""
+    moved = c.delta("close")
+    return panel.withColumns({"rise": F.when(moved.isNotNull(), c.greater(moved, 0.0)), "fall": F.when(moved.isNotNull(), c.greater(-moved, 0.0))})
+
+
+def _strength(panel: DataFrame) -> DataFrame:
+    out = ro.rolled(_moves(panel), {"up": ro.exponential("rise", 2 / 6), "down": ro.exponential("fall", 2 / 6)})
+    return out.withColumn("v", 100 - F.try_divide(F.lit(100.0), 1 + F.try_divide(F.col("up"), F.col("down"))))
+
+
+def _macd(short: int, long: int) -> Callable[[DataFrame], DataFrame]:
+    made = _rolled(short=ro.exponential("close", 2 / (short + 1)), long=ro.exponential("close", 2 / (long + 1)))
+    return lambda panel: made(panel).withColumn("v", F.col("short") - F.col("long"))
+
+
+#: Functions that go through blocks of rows, with their SQL in OPS or BLOCK_SQL: a panel in, column v added.
+IN_BLOCKS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "ts_median": _rolled(v=ro.quantile("close", 5, 0.5)),
+    "ts_quantile": _rolled(v=ro.quantile("close", 5, 0.8)),
+    "ts_percentile": _rolled(v=ro.quantile("close", 5, 0.3)),
+    "ts_mad": _rolled(v=ro.mad("close", 5)),
+    "ts_rank": _rolled(v=ro.rank("close", 5)),
+    "ts_argmax": _rolled(v=ro.argmax("close", 5)),
+    "ts_argmin": _rolled(v=ro.argmin("close", 5)),
+    "ts_highday": _rolled(v=ro.highday("close", 5)),
+    "ts_lowday": _rolled(v=ro.lowday("close", 5)),
+    "ts_ema": _rolled(v=ro.exponential("close", 2 / 6)),
+    "ts_sma_weighted": _rolled(v=ro.exponential("close", 2 / 6)),
+    "ts_macd": _macd(5, 10),
+    "ts_rsi": _strength,
+    "ts_bb_dynamic": lambda panel: ro.dynamic_bands(panel, "close", "volume", middle="v"),
+    "ts_bb_dynamic_upper": lambda panel: ro.dynamic_bands(panel, "close", "volume", high="v"),
+    "ts_bb_dynamic_lower": lambda panel: ro.dynamic_bands(panel, "close", "volume", low="v"),
+    "ts_median_120": _rolled(v=ro.quantile("close", 120, 0.5)),
+    "ts_mad_120": _rolled(v=ro.mad("close", 120)),
+    "ts_rank_20": _rolled(v=ro.rank("close", 20)),
+    "ts_argmax_20": _rolled(v=ro.argmax("close", 20)),
+    "ts_highday_120": _rolled(v=ro.highday("close", 120)),
+    "ts_ema_500": _rolled(v=ro.exponential("close", 2 / 501)),
+}
+_LAST = "lall[greatest(1, len(lall) - CAST(volume AS INTEGER) + 1):]"
+_L20, _L120 = (f"lall[greatest(1, len(lall) - {n - 1}):]" for n in (20, 120))
+BLOCK_SQL = {
+    "ts_bb_dynamic_upper": f"list_avg({_LAST}) + CASE WHEN len({_LAST}) > 1 THEN list_stddev_samp({_LAST}) END",
+    "ts_bb_dynamic_lower": f"list_avg({_LAST}) - CASE WHEN len({_LAST}) > 1 THEN list_stddev_samp({_LAST}) END",
+    "ts_median_120": full(120, f"quantile_cont(close, 0.5) {rows(120)}"),
+    "ts_mad_120": f"mad(close) {rows(120)}",
+    "ts_rank_20": full(20, f"(len(list_filter({_L20}, lambda x: x < close)) + (len(list_filter({_L20}, lambda x: x = close)) + 1) / 2.0) / 20"),
+    "ts_argmax_20": full(20, f"CAST(list_position({_L20}, list_max({_L20})) AS DOUBLE)"),
+    "ts_highday_120": f"CAST(len({_L120}) - list_position({_L120}, list_max({_L120})) + 1 AS DOUBLE)",
+    "ts_ema_500": ewm("close", 2 / 501, "lall"),
+}
+
+
+def _block_query(build: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: build(events_panel(spark, sf_dir)).select("datetime", "instrument", rounded(F.col("v")).alias("v"))
+
+
+QUERIES = {name: _query(build) for name, (build, _) in OPS.items()} | {name: _block_query(build) for name, build in IN_BLOCKS.items()}
+ORACLE_SQL = {name: f"WITH {PANEL_SQL}, {STEP}\nSELECT datetime, instrument, {rounded_sql(sql)} AS v FROM r" for name, sql in ({name: sql for name, (_, sql) in OPS.items()} | BLOCK_SQL).items()}
