@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -7,27 +8,44 @@ from tidewell.llm.lm import cross_entropy_difference
 
 def brute(rows, target, weight=0.7):
     words = {i: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower()) for i, t in rows}
-    total = Counter(w for ws in words.values() for w in ws)
-    vocabulary = {w for w, n in total.items() if n > 1}
-    words = {i: [w if w in vocabulary else None for w in ws] for i, ws in words.items()}
-    v = len(vocabulary) + 1
-    every = Counter(b for ws in words.values() for b in zip(ws, ws[1:]))
-    kept = {b for b, n in every.items() if n > 1}
+    vocabulary = {w for ws in words.values() for w in ws} | {None}  # None: a word that no document has
     losses = {}
     for name, ids in (("target", target), ("background", set(words))):
         one = Counter(w for i in ids for w in words[i])
-        two = Counter(b for i in ids for b in zip(words[i], words[i][1:]))
-        p1 = {w: (one[w] + 1) / (sum(one.values()) + v) for w in [*vocabulary, None]}
+        after = {}
+        for i in ids:
+            for left, w in zip(words[i], words[i][1:]):
+                after.setdefault(left, Counter())[w] += 1
+        alone = {w: (one[w] + 1) / (sum(one.values()) + len(vocabulary)) for w in vocabulary}
+        assert math.isclose(sum(alone.values()), 1)
+        for row in after.values() if len(vocabulary) < 50 else ():
+            assert math.isclose(sum(weight * row[w] / sum(row.values()) + (1 - weight) * alone[w] for w in vocabulary), 1)
 
         def chance(left, w):
-            if left is None or not one[left]:
-                return p1[w]
-            return weight * (two[left, w] if (left, w) in kept else 0) / one[left] + (1 - weight) * p1[w]
+            row = after.get(left)
+            return alone[w] if row is None else weight * row[w] / row.total() + (1 - weight) * alone[w]
 
-        losses[name] = {i: sum(-math.log(p1[w] if j == 0 else chance(ws[j - 1], w)) for j, w in enumerate(ws)) for i, ws in words.items()}
+        losses[name] = {i: sum(-math.log(alone[w] if j == 0 else chance(ws[j - 1], w)) for j, w in enumerate(ws)) for i, ws in words.items()}
     return {i: (len(ws), losses["target"][i], losses["background"][i]) for i, ws in words.items()}
 
 
+def test_chances_after_each_word_add_up_to_1(spark):
+    """Read from the losses themselves: a document of two words less that of its first word."""
+    rnd = random.Random(3)
+    words = list("abcdefgh")
+    texts = [w for w in words] + [f"{x} {y}" for x in words for y in words]
+    texts += [" ".join(rnd.choice("aaabbcd") for _ in range(rnd.randrange(9))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    good = spark.createDataFrame([(i,) for i in range(0, len(texts), 3)], "doc_id long")
+    out = {texts[r.doc_id]: r for r in cross_entropy_difference(docs, good).collect()}
+    total = Counter(w for i, t in enumerate(texts) for w in t.split()), Counter(w for i, t in enumerate(texts) if i % 3 == 0 for w in t.split())
+    for model, counts in zip(("background_loss", "target_loss"), total, strict=True):
+        unseen = 1 / (counts.total() + len(words) + 1)
+        assert math.isclose(sum(math.exp(-out[w][model]) for w in words) + unseen, 1)
+        for x in words:
+            assert math.isclose(sum(math.exp(out[x][model] - out[f"{x} {y}"][model]) for y in words) + 0.3 * unseen, 1)
+
+
 def test_against_brute_force(spark):
     rows = [(i, " ".join(["the cat sat", "a dog ran off", "the dog sat", "on the mat"][(i + j * j) % 4] for j in range(i % 9))) for i in range(60)] + [(100, None), (101, "the " * 300_000), (102, "!!"), (7, "the cat"), (None, "once mat")]
     docs = spark.createDataFrame([(i, t, i, None) for i, t in rows], "doc_id long, text string, chunk long, kind string")

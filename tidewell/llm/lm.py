@@ -2,17 +2,18 @@
 
 Two bigram models over one vocabulary: a target model of the documents that a
 label marks, a background model of all documents.  The vocabulary is every word
-that occurs twice or more in all documents (other words are one unknown word),
-and every bigram that occurs twice or more is kept.  In both models the chance
-of a word r after a word l is
+of all documents and one unseen word; every bigram counts, those that occur once
+too.  In both models the chance of a word r after a word l is
 
-    weight * count(l, r) / count(l) + (1 - weight) * chance of r,
+    weight * count(l, r) / followed(l) + (1 - weight) * chance of r,
 
-so they are matched in everything but their counts; what bigrams that occur
-once, and ends of documents, leave of `weight` goes to no word.  At the start
-of a document, after an unknown word, and after one without a count in the
-model, it is the chance of r alone.  A document's score is its mean loss per
-word under the background less that under the target.
+where followed(l) is how often l has a word after it, and the chance of r alone
+is (count(r) + 1) / (words + vocabulary).  The counts after l add up to
+followed(l), so that chances after each word add up to 1, and the models are
+matched in everything but their counts.  At the start of a document, and after a
+word that the model never saw followed, it is the chance of r alone.  A
+document's score is its mean loss per word under the background less that under
+the target.
 
 The models grow with the documents and are never gathered in one place.
 Documents are dealt into chunks of bounded size; words and bigrams, by their
@@ -38,7 +39,7 @@ from .shared import stored, texts
 
 CHUNK_WORDS = 700_000
 BUCKET_BYTES = 4 << 20
-UNKNOWN = 0  # hash of the unknown word; every chunk has it as its first word
+UNSEEN = 0  # hash of the unseen word; every chunk has it as its first word
 
 DOCS, CHOSEN, WORDS, BIGRAMS, TOTALS = range(5)
 MESSAGE = ("kind", "chunk", "bucket", "a", "b", "c")
@@ -106,8 +107,10 @@ def _by(df: DataFrame, key: str, one: Callable[[list[tuple]], Iterator[pa.Record
     return df.select(*MESSAGE).repartition(key).sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
-def _joined(rows: list[tuple], kind: int, at: int) -> np.ndarray:
-    return np.concatenate([np.empty(0, np.int64), *(_unpacked(r[at]) for r in rows if r[0] == kind)])
+def _lists(rows: list[tuple], kind: int, at: int) -> np.ndarray:
+    """Counts in the order of the keys; of words a second list, of those at the ends of documents."""
+    of = 2 if kind == WORDS else 1
+    return np.concatenate([np.empty((of, 0), np.int64), *(_unpacked(r[at]).reshape(of, -1) for r in rows if r[0] == kind)], axis=1)
 
 
 def _hashes(raw: pa.Buffer) -> np.ndarray:
@@ -122,7 +125,7 @@ def _chunks_of(docs: DataFrame) -> DataFrame:
         task = TaskContext.get().partitionId() << 32
 
         def flush() -> pa.RecordBatch:
-            words, ids, n = np.unique(np.concatenate(([np.uint64(UNKNOWN)], *hashes)), return_inverse=True, return_counts=True)
+            words, ids, n = np.unique(np.concatenate(([np.uint64(UNSEEN)], *hashes)), return_inverse=True, return_counts=True)
             order = np.argsort(-n, kind="stable")  # common words get small numbers
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
@@ -192,14 +195,16 @@ class Chunk:
 
 
 def _send(buckets: int) -> Callable[[list[tuple]], Iterator[pa.RecordBatch]]:
-    """Of a chunk: to the buckets its words and bigrams, with their counts in it and in its documents of the target."""
+    """Of a chunk: to the buckets its words and bigrams, with their counts in it and in its documents of the target; of words then those at the ends of documents."""
 
     def one(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         c = Chunk(rows)
         of_word, of_bigram = c.chosen[c.row], c.chosen[c.row[1:][c.inside]]
-        for kind, key, at, of in ((WORDS, c.words, c.ids, of_word), (BIGRAMS, c.key, c.at, of_bigram)):
-            n, target = np.bincount(at, minlength=len(key)), np.bincount(at, of, minlength=len(key))
-            if out := [(kind, c.name, k, _packed_sorted(key[a:b]), _packed(n[a:b]), _packed(target[a:b])) for k, a, b in _cuts(key, buckets)]:
+        final = np.append(~c.inside, True) if len(c.ids) else np.zeros(0, bool)
+        for kind, key, lists in ((WORDS, c.words, ((c.ids, of_word), (c.ids[final], of_word[final]))), (BIGRAMS, c.key, ((c.at, of_bigram),))):
+            n = np.array([np.bincount(at, minlength=len(key)) for at, _ in lists])
+            target = np.array([np.bincount(at, of, minlength=len(key)) for at, of in lists])
+            if out := [(kind, c.name, k, _packed_sorted(key[a:b]), _packed(n[:, a:b].ravel()), _packed(target[:, a:b].ravel())) for k, a, b in _cuts(key, buckets)]:
                 yield _batch(out)
 
     return one
@@ -212,34 +217,30 @@ def _count(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             continue
         key = [_unpacked_sorted(r[3]) for r in sent]
         keys, at = np.unique(np.concatenate(key), return_inverse=True)
-        n, target = (np.bincount(at, _joined(sent, kind, i), minlength=len(keys)).astype(np.int64) for i in (4, 5))
-        once, out, low = n == 1, [], 0
+        n, target = ([np.bincount(at, x, minlength=len(keys)).astype(np.int64) for x in _lists(sent, kind, i)] for i in (4, 5))
+        out, low = [], 0
         if kind == WORDS:
-            totals = np.array([n.sum(), target.sum(), once.sum(), target[once].sum(), (n > 1).sum()], np.int64)
-            out.append((TOTALS, -1, sent[0][2], totals.tobytes(), b"", b""))
-        else:
-            n, target = np.where(once, 0, n), np.where(once, 0, target)
+            out.append((TOTALS, -1, sent[0][2], np.array([n[0].sum(), target[0].sum(), (n[0] > 0).sum()], np.int64).tobytes(), b"", b""))
         for r, k in zip(sent, key, strict=True):
             mine = at[low : (low := low + len(k))]
-            out.append((kind, r[1], r[2], _packed(n[mine]), _packed(target[mine]), b""))
+            out.append((kind, r[1], r[2], *(_packed(np.concatenate([x[mine] for x in of])) for of in (n, target)), b""))
         yield _batch(out)
 
 
 def _score(totals: np.ndarray, weight: float) -> Callable[[list[tuple]], Iterator[pa.RecordBatch]]:
-    every, every_target, once, once_target, known = totals.tolist()
+    every, every_target, known = totals.tolist()
     v = known + 1
 
     def one(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         c = Chunk(rows)
         begins = np.append(True, ~c.inside) if len(c.ids) else np.zeros(0, bool)
-        rare = _joined(rows, WORDS, 3) < 2  # of the unknown word itself, too
         losses = []
-        for total, unknown, field in ((every_target, once_target, 4), (every, once, 3)):
-            n = _joined(rows, WORDS, field)
-            unigram = (np.where(rare, unknown, n) + 1) / (total + v)
-            context = np.where(rare, 0, n)[c.left]
-            after = _joined(rows, BIGRAMS, field) / np.maximum(context, 1)
-            chance = np.where(context > 0, weight * after + (1 - weight) * unigram[c.right], unigram[c.right])
+        for total, field in ((every_target, 4), (every, 3)):
+            n, ends = _lists(rows, WORDS, field)
+            unigram = (n + 1) / (total + v)
+            followed = (n - ends)[c.left]
+            after = _lists(rows, BIGRAMS, field)[0] / np.maximum(followed, 1)
+            chance = np.where(followed > 0, weight * after + (1 - weight) * unigram[c.right], unigram[c.right])
             loss = np.empty(len(c.ids))
             loss[begins] = -np.log(unigram[c.ids[begins]])
             loss[~begins] = -np.log(chance)[c.at]
@@ -264,15 +265,16 @@ def cross_entropy_difference(
     repeated and null ones change nothing.  Losses are nats in all; score is
     (background_loss - target_loss) / n_words, higher where the text is closer
     to the target, and 0 for null, empty or wordless texts.  With no target or
-    an empty vocabulary the models are uniform and every score is finite.
+    an empty vocabulary the models are uniform and every score is finite.  Equal
+    texts have equal losses, whatever their ids; ties need no order.
     """
     read = texts(docs, doc_id=doc_id, text=text)
     size = read.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     chunks = stored(_chunks_of(read), "chunks")
     asked = _by(chunks.unionByName(_chosen(chunks, target_ids)), "chunk", _send(1 + size // BUCKET_BYTES), SCHEMA)
     counted = stored(_by(asked, "bucket", _count, SCHEMA), "counts", partition_by="kind").select(*MESSAGE)
-    totals = np.zeros(5, np.int64)
-    for r in counted.where(f"kind = {TOTALS}").select("a").toLocalIterator():  # five numbers a bucket
+    totals = np.zeros(3, np.int64)
+    for r in counted.where(f"kind = {TOTALS}").select("a").toLocalIterator():  # three numbers a bucket
         totals += np.frombuffer(r.a, np.int64)
     whole = chunks.unionByName(counted.where(f"kind <> {TOTALS}"))
     return _by(whole, "chunk", _score(totals, weight), "doc_id long, n_words long, target_loss double, background_loss double, score double")
