@@ -36,10 +36,10 @@ from pyspark.sql import functions as F
 from .shared import stored, texts
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
-CHUNK_BYTES = 8 << 20  # text of a chunk, about
-LEARNT_AT_ONCE = 1 << 18  # characters of short texts whose new segments are aligned together
+CHUNK_BYTES = 4 << 20  # text of a chunk, about
+LEARNT_AT_ONCE = 1 << 17  # characters of short texts whose new segments are aligned together
 PIECE = 1 << 20  # characters of a text that are cut into segments at once
-EXPANDED_AT_ONCE = 1 << 20
+EXPANDED_AT_ONCE = 1 << 17  # segments of documents whose pairs are laid out at once
 SPACE = "▁"
 TOTALS, SEGMENTS, DOCS = range(3)
 OUT = "kind int, chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_group_links long, groups_sha256 string, body binary, a int, b int, n long"
@@ -174,6 +174,18 @@ def _listed(x: Alignment, segments: int) -> list[bytes]:
     return ["".join(words[p:q]).encode() for p, q in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers by byte planes, compressed: mostly small numbers shrink to little."""
+    planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return np.array([len(x)], "<u4").tobytes() + pa.compress(planes, "zstd", asbytes=True)
+
+
+def _unpacked(raw: pa.Buffer) -> np.ndarray:
+    n = int(np.frombuffer(raw[:4], "<u4")[0])
+    planes = np.frombuffer(pa.decompress(raw[4:], 4 * n, "zstd"), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
 class _Chunk:
     """Distinct segments of some documents with what each adds to a document, and the documents as lists of them."""
 
@@ -206,16 +218,19 @@ class _Chunk:
         self.listed += _listed(x, n)
 
     def add_all(self, docs: list[tuple[int | None, str]]) -> None:
-        self._learn([p for _, text in docs if len(text) <= PIECE for p in CUT.split(text) if text])
-        for doc_id, text in docs:
-            self.add(doc_id, text)
-
-    def add(self, doc_id: int | None, text: str) -> None:
-        sha, found, at, good = hashlib.sha256(), [], 0, bool(text)
+        cut = [CUT.split(text) if text and len(text) <= PIECE else [] for _, text in docs]
+        self._learn([p for parts in cut for p in parts])
+        for (doc_id, text), parts in zip(docs, cut, strict=True):
+            self.add(doc_id, text, parts)
+
+    def add(self, doc_id: int | None, text: str, parts: list[str] | None = None) -> None:
+        """A document; parts has its segments where they are known already."""
+        known, sha, found, at, good = parts, hashlib.sha256(), [], 0, bool(text)
         while good and at < len(text):
-            cut = CUT.search(text, at + PIECE)
-            parts = CUT.split(text[at : cut.start() if cut else len(text)])
-            self._learn(parts)
+            cut = None if known else CUT.search(text, at + PIECE)
+            parts = known or CUT.split(text[at : cut.start() if cut else len(text)])
+            if not known:
+                self._learn(parts)
             here = list(map(self.index.__getitem__, parts))
             sha.update(b";" * bool(found) + b";".join(map(self.listed.__getitem__, here)))
             found.append(np.array(here, np.int64))
@@ -223,7 +238,7 @@ class _Chunk:
             at = cut.end() if cut else len(text)
         self.size += len(text) + 256
         ids, times = np.unique(np.concatenate(found), return_counts=True) if good else (np.empty(0, np.int64),) * 2
-        self.docs.append((doc_id, ids, times, sha.hexdigest() if good else ""))
+        self.docs.append((doc_id, ids.astype(np.uint32), times.astype(np.uint32), sha.hexdigest() if good else ""))
 
     def rows(self, chunk: int) -> Iterator[pa.RecordBatch]:
         """The chunk's rows: documents, its segments, and a row for each distinct pair."""
@@ -239,16 +254,16 @@ class _Chunk:
                 high += 1
             some = self.docs[low:high]
             n = np.array([len(d[1]) for d in some])
-            ids, times = np.concatenate([d[1] for d in some]), np.concatenate([d[2] for d in some])
+            ids, times = (np.concatenate([d[i] for d in some]).astype(np.int64) for i in (1, 2))
             doc = np.repeat(np.arange(len(some)), n)
             wide = (first[1:] - first[:-1])[ids]
             at = np.repeat(first[ids] - np.cumsum(wide) + wide, wide) + np.arange(wide.sum())
             holds += np.bincount(np.unique(np.repeat(doc, wide) * max(len(key), 1) + of_pair[at]) % max(len(key), 1), minlength=len(key))
             total = [np.bincount(doc, times * sums[ids, c], len(some)).astype(np.int64) for c in range(5)]
-            bodies = [np.concatenate((d[1], d[2])).astype("<u4").tobytes() for d in some]
+            bodies = [_packed(np.concatenate((np.diff(d[1], prepend=np.uint32(0)), d[2]))) for d in some]
             yield self._batch(len(some), DOCS, chunk, doc_id=[d[0] for d in some], n_a=total[0], n_b=total[1], n_groups=total[2], n_links=total[3], n_group_links=total[4], groups_sha256=[d[3] for d in some], body=bodies)
             low = high
-        body = np.array([len(first) - 1, len(of_pair)], "<u4").tobytes() + first.astype("<u4").tobytes() + of_pair.astype("<u4").tobytes() + np.concatenate(self.times or [np.empty(0, np.int64)]).astype("<u4").tobytes()
+        body = _packed(np.concatenate(([len(first) - 1, len(of_pair)], np.diff(first, prepend=0), of_pair, *self.times)))
         yield self._batch(1, SEGMENTS, chunk, body=[body])
         for at in range(0, len(key), 1 << 16):
             some = key[at : at + (1 << 16)]
@@ -310,17 +325,17 @@ def _scored(rows: DataFrame) -> DataFrame:
                 if kind[low] == TOTALS:
                     counts.append(part.column("n").to_numpy())
                 elif kind[low] == SEGMENTS:
-                    raw = np.frombuffer(part.column("body")[0].as_buffer(), "<u4").astype(np.int64)
+                    raw = _unpacked(part.column("body")[0].as_buffer())
                     segments, size = raw[:2].tolist()
-                    first, of_pair, times = raw[2 : segments + 3], raw[segments + 3 : segments + 3 + size], raw[segments + 3 + size :]
+                    first, of_pair, times = np.cumsum(raw[2 : segments + 3]), raw[segments + 3 : segments + 3 + size], raw[segments + 3 + size :]
                     n = np.concatenate(counts)[of_pair] if size else of_pair
                     sums = [np.concatenate(([0], np.cumsum(v))) for v in (times * (n < 0), times * np.abs(n))]
                     table = np.array([s[first[1:]] - s[first[:-1]] for s in sums])
                 else:
-                    body = [np.frombuffer(x.as_buffer(), "<u4") for x in part.column("body")]
+                    body = [_unpacked(x.as_buffer()) for x in part.column("body")]
                     size = np.array([len(x) // 2 for x in body])
                     doc = np.repeat(np.arange(len(body)), size)
-                    ids, times = (np.concatenate(v).astype(np.int64) for v in zip(*((x[:m], x[m:]) for x, m in zip(body, size.tolist(), strict=True)), strict=True))
+                    ids, times = (np.concatenate(v) for v in zip(*((np.cumsum(x[:m]), x[m:]) for x, m in zip(body, size.tolist(), strict=True)), strict=True))
                     added = np.zeros((2, len(body)), np.int64)
                     for c in range(2):
                         np.add.at(added[c], doc, table[c][ids] * times)
@@ -343,7 +358,7 @@ def aligned_counts(docs: DataFrame, byte_bpe: str, piece_bpe: str, chunk_bytes:
     and an empty groups_sha256.  A null doc_id stays null; an empty table gives
     an empty one; other columns are not read.
     """
-    made = stored(_chunks(texts(docs, doc_id=doc_id, text=text), byte_bpe, piece_bpe, chunk_bytes), "alignment", partition_by="kind")
+    made = stored(_chunks(texts(docs, doc_id=doc_id, text=text), byte_bpe, piece_bpe, chunk_bytes), "alignment")
     pairs = made.where(F.col("kind") == TOTALS).select("chunk", "a", "b", "n")
     counts = stored(pairs.groupBy("a", "b").agg(F.sum("n").alias("n")), "pair-counts")
     best = counts.groupBy("a").agg(F.max("n").alias("most"))
