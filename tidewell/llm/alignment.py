@@ -22,6 +22,7 @@ pair has as many rows as there are chunks, not as there are documents.
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 import re
 from collections.abc import Iterator, Sequence
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from .shared import stored, texts
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
-CHUNK_BYTES = 4 << 20  # text of a chunk, about
+CHUNK_BYTES = 8 << 20  # text of a chunk, about
 LEARNT_AT_ONCE = 1 << 17  # characters of short texts whose new segments are aligned together
 PIECE = 1 << 20  # characters of a text that are cut into segments at once
 EXPANDED_AT_ONCE = 1 << 17  # segments of documents whose pairs are laid out at once
@@ -116,10 +117,10 @@ class Pair:
         if any(SPACE in p.lstrip(SPACE) for p in pieces):
             raise ValueError("a piece has a space after another character; texts cannot be cut before spaces")
 
-    def encode(self, segments: Sequence[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids under A of a space and the segment, and under B, which adds the space itself."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + s for s in segments], add_special_tokens=False)]
-        return a, self.b.encode(list(segments), num_threads=1)
+    def encode(self, text: str) -> list[np.ndarray]:
+        """Ids under A of a space and the text, and under B, which adds the space itself."""
+        a = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
+        return [np.array(ids, np.int64) for ids in (a, self.b.encode(text))]
 
 
 @functools.lru_cache(maxsize=2)
@@ -141,16 +142,39 @@ class Alignment:
     group_b: Csr
 
 
+def _encoded(pair: Pair, segments: Sequence[str], rows: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]:
+    """(rows, ids, of) of some of the segments at a time: the ids of both sides, and the row of each.
+
+    Segments without blanks at their ends are encoded as one text, which is cut
+    where they are; where its bytes differ, its halves are tried, down to single
+    segments.  Rows of segments whose own bytes differ are left out.
+    """
+    if not len(rows):
+        return
+    raw = [b" " + segments[i].encode() for i in rows.tolist()]
+    ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+    whole = b"".join(raw)
+    ids = pair.encode(whole[1:].decode())
+    at = [np.cumsum(size[x]) for x, size in zip(ids, (pair.a_size, pair.b_size), strict=True)]
+    if all(b"".join(map(token.__getitem__, x.tolist())) == whole and np.isin(ends, e).all() for x, e, token in zip(ids, at, (pair.a_bytes, pair.b_bytes), strict=True)):
+        yield rows, ids, [rows[np.searchsorted(ends, e)] for e in at]
+    elif len(rows) > 1:
+        for half in np.array_split(rows, 2):
+            yield from _encoded(pair, segments, half)
+
+
 def align(pair: Pair, segments: Sequence[str]) -> Alignment:
     """Aligns each segment, with a space before it; one whose joined bytes differ has no tokens and is not good."""
-    ids_a, ids_b = pair.encode(segments)
-    good = np.ones(len(segments), bool)
-    for i, s in enumerate(segments):
-        raw = b" " + s.encode()
-        if b"".join(map(pair.a_bytes.__getitem__, ids_a[i])) != raw or b"".join(map(pair.b_bytes.__getitem__, ids_b[i])) != raw:
-            good[i], ids_a[i], ids_b[i] = False, [], []
-    a, b = (np.array([x for ids in of for x in ids], np.int64) for of in (ids_a, ids_b))
-    of_a, of_b = (np.repeat(np.arange(len(segments)), [len(x) for x in ids]) for ids in (ids_a, ids_b))
+    plain = np.fromiter((bool(s) and not s[0].isspace() and not s[-1].isspace() for s in segments), bool, len(segments))
+    made = list(_encoded(pair, segments, np.flatnonzero(plain)))
+    made += [x for i in np.flatnonzero(~plain) for x in _encoded(pair, segments, np.array([i]))]
+    good = np.zeros(len(segments), bool)
+    for rows, _, _ in made:
+        good[rows] = True
+    none = np.empty(0, np.int64)
+    (a, of_a), (b, of_b) = ((np.concatenate([none, *(m[1][k] for m in made)]), np.concatenate([none, *(m[2][k] for m in made)])) for k in (0, 1))
+    in_order = [np.argsort(of, kind="stable") for of in (of_a, of_b)]
+    a, of_a, b, of_b = a[in_order[0]], of_a[in_order[0]], b[in_order[1]], of_b[in_order[1]]
     bytes_a, bytes_b = Csr.of_runs(pair.a_size[a]), Csr.of_runs(pair.b_size[b])
     ends = np.intersect1d(bytes_a.first[1:], bytes_b.first[1:])
     group_a, group_b = (Csr.of_labels(np.searchsorted(ends, x.first[1:]), len(ends)) for x in (bytes_a, bytes_b))
@@ -291,6 +315,7 @@ def _chunks(docs: DataFrame, byte_bpe: str, piece_bpe: str, chunk_bytes: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, number = _pair(byte_bpe, piece_bpe), TaskContext.get().partitionId() << 32
         chunk, some, size = _Chunk(pair), [], 0
+        gc.freeze()  # what is loaded holds no cycles to look for, however often lists of ids come and go
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), _strings(batch.column(1)), strict=True):
                 some.append((doc_id, text))
