@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,17 +43,6 @@ def texts(docs: DataFrame, *more: Column, doc_id: str = "doc_id", text: str = "t
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"), *more)
 
 
-def over_batches(df: DataFrame, one: Callable[[pa.RecordBatch], pa.RecordBatch | dict | None], schema: str) -> DataFrame:
-    """mapInArrow of a function of one batch; dicts of arrays become batches of the schema."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := one(batch)) is not None:
-                yield pa.RecordBatch.from_pydict(out) if isinstance(out, dict) else out
-
-    return df.mapInArrow(run, schema)
-
-
 def filtered(docs: DataFrame, text: str, keep: Callable[[pa.Array], Iterable[tuple[int, int, np.ndarray]]]) -> DataFrame:
     """The rows of docs for which `keep` holds; of a batch's texts it gives (low, high, booleans) by ranges of rows.
 
@@ -88,9 +77,3 @@ def spare(df: DataFrame, *names: str) -> list[str]:
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the decimal text of doc_id, modulo modulus; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
-
-
-def per_row(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Sums of values between neighbouring bounds, 0 where a range is empty."""
-    sums = np.concatenate(([0], np.cumsum(values, dtype=np.float64)))
-    return sums[bounds[1:]] - sums[bounds[:-1]]
