@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import finite
+from ..storage import stored
+from .selection import medians_and_spreads
 from .signal import daily_ic, safe_corr
 
 TRADING_DAYS = 252.0
@@ -134,10 +136,9 @@ def data_quality_gate(long: DataFrame, limits: dict[str, float] | None = None) -
     rows = _with_missing_flags(long).withColumn("_v", finite("value"))
     returns = [c for c in long.columns if c.startswith("return_t_plus_")]
     known = F.col("_v").isNotNull()
-    middle = rows.groupBy("factor").agg(F.median("_v").alias("_med"))
-    spread = rows.join(middle, "factor").groupBy("factor").agg(F.first("_med").alias("_med"), F.median(F.abs(F.col("_v") - F.col("_med"))).alias("_mad"))
+    spread = stored(medians_and_spreads(rows, ["factor"], "_v"), "spreads")
     far = F.abs(F.col("_v") - F.col("_med")) > at["extreme_value_mads"] * F.col("_mad")
-    whole = rows.join(spread, "factor").groupBy("factor").agg(
+    whole = rows.join(spread, "factor", "left").groupBy("factor").agg(
         F.avg((~known).cast("double")).alias("missing_rate"),
         F.avg(known.cast("double")).alias("coverage_rate"),
         _or_zero(F.avg(F.when(known, far.cast("double")))).alias("extreme_value_ratio"),
@@ -235,6 +236,31 @@ def health_dimensions(inputs: dict[str, Column]) -> dict[str, Column]:
     return {d: sigmoid_score(finite(x), *HEALTH_SIGMOIDS[d]) for d, x in of.items()}
 
 
+# Days of the history that decay is read from, of its later part and of its end, and the ratio of means that is decay.
+DECAY_DAYS = (120, 60, 20)
+DECAY_RATIO = 0.8
+
+
+def recent_decay(daily: DataFrame, by: str = "factor", value: str = "ic", days: tuple[int, int, int] = DECAY_DAYS) -> DataFrame:
+    """by, recent_decay from the last days of rows (by, date, value): the later part's mean is at most 0.8 of the earlier's, or the end's at most 0.
+
+    False with fewer rows than the first of the days, with an earlier mean of 0,
+    and where a value that a mean needs is null, NaN or infinite.  Rows of one
+    date count each; only the last days of a key take part.
+    """
+    back = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("date"), F.desc(value)))
+    last = daily.select(by, finite(value).alias("_v"), back.alias("_b")).where(F.col("_b") <= days[0])
+
+    def mean(rows: Column) -> Column:
+        return F.when(F.count_if(rows & F.col("_v").isNull()) == 0, F.avg(F.when(rows, F.col("_v"))))
+
+    later = F.col("_b") <= days[1]
+    sums = last.groupBy(by).agg(F.count("*").alias("_n"), mean(~later).alias("_early"), mean(later).alias("_late"), mean(F.col("_b") <= days[2]).alias("_end"))
+    whole = (F.col("_n") == days[0]) & F.col("_early").isNotNull() & F.col("_late").isNotNull() & F.col("_end").isNotNull() & (F.col("_early") != 0)
+    fallen = (F.try_divide("_late", "_early") <= DECAY_RATIO) | (F.col("_end") <= 0)
+    return sums.select(by, F.coalesce(whole & fallen, F.lit(False)).alias("recent_decay"))
+
+
 def tiers(scores: DataFrame, min_confidence: float = 0.60, core: float = 80.0, satellite: float = 60.0, watch: float = 40.0, max_corr: float = 0.85, min_oos_ic: float = 0.02, min_oos_icir: float = 0.30) -> DataFrame:
     """scores with tier (A to D), ops_status, weight_cap and reasons.
 
@@ -392,6 +418,80 @@ def failure_attribution(rows: DataFrame) -> DataFrame:
     return out.withColumns({"decision": F.when(F.col("primary_reason") == "lookahead_risk", "quarantine").otherwise("rejected"), "secondary_reasons": F.array_join(others, ",")})
 
 
+# The code of each failure reason, and the group and severity of each code ('unknown' and 'low' without one).
+REASON_CODES = {
+    "lookahead_risk": "LOOKAHEAD_DETECTED",
+    "too_many_nan": "TOO_MANY_NAN",
+    "constant_signal": "CONSTANT_SIGNAL",
+    "high_similarity": "HIGH_SIMILARITY",
+    "high_turnover": "HIGH_TURNOVER",
+    "weak_oos_ic": "WEAK_OOS_IC",
+    "weak_ic": "WEAK_OOS_IC",
+}
+CODE_GROUPS = {
+    "LOOKAHEAD_DETECTED": "data_leakage",
+    "ANTI_PATTERN_DETECTED": "data_leakage",
+    "LOW_COVERAGE": "data_quality",
+    "TOO_MANY_NAN": "data_quality",
+    "CONSTANT_SIGNAL": "signal_shape",
+    "EXTREME_VALUE_SIGNAL": "signal_shape",
+    "HIGH_SIMILARITY": "redundancy",
+    "HIGH_TURNOVER": "tradability",
+    "WEAK_OOS_IC": "predictive_power",
+    "POOR_MONOTONICITY": "predictive_power",
+}
+HIGH_SEVERITY = ["LOOKAHEAD_DETECTED", "ANTI_PATTERN_DETECTED"]
+MEDIUM_SEVERITY = ["LOW_COVERAGE", "TOO_MANY_NAN", "CONSTANT_SIGNAL", "EXTREME_VALUE_SIGNAL", "HIGH_SIMILARITY"]
+# What to do next about a primary reason ('change_window' without one), and in which words.
+NEXT_ACTIONS = {"lookahead_risk": "discard", "high_similarity": "discard", "weak_oos_ic": "discard", "constant_signal": "simplify", "too_complex": "simplify"}
+INSTRUCTIONS = {
+    "lookahead_risk": "Remove all forward-looking operators and rebuild from lagged daily fields only.",
+    "weak_oos_ic": "Change horizon or factor family; do not optimize only in-sample IC.",
+    "high_similarity": "Switch to an orthogonal factor family or add a genuinely different normalizer.",
+    "high_turnover": "Smooth the signal or lengthen the horizon before retrying.",
+    "constant_signal": "Use a continuous cross-sectional transformation with enough unique values.",
+}
+OTHER_INSTRUCTION = "Revise the signal based on the primary failure reason."
+
+
+def _looked_up(key: Column, names: dict[str, str], otherwise: str) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), key), F.lit(otherwise))
+
+
+def failure_codes(rows: DataFrame) -> DataFrame:
+    """failure_attribution's columns with reason_codes, reason_code, reason_group, reason_severity, action_type and instruction.
+
+    reason_codes lists, joined by commas and in a set order, what lookahead_risk,
+    failure_type, reasons, turnover (above 0.8), rank_ic_test (at most 0) and
+    group_monotonicity_score (below 0.35) say; columns that are absent or null say
+    nothing.  The first is reason_code; without any it is the primary reason's.
+    """
+    absent = {"failure_type": "string", "group_monotonicity_score": "double"}
+    out = failure_attribution(rows.withColumns({c: F.lit(None).cast(t) for c, t in absent.items() if c not in rows.columns}))
+
+    def named(*reasons: str) -> Column:
+        return F.coalesce(F.arrays_overlap("reasons", F.array(*map(F.lit, reasons))), F.lit(False))
+
+    said = {
+        "LOOKAHEAD_DETECTED": (F.col("lookahead_risk") == "critical") | named("lookahead_risk"),
+        "ANTI_PATTERN_DETECTED": (F.col("failure_type") == "expression_anti_pattern") | named("expression_anti_pattern"),
+        "LOW_COVERAGE": named("low_coverage", "low_cross_section_coverage", "low_active_days"),
+        "TOO_MANY_NAN": named("too_many_nan"),
+        "CONSTANT_SIGNAL": named("constant_signal"),
+        "EXTREME_VALUE_SIGNAL": named("extreme_values"),
+        "HIGH_SIMILARITY": named("high_similarity"),
+        "HIGH_TURNOVER": F.col("turnover") > 0.8,
+        "WEAK_OOS_IC": F.col("rank_ic_test") <= 0,
+        "POOR_MONOTONICITY": F.col("group_monotonicity_score") < 0.35,
+    }
+    codes = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in said.items())))
+    out = out.withColumn("_codes", F.when(F.size(codes) > 0, codes).otherwise(F.array(_looked_up(F.col("primary_reason"), REASON_CODES, "UNKNOWN"))))
+    code = F.col("_codes")[0]
+    severity = F.when(code.isin(HIGH_SEVERITY), "high").when(code.isin(MEDIUM_SEVERITY), "medium").otherwise("low")
+    out = out.withColumns({"reason_codes": F.array_join("_codes", ","), "reason_code": code, "reason_group": _looked_up(code, CODE_GROUPS, "unknown"), "reason_severity": severity})
+    return out.withColumns({"action_type": _looked_up(F.col("primary_reason"), NEXT_ACTIONS, "change_window"), "instruction": _looked_up(F.col("primary_reason"), INSTRUCTIONS, OTHER_INSTRUCTION)}).drop("_codes", *(c for c in absent if c not in rows.columns))
+
+
 def repaired(before: DataFrame, after: DataFrame) -> DataFrame:
     """factor, failure_resolved, quality_improved, repair_success of two attempts (factor, primary_reason, quality_score, lifecycle)."""
     a, b = (f.select("factor", *(F.col(c).alias(f"{p}_{c}") for c in ("primary_reason", "quality_score", "lifecycle"))) for f, p in ((before, "a"), (after, "b")))

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import average_rank, finite
-from ..storage import stored
 
 
 def safe_corr(a: str, b: str) -> Column:
@@ -164,17 +163,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def hops(edges: DataFrame, starts: DataFrame, k: int) -> DataFrame:
-    """node, hop: nodes within k undirected steps of the starts, with the least number of steps."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    seen = frontier = starts.select("node").distinct().withColumn("hop", F.lit(0))
-    for hop in range(1, k + 1):
-        step = frontier.join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
-        frontier = stored(step.join(seen, "node", "left_anti").withColumn("hop", F.lit(hop)), "frontier")  # each hop is computed once
-        seen = seen.unionByName(frontier)
-    return seen
-
-
 def chunks(docs: DataFrame, text: str, size: int, overlap: int = 0) -> DataFrame:
     """Pieces of `size` characters, each starting size - overlap after the one before; column chunk_no from 0."""
     starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(size - overlap))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import columns as c
 from ..operators import comoments as cm
+from ..operators import graph as gr
 from ..operators import panel as pn
 from ..operators import portfolio as pf
 from ..operators import signal as sg
@@ -327,7 +328,7 @@ def expression_skeleton(spark, sf_dir):
 h AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS hop UNION SELECT u.b, hop + 1 FROM h JOIN u ON u.a = h.node WHERE hop < 3) SELECT node, min(hop) AS hop FROM h GROUP BY 1""")
 def graph_hops(spark, sf_dir):
     e = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1000000).alias("b"))
-    return sg.hops(e, spark.range(1, 2).withColumnRenamed("id", "node"), 3)
+    return gr.hops(e, spark.range(1, 2).withColumnRenamed("id", "node"), 3)
 
 
 @query("SELECT doc_id, CAST(i AS INTEGER) AS chunk_no, md5(substr(text, i * 900 + 1, 1000)) AS digest FROM (SELECT doc_id, text, unnest(range(0, CAST((greatest(length(text), 1) - 1) / 900 AS BIGINT) + 1)) AS i FROM documents) WHERE i * 900 <= greatest(length(text) - 1, 0)")

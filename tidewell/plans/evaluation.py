@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as ev
 from ..operators import panel as pn
+from ..operators import selection as sl
 from ..operators import signal as sg
 from ..sources import events_panel, table
 from .analytics import IC_SQL, MARKET_SQL, SIGNAL_SQL, TIME, _corr_sql, _out, _sigmoid_sql, long_signals, query, signals
@@ -20,6 +21,10 @@ def _rounded(*names: str, digits: int = 6) -> str:
     return ", ".join(f"{rounded_sql(n, digits)} AS {n}" for n in names)
 
 
+def _rounded_as(named: dict[str, str]) -> str:
+    return ", ".join(f"{rounded_sql(e)} AS {n}" for n, e in named.items())
+
+
 def _daily(spark, sf_dir):
     return sg.daily_ic(long_signals(spark, sf_dir), "value", "label", ("factor", "datetime"))
 
@@ -393,3 +398,91 @@ def point_in_time_panel(spark, sf_dir):
     o = table(spark, sf_dir, "orders").selectExpr("o_custkey AS k", "o_orderpriority AS alias", "o_totalprice AS v", "o_orderdate AS disclosed", "o_orderkey AS rev")
     latest = pn.point_in_time(o, "1996-06-30", ["k", "alias"], "disclosed", "rev")
     return pn.wide(latest, "k", "alias", "v", ["1-URGENT", "2-HIGH"]).withColumnsRenamed({"1-URGENT": "urgent", "2-HIGH": "high"})
+
+
+@query("""SELECT l_returnflag, count(l_extendedprice) AS n, """ + _rounded_as({"low": "quantile_cont(l_extendedprice, 0.05)", "middle": "median(l_extendedprice)", "high": "quantile_cont(l_extendedprice, 0.999)"}) + " FROM lineitem GROUP BY 1")
+def group_quantiles(spark, sf_dir):
+    """Exact quantiles of a few groups that hold the whole table, by histograms of ordered bits."""
+    q = sl.quantiles(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.05, 0.5, 0.999])
+    named = q.select("l_returnflag", "n", *(F.col("q")[i].alias(n) for i, n in enumerate(("low", "middle", "high"))))
+    return _out(named, ["l_returnflag", "n"], ["low", "middle", "high"])
+
+
+@query(f"""WITH {IC_SQL}, a AS (SELECT *, median(value) OVER (PARTITION BY factor) AS m FROM l),
+b AS (SELECT *, median(abs(value - m)) OVER (PARTITION BY factor) AS d FROM a)
+SELECT factor, datetime, instrument, {rounded_sql('CASE WHEN value IS NOT NULL THEN greatest(least(value, m + 3 * d), m - 3 * d) END')} AS value FROM b""")
+def mad_winsorize_factor(spark, sf_dir):
+    """Each factor's whole history held within three median distances."""
+    return _out(sl.winsorized(long_signals(spark, sf_dir), "value", 3.0, ["factor"]), ["factor", *pn.KEYS], ["value"])
+
+
+@query(f"""WITH {IC_SQL}, q AS (SELECT factor, quantile_cont(value, 0.02) AS a, quantile_cont(value, 0.98) AS b FROM l GROUP BY 1)
+SELECT factor, datetime, instrument, {rounded_sql('CASE WHEN value IS NOT NULL THEN greatest(least(value, b), a) END')} AS value FROM l JOIN q USING (factor)""")
+def percentile_clip_factor(spark, sf_dir):
+    """Each factor's whole history held within its 2nd and 98th percentile."""
+    return _out(sl.clipped(long_signals(spark, sf_dir), "value", 0.02, 0.98, ["factor"]), ["factor", *pn.KEYS], ["value"])
+
+
+def _decay_sql(daily: str, whole: int, late: int, end: int) -> str:
+    """recent_decay of the table (factor, date, v)."""
+    return f"""b AS (SELECT *, row_number() OVER (PARTITION BY factor ORDER BY date DESC, v DESC) AS b FROM {daily}),
+m AS (SELECT factor, count(*) AS n, avg(CASE WHEN b > {late} THEN v END) AS early, avg(CASE WHEN b <= {late} THEN v END) AS late, avg(CASE WHEN b <= {end} THEN v END) AS last,
+count(CASE WHEN v IS NULL THEN 1 END) AS nulls FROM b WHERE b <= {whole} GROUP BY 1),
+decay AS (SELECT factor, n = {whole} AND nulls = 0 AND early <> 0 AND (late / nullif(early, 0) <= 0.8 OR last <= 0) AS recent_decay FROM m)"""
+
+
+@query(f"WITH {IC_SQL}, y AS (SELECT factor, datetime AS date, rank_ic AS v FROM ic WHERE rank_ic IS NOT NULL), {_decay_sql('y', 12, 6, 2)} SELECT factor, coalesce(recent_decay, false) AS recent_decay FROM decay")
+def recent_decay(spark, sf_dir):
+    daily = _daily(spark, sf_dir).where("rank_ic is not null").withColumnRenamed("datetime", "date")
+    return ev.recent_decay(daily, value="rank_ic", days=(12, 6, 2))
+
+
+_YIELD = "avg(l_discount) - 0.0431e0"
+
+
+@query(f"""WITH y AS (SELECT l_suppkey AS factor, l_shipdate AS date, {_YIELD} AS v FROM lineitem GROUP BY 1, 2), {_decay_sql('y', 120, 60, 20)},
+s AS (SELECT s_suppkey AS factor, 50 + s_acctbal / 200 AS h, coalesce(recent_decay, false) AS recent_decay FROM supplier LEFT JOIN decay ON factor = s_suppkey)
+SELECT factor, recent_decay, CASE WHEN h >= 80 AND NOT recent_decay THEN 'A' WHEN h >= 80 THEN 'B' ELSE 'C' END AS tier,
+CASE WHEN h >= 80 AND NOT recent_decay THEN 'core' WHEN h >= 80 THEN 'satellite' WHEN h >= 60 THEN 'candidate' ELSE 'watchlist' END AS ops_status,
+CASE WHEN h >= 80 AND NOT recent_decay THEN 'core rules passed' WHEN h >= 80 THEN 'recent decay detected'
+WHEN h >= 60 THEN 'missing marginal contribution evidence' ELSE 'candidate score band' END AS reasons FROM s""")
+def tiers_of_histories(spark, sf_dir):
+    """Tiers whose decay is read from 120 days of each factor's history."""
+    daily = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("factor"), F.col("l_shipdate").alias("date")).agg(F.expr(_YIELD).alias("ic"))
+    given = {"health_confidence": "0.9e0", "oos_ic": "0.03e0", "oos_icir": "0.4e0", "max_abs_corr": "0.5e0", "pit_failed": "false", "severe_data_issue": "false", "after_cost_effective": "true", "marginal_contribution": "false", "regime_effective": "false"}
+    scores = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS factor", "50 + s_acctbal / 200 AS health_score", *(f"{e} AS {n}" for n, e in given.items()))
+    scores = scores.join(ev.recent_decay(daily), "factor", "left").na.fill(False, ["recent_decay"])
+    return ev.tiers(scores).select("factor", "recent_decay", "tier", "ops_status", "reasons")
+
+
+_REASONS = "CASE p_partkey % 5 WHEN 0 THEN {0}'constant_signal', 'high_similarity'{1} WHEN 1 THEN {0}'slow'{1} WHEN 2 THEN {0}'low_active_days', 'extreme_values'{1} WHEN 3 THEN {0}'too_many_nan', 'high_similarity'{1} END AS reasons"
+_MORE = {"failure_type": "CASE WHEN p_partkey % 17 = 0 THEN 'expression_anti_pattern' END", "group_monotonicity_score": "CASE WHEN p_partkey % 7 > 0 THEN (p_partkey % 11) / 10.0e0 END"}
+_SAID = {
+    "LOOKAHEAD_DETECTED": "lookahead_risk = 'critical'",
+    "ANTI_PATTERN_DETECTED": "failure_type = 'expression_anti_pattern'",
+    "LOW_COVERAGE": "list_contains(reasons, 'low_active_days')",
+    "TOO_MANY_NAN": "list_contains(reasons, 'too_many_nan')",
+    "CONSTANT_SIGNAL": "list_contains(reasons, 'constant_signal')",
+    "EXTREME_VALUE_SIGNAL": "list_contains(reasons, 'extreme_values')",
+    "HIGH_SIMILARITY": "list_contains(reasons, 'high_similarity')",
+    "HIGH_TURNOVER": "turnover > 0.8",
+    "WEAK_OOS_IC": "rank_ic_test <= 0",
+    "POOR_MONOTONICITY": "group_monotonicity_score < 0.35",
+}
+
+
+def _named_sql(key: str, names: dict[str, str], otherwise: str) -> str:
+    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + f" ELSE '{otherwise}' END"
+
+
+@query(f"""WITH q AS (SELECT {', '.join(f'{e} AS {n}' for n, e in (_QUALITY | _MORE).items())}, {_REASONS.format('[', ']')} FROM part),
+p AS (SELECT *, CASE WHEN lookahead_risk = 'critical' THEN 'lookahead_risk' WHEN rank_ic_test <= 0 THEN 'weak_oos_ic' WHEN list_contains(reasons, 'too_many_nan') THEN 'too_many_nan'
+WHEN list_contains(reasons, 'constant_signal') THEN 'constant_signal' WHEN list_contains(reasons, 'high_similarity') THEN 'high_similarity' ELSE 'weak_ic' END AS primary_reason,
+list_filter([{', '.join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _SAID.items())}], lambda x: x IS NOT NULL) AS found FROM q),
+c AS (SELECT *, CASE WHEN len(found) > 0 THEN found ELSE [{_named_sql('primary_reason', ev.REASON_CODES, 'UNKNOWN')}] END AS codes FROM p)
+SELECT factor, primary_reason, array_to_string(codes, ',') AS reason_codes, codes[1] AS reason_code, {_named_sql('codes[1]', ev.CODE_GROUPS, 'unknown')} AS reason_group,
+CASE WHEN codes[1] IN ({', '.join(f"'{c}'" for c in ev.HIGH_SEVERITY)}) THEN 'high' WHEN codes[1] IN ({', '.join(f"'{c}'" for c in ev.MEDIUM_SEVERITY)}) THEN 'medium' ELSE 'low' END AS reason_severity,
+{_named_sql('primary_reason', ev.NEXT_ACTIONS, 'change_window')} AS action_type, {_named_sql('primary_reason', ev.INSTRUCTIONS, ev.OTHER_INSTRUCTION)} AS instruction FROM c""")
+def failure_codes(spark, sf_dir):
+    q = table(spark, sf_dir, "part").selectExpr(*(f"{e} AS {n}" for n, e in (_QUALITY | _MORE).items()), _REASONS.format("array(", ")"))
+    return ev.failure_codes(q).select("factor", "primary_reason", "reason_codes", "reason_code", "reason_group", "reason_severity", "action_type", "instruction")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import graph as gr
+from ..operators import sets as st
 from ..operators import signal as sg
 from ..operators import similarity as sm
 from ..sources import table
@@ -102,7 +104,7 @@ SELECT node FROM n1 INTERSECT SELECT node FROM n2 EXCEPT SELECT 1 EXCEPT SELECT
 def graph_intersection(spark, sf_dir):
     nation = table(spark, sf_dir, "supplier").where("s_suppkey = 1").first().s_nationkey
     other = table(spark, sf_dir, "customer").where(F.col("c_nationkey") == nation).agg(F.min("c_custkey")).first()[0] + 2000000
-    return sm.neighbourhoods(_edges(spark, sf_dir), [1, other], 2)
+    return gr.neighbourhoods(_edges(spark, sf_dir), [1, other], 2)
 
 
 @query(f"""WITH RECURSIVE {EDGE_SQL}, l AS (SELECT a AS node, CASE WHEN a < 1000000 THEN 'supplier' ELSE 'customer' END AS label FROM e UNION SELECT b, CASE WHEN b % 2 = 0 THEN 'even' ELSE 'odd' END FROM e),
@@ -110,7 +112,7 @@ h AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS hop, false AS stop UNION SELECT u.b
 def labelled_hops(spark, sf_dir):
     e = _edges(spark, sf_dir)
     nodes = e.selectExpr("a AS node", "CASE WHEN a < 1000000 THEN 'supplier' ELSE 'customer' END AS label").unionByName(e.selectExpr("b AS node", "CASE WHEN b % 2 = 0 THEN 'even' ELSE 'odd' END AS label")).distinct()
-    return sm.labelled_hops(e, nodes, spark.range(1, 2).withColumnRenamed("id", "node"), 3, ["supplier", "even", "odd"], ["customer"])
+    return gr.labelled_hops(e, nodes, spark.range(1, 2).withColumnRenamed("id", "node"), 3, ["supplier", "even", "odd"], ["customer"])
 
 
 def _held_sql(patterns: dict[str, str]) -> str:
@@ -148,3 +150,45 @@ def token_jaccard(spark, sf_dir):
     a, b = rows.select(F.col("item_id").alias("a"), F.col("n").alias("na"), "word"), rows.select(F.col("item_id").alias("b"), F.col("n").alias("nb"), "word")
     shared = a.join(b, "word").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("m"))
     return _out(shared.withColumn("jaccard", F.col("m") / (F.col("na") + F.col("nb") - F.col("m"))), ["a", "b"], ["jaccard"])
+
+
+_EXPRESSION_SETS = f"SELECT id, {_TOKENS.format('expression')} AS w FROM ex"
+_ITEM_SETS = "SELECT item_id AS id, list_distinct(regexp_extract_all(lower(text), '[a-z_0-9]+')) AS w FROM benchmark"
+
+
+def _similar_sql(rows: str, threshold: float) -> str:
+    """Pairs of unlike sets of the table expression (id, w), by comparing all with all."""
+    return f"""c AS (SELECT min(id) AS id, w FROM (SELECT id, list_sort(w) AS w FROM ({rows}) WHERE len(w) > 0) GROUP BY w),
+j AS (SELECT a.id AS a, b.id AS b, {_jaccard_sql('a.w', 'b.w')} AS jaccard FROM c a JOIN c b ON a.id < b.id)
+SELECT a, b, {rounded_sql('jaccard')} AS jaccard FROM j WHERE jaccard >= {threshold} - 1e-9"""
+
+
+@query(f"WITH {EXPR_SQL}, {_similar_sql(_EXPRESSION_SETS, 0.6)}")
+def similar_expressions(spark, sf_dir):
+    """Every pair of unlike token sets of expressions with a Jaccard of 0.6 or more."""
+    e = _expressions(spark, sf_dir).select("id", sm.tokens(F.col("expression")).alias("w"))
+    return _out(st.similar_sets(e, "id", "w", 0.6), ["a", "b"], ["jaccard"])
+
+
+@query(f"""WITH {EXPR_SQL}, t AS (SELECT id, list_sort({_TOKENS.format('expression')}) AS w FROM ex)
+SELECT id, min(id) OVER (PARTITION BY w) AS "class" FROM t WHERE len(w) > 0""")
+def expression_classes(spark, sf_dir):
+    """The expressions behind each token set that `similar_expressions` names."""
+    e = _expressions(spark, sf_dir).select("id", sm.tokens(F.col("expression")).alias("w"))
+    return st.classes(e, "id", "w")
+
+
+@query(f"WITH {_similar_sql(_ITEM_SETS, 0.1)}")
+def similar_items(spark, sf_dir):
+    """Every pair of benchmark items whose word sets have a Jaccard of 0.1 or more."""
+    t = table(spark, sf_dir, "benchmark").select("item_id", sg.expression_tokens(F.col("text")).alias("w"))
+    return _out(st.similar_sets(t, "item_id", "w", 0.1), ["a", "b"], ["jaccard"])
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, 1000000 + l_partkey AS b FROM lineitem), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+h AS (SELECT CAST(i AS BIGINT) AS start, CAST(i AS BIGINT) AS node, 0 AS hop FROM range(1, 71) r(i) UNION SELECT start, u.b, hop + 1 FROM h JOIN u ON u.a = h.node WHERE hop < 2)
+SELECT start, node, min(hop) AS hop FROM h GROUP BY 1, 2""")
+def graph_hops_of_each(spark, sf_dir):
+    """Two steps from each of seventy suppliers, in one traversal."""
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1000000).alias("b"))
+    return gr.hops_of_each(e, range(1, 71), 2)
