@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where it is unset, a temporary one, and that in local mode only."""
@@ -30,12 +32,19 @@ def new_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back.
 
-    This cuts lineage in a form that outlives any executor.
+    This cuts lineage in a form that outlives any executor; so the shuffles of
+    the write are dropped when it has ended, not when the driver next collects
+    garbage.
     """
-    path = new_path(df.sparkSession, name)
+    path, spark = new_path(df.sparkSession, name), df.sparkSession
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def texts(docs: DataFrame, *more: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
