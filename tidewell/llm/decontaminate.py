@@ -162,7 +162,8 @@ def pattern_tables(items: DataFrame, window: int, table_bytes: int) -> DataFrame
         if rows:
             yield table()
 
-    return stored(grouped.repartition(1 + int(size) // table_bytes, "words").mapInArrow(run, "searches binary"), "patterns")
+    # dealt out in turn: as many tables as the bytes ask for, so as many passes, however finely keys are partitioned
+    return stored(grouped.repartition(1 + int(size) // table_bytes).mapInArrow(run, "searches binary"), "patterns")
 
 
 def _marked(s: tb.Slice, searches: list[WuManber]) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, set[str]]]]:
