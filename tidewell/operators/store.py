@@ -10,58 +10,124 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..storage import read_manifest, write_manifest
+from ..storage import create_once, newest_version
 from .signal import expression_tokens, latest_events, token_jaccard
 
 ORDER = ("sequence", "updated_at", "created_at")
 
 
-class EventLog:
-    """A log in a folder: delta folders, and a snapshot into which compaction folds them."""
+class Conflict(RuntimeError):
+    """The log has moved on from the version that a writer expected."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "expression_hash"):
-        self.spark, self.path, self.schema, self.key = spark, path, schema, key
 
-    def _state(self) -> dict:
-        return read_manifest(self.spark, f"{self.path}/state") or {"version": 0, "snapshot": None, "deltas": [], "archive": []}
+class EventLog:
+    """A log in a folder: delta folders, and a snapshot by buckets of keys into which compaction folds them.
 
-    def _put(self, state: dict, deltas: Sequence[str], **changes) -> None:
-        write_manifest(self.spark, f"{self.path}/state", state | {"version": state["version"] + 1, "deltas": list(deltas)} | changes)
+    Every change commits a version, a file that must not exist yet, which names
+    the folders in force; a writer that comes second commits on top of the
+    first one's, so that several can write at once and none loses a delta.
+    `buckets` counts when a log gets its first version and stays.
+    """
 
-    def append(self, rows: DataFrame) -> None:
-        """Adds rows, checked against the schema, as a delta of their own."""
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "expression_hash", buckets: int = 16):
+        self.spark, self.path, self.schema, self.key, self.buckets = spark, path, schema, key, buckets
+
+    def _state(self) -> dict:
+        empty = {"version": 0, "buckets": self.buckets, "snapshot": {}, "deltas": [], "archive": [], "streams": {}}
+        return newest_version(self.spark, f"{self.path}/state") or empty
+
+    def _commit(self, change: Callable[[dict], dict | None]) -> None:
+        """Commits what `change` makes of the newest state, made anew for as long as others commit first; None commits nothing."""
+        while True:
+            state = self._state()
+            changes = change(state)
+            if changes is None:
+                return
+            new = state | changes | {"version": state["version"] + 1}
+            if create_once(self.spark, f"{self.path}/state/v{new['version']:09d}.json", json.dumps(new, sort_keys=True)):
+                return
+
+    def version(self) -> int:
+        return self._state()["version"]
+
+    def append(self, rows: DataFrame, expected: int | None = None, stream: str | None = None, batch: int = 0) -> None:
+        """Adds rows, checked against the schema, as a delta of their own.
+
+        With `expected`, raises Conflict unless that is still the log's version
+        when the rows are committed.  With a `stream`, a batch of it that is in
+        the log already, or an earlier one, is not added again.
+        """
         wanted = self.spark.createDataFrame([], self.schema).schema
         if {f.name for f in rows.schema} != {f.name for f in wanted}:
             raise ValueError(f"columns {sorted(rows.columns)} are not those of the log")
+        if stream is not None and self._state()["streams"].get(stream, -1) >= batch:
+            return
         delta = f"{self.path}/delta-{uuid.uuid4().hex}"
         rows.select(*(F.col(f.name).cast(f.dataType) for f in wanted)).write.parquet(delta)
-        state = self._state()
-        self._put(state, [*state["deltas"], delta])
+
+        def add(state: dict) -> dict | None:
+            if expected is not None and state["version"] != expected:
+                raise Conflict(f"the log is at version {state['version']}, not {expected}")
+            if stream is None:
+                return {"deltas": [*state["deltas"], delta]}
+            if state["streams"].get(stream, -1) >= batch:
+                return None
+            return {"deltas": [*state["deltas"], delta], "streams": state["streams"] | {stream: batch}}
+
+        self._commit(add)
+
+    def _read(self, paths: Sequence[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def rows(self) -> DataFrame:
         state = self._state()
-        paths = [p for p in (state["snapshot"], *state["deltas"]) if p]
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+        return self._read([*state["snapshot"].values(), *state["deltas"]])
+
+    def _newest(self, rows: DataFrame) -> DataFrame:
+        order = [F.desc(c) for c in ORDER if c in rows.columns]
+        return rows.withColumn("_r", F.row_number().over(Window.partitionBy(self.key).orderBy(*order))).where("_r = 1").drop("_r")
 
     def effective(self) -> DataFrame:
         """The newest row of each key, unless it is a delete."""
-        return latest_events(self.rows(), self.key, [c for c in ORDER if c in self.rows().columns])
+        rows = self.rows()
+        return latest_events(rows, self.key, [c for c in ORDER if c in rows.columns])
 
     def compact(self, keep: int = 1) -> list[str]:
-        """Folds all deltas into a new snapshot; returns the folders that no reader of the last `keep` snapshots needs any more."""
-        state = self._state()
-        snapshot = f"{self.path}/snapshot-{uuid.uuid4().hex}"
-        self.effective().write.parquet(snapshot)
-        archive = [*state["archive"], [p for p in (state["snapshot"], *state["deltas"]) if p]]
-        old, kept = archive[: max(0, len(archive) - keep)], archive[max(0, len(archive) - keep) :]
-        self._put(state, [], snapshot=snapshot, archive=kept)
-        return [p for folder in old for p in folder]
+        """Folds all deltas into the snapshot; returns the folders that no reader of the last `keep` snapshots needs any more.
+
+        Only buckets of keys that the deltas hold are written again.  Deltas that
+        come in meanwhile stay deltas; if another compaction commits first, this
+        one is given up.  A delete stays in the snapshot, so that an older row
+        of its key that arrives later does not bring the key back.
+        """
+        base = self._state()
+        if not base["deltas"]:
+            return []
+        number = F.pmod(F.xxhash64(F.col(self.key)), F.lit(base["buckets"]))
+        fresh = self._read(base["deltas"])
+        touched = sorted(str(r.b) for r in fresh.select(number.alias("b")).distinct().collect())  # buckets at most
+        old = [base["snapshot"][b] for b in touched if b in base["snapshot"]]
+        folder = f"{self.path}/snapshot-{uuid.uuid4().hex}"
+        self._newest(self._read([*old, *base["deltas"]])).withColumn("_bucket", number).write.partitionBy("_bucket").parquet(folder)
+        unused: list[str] = []
+
+        def fold(state: dict) -> dict | None:
+            if state["snapshot"] != base["snapshot"]:
+                return None
+            archive = [*state["archive"], [*old, *base["deltas"]]]
+            cut = max(0, len(archive) - keep)
+            unused[:] = [p for some in archive[:cut] for p in some]
+            left = [d for d in state["deltas"] if d not in base["deltas"]]
+            return {"deltas": left, "snapshot": state["snapshot"] | {b: f"{folder}/_bucket={b}" for b in touched}, "archive": archive[cut:]}
+
+        self._commit(fold)
+        return unused
 
     def delete(self, keys: DataFrame, **values: Column) -> None:
         """Appends deletes of the keys that are there, one above the largest sequence."""

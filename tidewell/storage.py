@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import tempfile
 import uuid
 
@@ -56,3 +57,49 @@ def parquet_folders(spark: SparkSession, path: str) -> list[str]:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     return sorted(s.getPath().getName() for s in fs.listStatus(hadoop) if s.getPath().getName().endswith(".parquet"))
+
+
+def create_once(spark: SparkSession, path: str, content: str) -> bool:
+    """Creates a small text file whole, unless its name is taken: of several writers of one name exactly one gets True.
+
+    The content goes to a file of another name first.  On local disks a hard
+    link gives it its name, elsewhere the file system's own rename that does not
+    replace, which is atomic on HDFS and its like.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    draft, final = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.{uuid.uuid4().hex}.draft", path))
+    fs = draft.getFileSystem(conf)
+    fs.mkdirs(final.getParent())
+    out = fs.create(draft, False)
+    out.write(bytearray(content.encode()))
+    out.close()
+    try:
+        if fs.getScheme() == "file":
+            try:
+                os.link(draft.toUri().getPath(), final.toUri().getPath())
+            except FileExistsError:
+                return False
+            return True
+        none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), conf).rename(draft, final, none)
+        except Exception:
+            if fs.exists(final):
+                return False
+            raise
+        return True
+    finally:
+        fs.delete(draft, False)  # also what a rename has moved away is no error
+
+
+def newest_version(spark: SparkSession, path: str) -> dict | None:
+    """The JSON object in the last of the files v000000001.json and so on of a folder, or None."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop):
+        return None
+    versions = [p for s in fs.listStatus(hadoop) if (p := s.getPath()).getName().endswith(".json")]
+    if not versions:
+        return None
+    last = max(versions, key=lambda p: p.getName())
+    return json.loads(spark.read.text(last.toString(), wholetext=True).first().value)

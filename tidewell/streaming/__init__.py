@@ -136,11 +136,15 @@ def visible_events(panel: DataFrame, events: DataFrame, days: int, late: str = "
 
 
 def upsert_log(changes: DataFrame, log: EventLog, checkpoint: str, compact_every: int = 10) -> StreamingQuery:
-    """Appends every batch to an event log and folds it into a snapshot every few batches."""
+    """Appends every batch to an event log and folds it into a snapshot every few batches.
+
+    The log keeps the number of the stream's last batch, so one that is run again
+    after a failure is not appended twice.  The stream is known by its checkpoint.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            log.append(batch)
+            log.append(batch, stream=checkpoint, batch=number)
         if number % compact_every == compact_every - 1:
             log.compact()
 
