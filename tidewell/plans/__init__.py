@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as c
 from ..sources import events_panel
-from . import analytics, evaluation, language, market, pool, similarity  # noqa: F401 (modules register their queries)
+from . import analytics, evaluation, language, market, pool, similarity, streams  # noqa: F401 (modules register their queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from ..operators.store import EventLog
-from ..storage import read_manifest, write_manifest
+from ..storage import read_manifest, scratch, write_manifest
 
 
 def arriving(spark: SparkSession, path: str, schema: StructType | str, files_per_trigger: int = 100) -> DataFrame:
@@ -21,6 +21,23 @@ def arriving(spark: SparkSession, path: str, schema: StructType | str, files_per
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def finished(frame: DataFrame, name: str) -> DataFrame:
+    """Runs a stream over all there is, into a Parquet folder of the shared folder, and reads its rows.
+
+    The folder's own log makes each batch count once; rows that still wait for a
+    later watermark are not in it.
+    """
+    spark, path = frame.sparkSession, scratch(frame.sparkSession, name)
+    options = {"path": f"{path}/rows", "checkpointLocation": f"{path}/progress"}
+    frame.writeStream.format("parquet").options(**options).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(frame.schema).parquet(f"{path}/rows")
+
+
+def sliding_counts(events: DataFrame, group: str, length: str, slide: str, late: str) -> DataFrame:
+    """Count and sum by group and sliding window, each row in every window that holds it, final when the watermark has passed the window."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", length, slide), group).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
 def daily_panel(events: DataFrame, late: str = "2 days") -> DataFrame:
     """The events panel by user and day, final when the watermark has passed the day."""
     day, order = F.window("ts", "1 day"), F.struct("ts", "event_id")
