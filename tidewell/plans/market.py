@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import panel as pn
-from ..sources import events_panel, instruments_file, market, stacked, table
+from ..sources import events_panel, instruments_file, market, series, stacked, table
 from ..storage import scratch
 from .analytics import SIGNAL_SQL, TIME, _out, query, signals
 from .language import PANEL_SQL, rounded_sql
@@ -256,3 +256,13 @@ def untradable_rows(spark, sf_dir):
 @query("SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) > (SELECT CAST(max(o_orderdate) AS DATE) FROM orders) - 90")
 def last_days(spark, sf_dir):
     return pn.last_days(table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("datetime")), 90).select("o_orderkey")
+
+
+@query(f"""WITH {PANEL_SQL} SELECT datetime, instrument, round(CAST(CAST(open AS FLOAT) AS DOUBLE), 4) AS open, round(CAST(CAST(close AS FLOAT) AS DOUBLE), 4) AS close, volume, 0.0 AS ret
+FROM p WHERE datetime >= DATE '2024-01-10' AND datetime < DATE '2024-01-25'""")
+def binary_series(spark, sf_dir):
+    """The events panel written as a folder of binary series and read back, two weeks of it by their place in the files."""
+    root = scratch(spark, "series")
+    series.write_series(events_panel(spark, sf_dir), root)
+    days = series.read_series(spark, root, start="2024-01-10", end="2024-01-24")
+    return days.select("datetime", "instrument", F.round("open", 4).alias("open"), F.round("close", 4).alias("close"), "volume", "ret")
