@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell import streaming
 from tidewell.operators.store import Conflict, EventLog
+from tidewell.plans import QUERIES
 from tidewell.storage import create_once, newest_version
 
 SCHEMA = "expression_hash string, sequence long, op string"
@@ -105,3 +106,10 @@ def test_a_stream_that_fails_after_its_append_goes_on(spark, tmp_path):
     log = log_at(spark, tmp_path)
     run(log)
     assert sorted(r.expression_hash for r in log.rows().collect()) == ["a", "b"]
+
+
+def test_added_factors_leave_those_of_a_pool_beyond_a_million(spark, tmp_path):
+    parts = [(5, 50), (1_000_005, 10), (1_000_006, 46)]
+    spark.createDataFrame(parts, "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted((r.factor_id, r.origin, r.p_size) for r in QUERIES["library_merge"](spark, str(tmp_path)).collect())
+    assert got == [(5, "new", 50), (1_000_005, "new", 50), (1_000_005, "old", 10), (1_000_006, "new", 46), (2_000_006, "new", 46)]

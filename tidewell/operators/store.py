@@ -337,9 +337,10 @@ def factor_values(values: DataFrame, date: str, factors: Sequence[str], instrume
     return values.where((F.col("trade_date") == F.lit(date)) & F.col("factor_id").isin(list(factors)) & F.col("instrument").isin(list(instruments)))
 
 
-def merged(pool: DataFrame, incoming: DataFrame, key: str = "factor_id") -> DataFrame:
-    """Rows of both; where a key is in both, the incoming one counts."""
-    return incoming.unionByName(pool.join(incoming.select(key), key, "left_anti"), allowMissingColumns=True)
+def merged(pool: DataFrame, incoming: DataFrame, key: str | Sequence[str] = "factor_id") -> DataFrame:
+    """Rows of both; where a key, of one column or several, is in both, the incoming one counts."""
+    key = [key] if isinstance(key, str) else list(key)
+    return incoming.unionByName(pool.join(incoming.select(*key), key, "left_anti"), allowMissingColumns=True)
 
 
 def recent_runs(runs: DataFrame, most: int, cycle_type: str | None = None) -> DataFrame:
