@@ -1,4 +1,9 @@
-"""Built-in factor sets, as columns of one select over a panel."""
+"""Built-in factor sets, as columns of one select over a panel.
+
+Sets with a parameter `w` take their rolling functions from it: the module of
+column functions, or an `operators.windows.Windows`, whose `over` must then give
+the panel.
+"""
 
 from __future__ import annotations
 
@@ -14,13 +19,13 @@ def _ratio(a, b) -> Column:
     return c.divide(a, b)
 
 
-def _rsv(n: int) -> Column:
-    low = c.ts_min("low", n)
-    return _ratio(F.col("close") - low, c.ts_max("high", n) - low + SMALL)
+def _rsv(n: int, w=c) -> Column:
+    low = w.ts_min("low", n)
+    return _ratio(F.col("close") - low, w.ts_max("high", n) - low + SMALL)
 
 
-def _ret(k: int) -> Column:
-    return c.ts_pctchange("close", k)
+def _ret(k: int, w=c) -> Column:
+    return w.ts_pctchange("close", k)
 
 
 def baseline(n: int = 20) -> dict[str, Column]:
@@ -67,53 +72,56 @@ def candle() -> dict[str, Column]:
     return out
 
 
-def rolling_set(windows: tuple[int, ...] = (5, 10, 20, 30, 60)) -> dict[str, Column]:
+def rolling_set(windows: tuple[int, ...] = (5, 10, 20, 30, 60), w=c) -> dict[str, Column]:
     """Twenty-nine rolling features for each window."""
     close, volume = F.col("close"), F.col("volume")
-    prev, vprev = c.delay("close"), c.delay("volume")
+    prev, vprev = w.delay("close"), w.delay("volume")
     up, down = c.greater(close - prev, 0.0), c.greater(prev - close, 0.0)
     vup, vdown = c.greater(volume - vprev, 0.0), c.greater(vprev - volume, 0.0)
     logv = F.ln(volume + 1)
-    wobble = F.abs(_ret(1)) * volume
+    wobble = F.abs(_ret(1, w)) * volume
+    move, vmove = F.abs(close - prev), F.abs(volume - vprev)
+    rose, fell = c.gt(close, prev), c.lt(close, prev)
+    change, logchange = _ratio(close, prev), F.ln(_ratio(volume, vprev) + 1)
     out: dict[str, Column] = {}
     for n in windows:
-        moved, vmoved = c.ts_sum(F.abs(close - prev), n) + SMALL, c.ts_sum(F.abs(volume - vprev), n) + SMALL
-        rises, falls = c.ts_mean(c.gt(close, prev), n), c.ts_mean(c.lt(close, prev), n)
-        high_at, low_at = c.ts_argmax("high", n), c.ts_argmin("low", n)
-        mean, total = c.ts_mean("close", n), c.ts_sum
+        moved, vmoved = w.ts_sum(move, n) + SMALL, w.ts_sum(vmove, n) + SMALL
+        rises, falls = w.ts_mean(rose, n), w.ts_mean(fell, n)
+        high_at, low_at = w.ts_argmax("high", n), w.ts_argmin("low", n)
+        mean, total = w.ts_mean("close", n), w.ts_sum
         out |= {
-            f"ROC{n}": _ratio(c.delay("close", n), close), f"MA{n}": _ratio(mean, close), f"STD{n}": _ratio(c.ts_std("close", n), close),
-            f"BETA{n}": _ratio(c.ts_slope("close", n), close), f"RSQR{n}": c.ts_rsquare("close", n), f"RESI{n}": _ratio(c.ts_resi("close", n), close),
-            f"MAX{n}": _ratio(c.ts_max("high", n), close), f"MIN{n}": _ratio(c.ts_min("low", n), close),
-            f"QTLU{n}": _ratio(c.ts_quantile("close", n, 0.8), close), f"QTLD{n}": _ratio(c.ts_quantile("close", n, 0.2), close),
-            f"RANK{n}": c.ts_rank("close", n), f"RSV{n}": _rsv(n),
+            f"ROC{n}": _ratio(w.delay("close", n), close), f"MA{n}": _ratio(mean, close), f"STD{n}": _ratio(w.ts_std("close", n), close),
+            f"BETA{n}": _ratio(w.ts_slope("close", n), close), f"RSQR{n}": w.ts_rsquare("close", n), f"RESI{n}": _ratio(w.ts_resi("close", n), close),
+            f"MAX{n}": _ratio(w.ts_max("high", n), close), f"MIN{n}": _ratio(w.ts_min("low", n), close),
+            f"QTLU{n}": _ratio(w.ts_quantile("close", n, 0.8), close), f"QTLD{n}": _ratio(w.ts_quantile("close", n, 0.2), close),
+            f"RANK{n}": w.ts_rank("close", n), f"RSV{n}": _rsv(n, w),
             f"IMAX{n}": high_at / n, f"IMIN{n}": low_at / n, f"IMXD{n}": (high_at - low_at) / n,
-            f"CORR{n}": c.ts_corr("close", logv, n), f"CORD{n}": c.ts_corr(_ratio(close, prev), F.ln(_ratio(volume, vprev) + 1), n),
+            f"CORR{n}": w.ts_corr("close", logv, n), f"CORD{n}": w.ts_corr(change, logchange, n),
             f"CNTP{n}": rises, f"CNTN{n}": falls, f"CNTD{n}": rises - falls,
             f"SUMP{n}": _ratio(total(up, n), moved), f"SUMN{n}": _ratio(total(down, n), moved), f"SUMD{n}": _ratio(total(up, n) - total(down, n), moved),
-            f"VMA{n}": _ratio(c.ts_mean("volume", n), volume + SMALL), f"VSTD{n}": _ratio(c.ts_std("volume", n), volume + SMALL), f"WVMA{n}": _ratio(c.ts_std(wobble, n), c.ts_mean(wobble, n) + SMALL),
+            f"VMA{n}": _ratio(w.ts_mean("volume", n), volume + SMALL), f"VSTD{n}": _ratio(w.ts_std("volume", n), volume + SMALL), f"WVMA{n}": _ratio(w.ts_std(wobble, n), w.ts_mean(wobble, n) + SMALL),
             f"VSUMP{n}": _ratio(total(vup, n), vmoved), f"VSUMN{n}": _ratio(total(vdown, n), vmoved), f"VSUMD{n}": _ratio(total(vup, n) - total(vdown, n), vmoved),
         }
     return out
 
 
-def alpha_158() -> dict[str, Column]:
+def alpha_158(w=c) -> dict[str, Column]:
     """Nine bar shapes, four prices and the rolling set: 158 columns."""
     prices = {f"{name.upper()}0": _ratio(name, "close") for name in ("open", "high", "low", "vwap")}
-    return candle() | prices | rolling_set()
+    return candle() | prices | rolling_set(w=w)
 
 
-def alpha_windows() -> dict[str, Column]:
+def alpha_windows(w=c) -> dict[str, Column]:
     """Sixty-six window features: nine for each of five windows, three for each of five more, six bar shapes."""
     close = F.col("close")
     logv = F.ln(F.col("volume") + 1)
     out: dict[str, Column] = {}
     for n in (5, 10, 20, 30, 60, 3, 7, 15, 40, 120):
-        out |= {f"ROC{n}": _ratio(c.delay("close", n), close), f"MA{n}": _ratio(c.ts_mean("close", n), close), f"STD{n}": _ratio(c.ts_std("close", n), close)}
+        out |= {f"ROC{n}": _ratio(w.delay("close", n), close), f"MA{n}": _ratio(w.ts_mean("close", n), close), f"STD{n}": _ratio(w.ts_std("close", n), close)}
     for n in (5, 10, 20, 30, 60):
         out |= {
-            f"MAX{n}": _ratio(c.ts_max("high", n), close), f"MIN{n}": _ratio(c.ts_min("low", n), close), f"RSV{n}": _rsv(n),
-            f"VMA{n}": _ratio(c.ts_mean("volume", n), F.col("volume") + SMALL), f"VSTD{n}": _ratio(c.ts_std("volume", n), F.col("volume") + SMALL), f"CORR{n}": c.ts_corr("close", logv, n),
+            f"MAX{n}": _ratio(w.ts_max("high", n), close), f"MIN{n}": _ratio(w.ts_min("low", n), close), f"RSV{n}": _rsv(n, w),
+            f"VMA{n}": _ratio(w.ts_mean("volume", n), F.col("volume") + SMALL), f"VSTD{n}": _ratio(w.ts_std("volume", n), F.col("volume") + SMALL), f"CORR{n}": w.ts_corr("close", logv, n),
         }
     bars = candle()
     return out | {k: bars[k] for k in ("KMID", "KLEN", "KMID2", "KUP", "KLOW", "KSFT")}
